@@ -24,9 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from grainsieve.llm.words import SQL_SEPARATOR, blocks, signed
 
@@ -150,14 +150,9 @@ def portions(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit:
         yield portion()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, containment: float = CONTAINMENT, portion: int = PORTION) -> DataFrame:
-    """``id_col``, ``item_col`` and ``containment`` of every document and item that it contains."""
+def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, containment: float, portion: int) -> Iterator[Broadcast]:
+    """Portions with their prefixes set by how often their shingles occur in ``docs``, as broadcasts."""
     spark = docs.sparkSession
-    kept = docs.select(id_col, text_col)
-    id_type = kept.schema[0].dataType.simpleString()
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, containment double"
-    out = None
     for p in portions(benchmark, item_col, item_text_col, n, portion):
         distinct = spark.sparkContext.broadcast(np.unique(p.shingle))
 
@@ -173,11 +168,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(signed(table[seen])), pa.array(total[seen])], names=["h", "c"])
 
-        freq = kept.select(text_col).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).toArrow()  # at most portion rows
+        freq = docs.select(text_col).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).toArrow()  # at most portion rows
         h = freq["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
         set_prefixes(p, h[order], freq["c"].to_numpy()[order], containment)
-        shared = spark.sparkContext.broadcast(p)
+        yield spark.sparkContext.broadcast(p)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, containment: float = CONTAINMENT, portion: int = PORTION) -> DataFrame:
+    """``id_col``, ``item_col`` and ``containment`` of every document and item that it contains."""
+    kept = docs.select(id_col, text_col)
+    id_type = kept.schema[0].dataType.simpleString()
+    item_type = benchmark.schema[item_col].dataType.simpleString()
+    schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, containment double"
+    out = None
+    for shared in prepared(kept, benchmark, text_col, item_col, item_text_col, n, containment, portion):
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -186,7 +191,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
         found = kept.mapInArrow(find, schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], T._parse_datatype_string(schema))
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, containment: float = CONTAINMENT, portion: int = PORTION) -> DataFrame:
+    """The rows of ``docs``, with all columns, that contain no item; decided while scanning, without a join."""
+    out = docs
+    for shared in prepared(docs, benchmark, text_col, item_col, item_text_col, n, containment, portion):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, _, _ = matches(batch.column(text_col), shared.value, n, containment)
+                keep = np.ones(batch.num_rows, bool)
+                keep[rows] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 ORACLE = rf"""

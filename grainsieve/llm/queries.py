@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsieve.llm import decontaminate, jaccard, pieces, toxicity
+from grainsieve.llm import decontaminate, jaccard, pieces, pii, toxicity
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(docs, items)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}

@@ -223,3 +223,15 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = TH
     """The documents whose score reaches ``threshold``, with score and offending spans."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, sample=sample)
     return score_documents(docs, model, id_col=id_col, text_col=text_col, threshold=threshold).where(F.col("score") >= threshold)
+
+
+def keep_clean(docs: DataFrame, model: Crf | None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is below ``threshold``; decided while scanning, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, _ = tag(batch.column(text_col), shared.value, threshold)
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
