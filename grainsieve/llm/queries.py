@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsieve.llm import decontaminate, html, jaccard, langid, pieces, pii, toxicity
+from grainsieve.llm import decontaminate, html, jaccard, langid, pieces, pii, substrings, toxicity
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +45,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_sentencepiece": op5_sentencepiece,
@@ -50,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
 }
 
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substrings.ORACLE, "op4_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
