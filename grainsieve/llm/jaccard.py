@@ -251,7 +251,8 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 part = batch.slice(b.lo, b.hi - b.lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), data], names=["id", "leads", "set"])
 
-    rows = kept.join(sides, "id").select("id", "text", "leads").mapInArrow(sets, "id long, leads array<long>, set binary")
+    # the same shuffled join at every size: its plan does not hang on an estimate of the ids
+    rows = kept.join(sides.hint("merge"), "id").select("id", "text", "leads").mapInArrow(sets, "id long, leads array<long>, set binary")
     rows = rows.select(F.explode("leads").alias("lead"), "id", "set")
     ordered = rows.repartition("lead").sortWithinPartitions(F.col("lead"), F.col("id") != F.col("lead"), F.col("id"))
     return ordered.mapInArrow(lambda x: verify(x, threshold), "id long, lead long, jaccard double").unionByName(equal)
