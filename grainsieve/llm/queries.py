@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsieve.llm import decontaminate, html, jaccard, langid, pieces, pii, substrings, toxicity
+from grainsieve.llm import decontaminate, html, jaccard, langid, pieces, pii, substrings, suffixes, toxicity
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_html_extraction": op3_html_extraction,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_pii": op9_pii,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": substrings.ORACLE, "op4_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substrings.ORACLE, "op4_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op10_suffix_array_dedup": substrings.ORACLE}
