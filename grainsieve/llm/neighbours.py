@@ -274,8 +274,8 @@ def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     index_schema = "key long, start int, ids binary, node binary, nodes binary, graph binary"
     built = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: build_shards(b, degree, beam, alpha), index_schema)
     index = written(built, "graphs")
-    asked = points.select("id", "vector", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slices)).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("key"))
-    told = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long"))
+    asked = points.select("id", "vector", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slices)).alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("key"))
+    told = index.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     both = told.unionByName(asked, allowMissingColumns=True)
     ordered = both.repartition("key", "slice").sortWithinPartitions("key", "slice", F.col("ids").isNull())
     found = ordered.mapInArrow(lambda b: query_shards(b, k, beam, dim), "id long, near array<struct<distance:double,id:long>>")
