@@ -1,0 +1 @@
+"""The engine's plans and the registered queries."""
