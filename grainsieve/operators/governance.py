@@ -152,7 +152,8 @@ def destructive_in_domain(chunks: DataFrame, phrases: DataFrame, *, id_cols: tup
     safe = [f"{verb} refund" for verb in ("request", "request a", "get a")]
     hit = pairs.join(phrases.select("phrase").where(~F.col("phrase").isin(safe)).distinct(), "phrase")
     # two words next to each other may have more than a blank between them
-    m = f"filter(array(named_struct('match', regexp_extract({content_col}, concat('(?i)\\\\b', phrase, '\\\\b'), 0), 'p', locate(phrase, lower({content_col})))), x -> x.p > 0 AND x.match <> '')[0]"
+    at = f"regexp_instr(lower({content_col}), concat('\\\\b', phrase, '\\\\b'))"
+    m = f"IF({at} > 0, named_struct('match', substr({content_col}, {at}, length(phrase)), 'p', {at}), NULL)"
     told = hit.withColumn("m", F.expr(m)).where("m is not null")
     told = told.withColumn("m", F.expr(f"named_struct('match', m.match, 'before', left({content_col}, m.p - 1), 'after', substr({content_col}, m.p + length(m.match)))"))
     return told.select(*id_cols, F.lit("destructive_domain").alias("detector"), F.lit("destructive").alias("tag"), F.expr(T.evidence("m")).alias("evidence"), "phrase")
