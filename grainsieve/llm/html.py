@@ -1,8 +1,8 @@
 """HTML main text by a suffix array per host (operator 3).
 
 Pages become streams of words: scripts, styles, comments, titles and tags go, entities are
-decoded. The streams of a host are concatenated and their suffixes sorted by prefix doubling, to
-the depth of ``length`` words, which is all that decides whether a substring of that length is
+decoded. The streams of a host are concatenated and their suffixes sorted, range by range of the first
+word, to the depth of ``length`` words, which is all that decides whether a substring of that length is
 repeated. Where neighbours in the order agree on ``length`` words and lie on distinct pages, those
 words are boilerplate; what no such substring covers is kept, as runs of words, one a line.
 
@@ -53,36 +53,45 @@ def word_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return code, start, end, first, raw
 
 
-def repeated(code: np.ndarray, page: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+def repeated(code: np.ndarray, first: np.ndarray, page: np.ndarray, length: int, portion: int = 1 << 20) -> np.ndarray:
     """Which words lie in a substring of ``length`` words that is repeated on distinct pages.
 
-    ``page`` and ``text`` are each word's page and row; a substring lies within one row.
+    ``first`` has the first word of each text, and the end; ``page`` each text's page. A substring lies within one
+    text. The suffix array is made by ranges of the first word, of about ``portion`` suffixes, and to
+    the depth that matters.
     """
     n = len(code)
-    covered = np.zeros(n, bool)
+    edge = np.zeros(n + 1, np.int32)
     if n < length:
-        return covered
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    depth = 1
-    while depth < length:
-        step = min(depth, length - depth)
-        key = np.full(n, -1, np.int64)
-        whole = text[step + depth - 1 :] == text[: n - step - depth + 1]
-        key[: n - step - depth + 1] = np.where(whole & (rank[: n - step - depth + 1] >= 0) & (rank[step : n - depth + 1] >= 0), rank[: n - step - depth + 1] << 32 | np.maximum(rank[step : n - depth + 1], 0), -1)
-        values, rank = np.unique(key, return_inverse=True)
-        rank = rank.astype(np.int64) - (1 if values[0] == -1 else 0)
-        depth += step
-    order = np.argsort(rank, kind="stable")  # the suffix array, to this depth
-    order = order[np.searchsorted(rank[order], 0) :]
-    if not len(order):
-        return covered
-    head = np.flatnonzero(np.append(True, rank[order[1:]] != rank[order[:-1]]))
-    low, high = np.minimum.reduceat(page[order], head), np.maximum.reduceat(page[order], head)
-    hit = order[np.repeat(low != high, np.diff(np.append(head, len(order))))]
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+        return edge[:-1] > 0
+    known = np.unique(code)
+    rank = np.empty(n, np.int32)
+    for lo in range(0, n, portion):
+        rank[lo : lo + portion] = np.searchsorted(known, code[lo : lo + portion])
+    upto = np.cumsum(np.bincount(rank, minlength=len(known)))
+    lo = 0
+    while lo < len(known):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + portion, "right")))
+        at = np.flatnonzero((rank >= lo) & (rank < hi))
+        lo = hi
+        text = np.searchsorted(first, at, "right") - 1
+        whole = at + length <= first[text + 1]
+        at, text = at[whole], text[whole]
+        if len(at) < 2:
+            continue
+        pairs = [rank[at + k].astype(np.int64) << 32 | (rank[at + k + 1] if k + 1 < length else 0) for k in range(0, length, 2)]
+        order = np.lexsort(pairs[::-1])
+        new = np.append(True, np.zeros(len(at) - 1, bool))
+        for k in pairs:
+            k = k[order]
+            new[1:] |= k[1:] != k[:-1]
+        head = np.flatnonzero(new)
+        own = page[text[order]]
+        several = np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head)
+        hit = at[order[np.repeat(several, np.diff(np.append(head, len(at))))]]
+        edge[hit] += 1
+        edge[hit + length] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def kept_runs(text: bytes, start: np.ndarray, end: np.ndarray, covered: np.ndarray) -> tuple[str, int]:
@@ -94,11 +103,8 @@ def kept_runs(text: bytes, start: np.ndarray, end: np.ndarray, covered: np.ndarr
     return "\n".join(lines), len(lines)
 
 
-def _emit(ids: pa.Array, hosts: pa.Array, texts: pa.Array, covered: np.ndarray | None, length: int, page: np.ndarray | None) -> pa.RecordBatch:
-    code, start, end, first, raw = word_stream(texts)
-    row = np.repeat(np.arange(len(texts)), np.diff(first))
-    if covered is None:
-        covered = repeated(code, page[row], row, length)
+def _emit(ids: pa.Array, hosts: pa.Array, texts: pa.Array, covered: np.ndarray) -> pa.RecordBatch:
+    _, start, end, first, raw = word_stream(texts)
     out, n_runs = [], []
     data = raw.tobytes()
     for a, b in zip(first[:-1], first[1:]):
@@ -110,6 +116,26 @@ def _emit(ids: pa.Array, hosts: pa.Array, texts: pa.Array, covered: np.ndarray |
     return pa.RecordBatch.from_arrays([ids, hosts, pa.array(out, pa.string()), pa.array(n_runs, pa.int32()), pa.array((np.diff(first) - removed).astype(np.int32)), pa.array(removed.astype(np.int32))], names=["id", "host", "text", "runs", "kept_words", "removed_words"])
 
 
+def host_pages(group: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """The pages of a host without its boilerplate; texts are read in portions, twice."""
+    parts = group.to_batches(max_chunksize=1000)
+    codes, sizes = [], []
+    for p in parts:
+        code, _, _, first, _ = word_stream(p.column("text"))
+        codes.append(code)
+        sizes.append(np.diff(first))
+    first = np.append(0, np.cumsum(np.concatenate(sizes)))
+    ids = pa.concat_arrays([p.column("id") for p in parts])
+    number = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    page = np.where(np.isnan(number), len(ids) + np.arange(len(ids)), np.nan_to_num(number)).astype(np.int64)
+    covered = repeated(np.concatenate(codes), first, page, length)
+    del codes
+    row = 0
+    for p in parts:
+        yield _emit(p.column("id"), p.column("host"), p.column("text"), covered[first[row] : first[row + p.num_rows]])
+        row += p.num_rows
+
+
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = LENGTH, host_bytes: int = HOST_BYTES) -> DataFrame:
     """``id_col``, ``host``, ``text`` (kept runs), ``runs``, ``kept_words`` and ``removed_words`` of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
@@ -128,14 +154,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     def by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "host"):
-            group = group.combine_chunks()
-            ids, texts = (group[c].combine_chunks() if isinstance(group[c], pa.ChunkedArray) else group[c] for c in ("id", "text"))
-            ids, texts = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, texts))
-            codes = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            page = np.where(np.isnan(codes), len(codes) + np.arange(len(codes)), np.nan_to_num(codes)).astype(np.int64)
-            whole = _emit(ids, pa.array([group["host"][0].as_py()] * len(ids), pa.string()), texts, None, length, page)
-            for lo in range(0, whole.num_rows, 2000):
-                yield whole.slice(lo, 2000)
+            yield from host_pages(group, length)
 
     texts = rows.mapInArrow(extract, f"id {id_type}, host string, text string")
     usual = texts.where(~F.col("host").isin(names)) if names else texts
@@ -174,6 +193,6 @@ def _spread(texts: DataFrame, length: int, schema: str) -> DataFrame:
                     hit = np.flatnonzero(np.isin(h, known))
                     for j in range(length):
                         covered[hit + j] = True
-                yield _emit(part.column(0), part.column(1), part.column(2), covered, length, None)
+                yield _emit(part.column(0), part.column(1), part.column(2), covered)
 
     return texts.join(found, ["host", "page"], "left").select("id", "host", "text", "grams").mapInArrow(finish, schema)
