@@ -3,7 +3,7 @@
 Two states, clean and toxic. A word's evidence for the toxic state is a sum of hashed
 weights of the word, its beginnings and its ending; transitions join neighbours. Documents
 are labelled, words are not: a word of a toxic document counts as labelled toxic where one
-of its features is much more frequent in toxic documents than in clean ones. Chains are
+of its features is much more frequent in toxic documents than in clean ones, and hardly by chance. Chains are
 sentences, cut after ``CHAIN`` words. Forward-backward gives each word's marginal; a
 document's score is its largest marginal, its offending spans are the runs of words whose
 marginal reaches the threshold, as character offsets into the text.
@@ -29,6 +29,7 @@ BITS = 20
 CHAIN = 64
 SAMPLE = 1000
 THRESHOLD = 0.8
+SURPRISE = float(np.log(1e5))
 SCHEMA = "score double, spans array<struct<start:int,end:int>>"
 
 
@@ -126,6 +127,12 @@ def distinct(texts: list[str | None]) -> list[int]:
     return keep
 
 
+def surprise(k: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """Chernoff's bound on how improbable k toxic documents of m are by chance, as a negative logarithm."""
+    p = np.clip(k / np.maximum(m, 1), 1e-9, 1 - 1e-9)
+    return np.where(p > share, m * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share))), 0)
+
+
 def fit(texts: list[str | None], toxic: list[int], steps: int = 40, ratio: float = 3.0, support: float = 0.02) -> Crf | None:
     """A model of labelled documents; None where one of the classes is missing."""
     alone = distinct(texts)
@@ -140,7 +147,7 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = 40, ratio: float
             pair = np.unique(own * (1 << BITS) + row)
             np.add.at(seen, (y[b.lo + pair // (1 << BITS)].astype(int), pair % (1 << BITS)), 1)
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((~y).sum() + 1))
-    marked = (odds >= ratio) & (seen[1] >= max(3, support * y.sum()))
+    marked = (odds >= ratio) & (seen[1] >= max(3, support * y.sum())) & (surprise(seen[1], seen.sum(0), y.mean()) >= SURPRISE)
     slots, gold, heads, sizes, base = [], [], [], [], 0
     for b, f in parts:
         head, size = chains(b)
