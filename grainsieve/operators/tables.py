@@ -9,7 +9,7 @@ from grainsieve.functions import text as T
 
 TABLE = r"(?is)<table[^>]*>.*?</table>"
 LIST = r"(?is)<ol[^>]*>.*?</ol>"
-FIGURE = r"(?is)(?:<[^>]+>)?\s*\[Figure\s+\d+:\s*.*?\]\s*(?:</[^>]+>)?"
+FIGURE = r"(?is)(?:<[a-z][^>]*>)?\s*\[Figure\s+\d+:\s*.*?\]\s*(?:</[^>]+>)?"
 _NUMBERED = r"(?is)\[Figure\s+(\d+):(.*?)\]"
 _EMPTY = "'none', 'n/a', '-', ''"
 

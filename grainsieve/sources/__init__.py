@@ -1,0 +1 @@
+"""Reading documents and test sets, writing results, keeping phases."""
