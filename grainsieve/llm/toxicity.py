@@ -30,6 +30,7 @@ CHAIN = 64
 SAMPLE = 1000
 THRESHOLD = 0.8
 SURPRISE = float(np.log(1e5))
+TAG_BYTES = 1 << 19  # of text that is scored at a time
 SCHEMA = "score double, spans array<struct<start:int,end:int>>"
 
 
@@ -179,7 +180,7 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = 40, ratio: float
 def tag(texts: pa.Array, model: Crf | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, list[list[dict]]]:
     """Score and offending spans of each text."""
     score, spans = np.zeros(len(texts)), [[] for _ in range(len(texts))]
-    for b in blocks(texts) if model else ():
+    for b in blocks(texts, limit=TAG_BYTES) if model else ():
         if not len(b.code):
             continue
         head, size = chains(b)
