@@ -123,6 +123,17 @@ def detectors(pii_mode: str = "smart", mailboxes: list[str] = FUNCTIONAL_MAILBOX
     return [d for d in out if d.tag not in off]
 
 
+#: Lower-case words one of which any match of a detector holds: looked for first, as plain search is much faster than a regular expression.
+HINTS = {
+    "internal_note": "internal;do not share;confidential;agent;not for ", "pii_email": "@", "pii_name": "lead;edited by;customer;contact;client;author;assigned to", "pii_name_email": "@",
+    "placeholder": "[insert ;to be ;placeholder;coming soon;add ;xxx;todo;tbd;hack;fixme", "editorial_tracked_change": "[tracked change", "editorial_html_comment": "<!--", "editorial_draft_marker": "pending;draft",
+    "editorial_revision_note": "previous version;last edited;edited by", "editorial_strikethrough": "~~", "metadata_jira_id": "ticket;jira;issue", "metadata_internal_url": "://", "metadata_admin_url": "://", "metadata_debug_url": "://",
+    "metadata_slack_channel": "#", "metadata_build_number": "release;deploy;build", "metadata_sprint_ref": "sprint", "metadata_vpn_resource": "vpn", "vague_claim": "work;accordingly;care of everything;appropriate action;seamlessly;cases;handles;situations;scenarios",
+    "destructive": "wipe;reset all;remove permanently;purge;format disk;factory reset;erase all;drop table;destroy;delete;deactivate account", "broken_reference": "not available;refer to ;link ;see ", "escalation_no_details": "contact ;escalate to ",
+}
+_FOUND = "array<struct<detector:string,tag:string,evidence:string,matched:string,reason:string,ord:int>>"
+
+
 def _findings(d: Detector, order: int, content: str) -> str:
     said = T.evidence("m") if d.sentence else "left(m.match, 100)"
     if d.name == "pii_email":
@@ -131,13 +142,16 @@ def _findings(d: Detector, order: int, content: str) -> str:
     if d.once:
         key = "lower(left(x.evidence, 80))"
         rows = f"transform(array({rows}), a -> filter(a, (x, i) -> i = 0 OR not exists(slice(a, 1, i), y -> lower(left(y.evidence, 80)) = {key})))[0]"
-    return rows
+    if d.name not in HINTS:
+        return rows
+    hint = " OR ".join(f"contains(low, {T.quote(h)})" for h in HINTS[d.name].split(";"))
+    return f"IF({hint}, {rows}, CAST(array() AS {_FOUND}))"
 
 
 def with_findings(chunks: DataFrame, table: list[Detector] | None = None, *, content_col: str = "content", into: str = "findings") -> DataFrame:
     """``chunks`` with an array of findings: detector, tag, evidence, matched, reason, ord."""
     parts = [_findings(d, k, content_col) for k, d in enumerate(table or detectors())]
-    return chunks.withColumn(into, F.expr(f"IF({content_col} IS NULL, NULL, concat({', '.join(parts)}))"))
+    return chunks.withColumn(into, F.expr(f"IF({content_col} IS NULL, NULL, transform(array(lower({content_col})), low -> concat({', '.join(parts)}))[0])"))
 
 
 def findings(chunks: DataFrame, table: list[Detector] | None = None, *, id_cols: tuple[str, ...] = ("doc_id",), content_col: str = "content") -> DataFrame:
