@@ -75,21 +75,30 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks with a number over all documents, in order: the place of a document among all, times its span, and the place in it.
+def with_numbers(docs: DataFrame) -> DataFrame:
+    """Documents with a dense number each, ``doc_no``; equal ids stay different documents."""
+    marked = kept(docs.withColumn("_m", F.monotonically_increasing_id()), "docs")
+    sizes = marked.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("n")).orderBy("_p").collect()  # a row for each partition
+    start, rows = 0, []
+    for r in sizes:
+        rows.append((r._p, start))
+        start += r.n
+    offsets = docs.sparkSession.createDataFrame(rows, "_p long, _o long")
+    return marked.join(F.broadcast(offsets), F.shiftright("_m", 33) == F.col("_p")).withColumn("doc_no", F.expr("_o + (_m & 8589934591L)")).drop("_m", "_p", "_o")
+
 
-    Neighbours in a document differ by one, those of different documents by more than what counts as near.
-    """
-    return chunks.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 43)) * (1 << 20) + F.col("chunk_no"))
+def numbered(chunks: DataFrame) -> DataFrame:
+    """Chunks with a number over all documents: neighbours in a document differ by one, those of different documents by more than what counts as near."""
+    return chunks.withColumn("chunk", F.col("doc_no") * (1 << 20) + F.col("chunk_no"))
 
 
 def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
     """The whole run over documents in any form that ``from_any`` takes."""
     c = config or Config()
-    docs = kept(from_any(spark, data), "docs")
-    raw = kept(chunking.raw_chunks(docs, least=c.least_words, most=c.most_words), "raw")
+    docs = kept(with_numbers(from_any(spark, data)), "numbered")
+    raw = kept(chunking.raw_chunks(docs, id_col="doc_no", least=c.least_words, most=c.most_words), "raw")
     one = docs.limit(2).collect()
-    ctx = domain.infer(raw, title=one[0].title if len(one) == 1 else "", keys=("doc_id", "chunk_no"))
+    ctx = domain.infer(raw, title=one[0].title if len(one) == 1 else "", keys=("doc_no", "chunk_no"))
     ctx = domain.overridden(ctx, domain_type=c.domain_type, company_name=c.company_name, actors=c.extra_actors, acronyms=c.extra_acronyms, products=c.extra_products, destructive=c.extra_destructive)
     ctx.scopes |= c.scope_filters
     ctx.acronyms = {k: v for k, v in ctx.acronyms.items() if v}
@@ -99,14 +108,14 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
     def count(module: str, df: DataFrame, detected, resolved) -> None:
         stats.append(df.agg(F.lit(module).alias("module_id"), F.coalesce(detected, F.lit(0)).cast("long").alias("detected"), F.coalesce(resolved, F.lit(0)).cast("long").alias("resolved")))
 
-    html = tables.normalized(docs.withColumnRenamed("text", "html"))
-    named = kept(structure.named_sections(html), "sections")
+    html = tables.normalized(docs.select("doc_no", F.col("text").alias("html")), id_col="doc_no")
+    named = kept(structure.named_sections(html, id_col="doc_no"), "sections")
     found["A13"] = named.where("heading_source <> 'original'")
     count("A13", named, F.count_if(F.expr(f"words >= {structure.LEAST_WORDS} AND (is_orphan OR is_generic)")), F.count_if(F.col("heading_source") != "original"))
-    whole = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_no", F.col("new_heading").alias("heading"), "content"))).alias("sections"))
-    chunks = chunking.smart_chunks(whole, least=c.least_words, most=c.most_words, threshold=c.topic_shift)
-    meta = docs.select("doc_id", "title", F.expr("metadata['last_modified']").alias("last_modified"), F.expr("metadata['author']").alias("author"))
-    chunks = kept(numbered(chunks.join(meta, "doc_id")).withColumn("tag", F.lit("content")).withColumn("tag_reason", F.lit("")), "chunks")
+    whole = named.groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct("section_no", F.col("new_heading").alias("heading"), "content"))).alias("sections"))
+    chunks = chunking.smart_chunks(whole, id_col="doc_no", least=c.least_words, most=c.most_words, threshold=c.topic_shift)
+    meta = docs.select("doc_no", "doc_id", "title", F.expr("metadata['last_modified']").alias("last_modified"), F.expr("metadata['author']").alias("author"))
+    chunks = kept(numbered(chunks.join(meta, "doc_no")).withColumn("tag", F.lit("content")).withColumn("tag_reason", F.lit("")), "chunks")
     if 2 in c.phases:
         chunks = kept(temporal.flag_stale(temporal.enrich(chunks, c.today, stale_days=c.freshness_days)), "dated")
         count("A22", chunks, F.count_if("is_stale"), F.lit(0))
@@ -137,14 +146,14 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
 def rechunked(chunks: DataFrame, c: Config) -> DataFrame:
     """Chunks of ten words or more, cut and merged again in their document, behind a prefix of heading and topic words; a chunk has the tag of highest precedence of the headings it is made of."""
     rows = chunks.where(F.expr(f"{T.word_count('content')} >= 10"))
-    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "heading", "content"))).alias("sections"))
-    new = numbered(chunking.smart_chunks(whole, least=c.least_words, most=c.most_words, threshold=c.topic_shift))
+    whole = rows.groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "heading", "content"))).alias("sections"))
+    new = numbered(chunking.smart_chunks(whole, id_col="doc_no", least=c.least_words, most=c.most_words, threshold=c.topic_shift))
     base = F.regexp_replace("heading", r"\s*-\s*\d+$", "")
     order = F.struct(F.expr(governance.priority_of("tag")), F.when(F.col("tag") == "content", 1).otherwise(0))
     flag = F.max("clarity_fixed") if "clarity_fixed" in rows.columns else F.lit(False)
-    tags = rows.groupBy("doc_id", base.alias("_h")).agg(F.min_by("tag", order).alias("tag"), F.min_by("tag_reason", order).alias("tag_reason"), flag.alias("clarity_fixed"))
-    per_doc = rows.groupBy("doc_id").agg(F.first("title").alias("title"), F.first("last_modified").alias("last_modified"), F.first("author").alias("author"))
-    new = new.withColumn("_h", base).join(tags, ["doc_id", "_h"], "left").join(per_doc, "doc_id").drop("_h")
+    tags = rows.groupBy("doc_no", base.alias("_h")).agg(F.min_by("tag", order).alias("tag"), F.min_by("tag_reason", order).alias("tag_reason"), flag.alias("clarity_fixed"))
+    per_doc = rows.groupBy("doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("title").alias("title"), F.first("last_modified").alias("last_modified"), F.first("author").alias("author"))
+    new = new.withColumn("_h", base).join(tags, ["doc_no", "_h"], "left").join(per_doc, "doc_no").drop("_h")
     new = kept(new.withColumn("tag", F.coalesce("tag", F.lit("content"))).withColumn("clarity_fixed", F.coalesce("clarity_fixed", F.lit(False))), "rechunked")
     top = consistency.content_words(new, key="chunk").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("top"))
     return chunking.enriched(new, top, keys=("chunk",))

@@ -32,6 +32,13 @@ def test_run_and_evaluation(spark):
     assert engine.totals(r.stats).where("module_id IS NULL").count() == 1
 
 
+def test_equal_ids_are_different_documents(spark):
+    text = "This page explains shipping of parcels to other countries by sea and air in {} weeks."
+    r = engine.analyze(spark, [{"id": "x", "text": text.format("two")}, {"id": "x", "text": text.format("three")}], engine.Config(phases=(1,)))
+    assert sorted(c.content for c in r.chunks.collect()) == sorted([text.format("two"), text.format("three")])
+    assert {c.doc_no for c in r.chunks.collect()} == {0, 1}
+
+
 def test_from_any(spark):
     assert [r.doc_id for r in files.from_any(spark, ["x", {"id": 5, "text": "y"}, 3]).collect()] == ["doc_1", "5"]
     assert files.from_any(spark, []).count() == 0
