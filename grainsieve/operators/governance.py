@@ -157,7 +157,7 @@ def with_findings(chunks: DataFrame, table: list[Detector] | None = None, *, con
 def findings(chunks: DataFrame, table: list[Detector] | None = None, *, id_cols: tuple[str, ...] = ("doc_id",), content_col: str = "content") -> DataFrame:
     """One row for each finding, with the chunk's key."""
     found = with_findings(chunks.select(*id_cols, content_col), table, content_col=content_col, into="_f")
-    return found.select(*id_cols, F.explode("_f").alias("f")).select(*id_cols, "f.*")
+    return found.select(*id_cols, F.inline("_f"))  # not explode: its fields would be pruned apart, each with findings of its own
 
 
 def destructive_in_domain(chunks: DataFrame, phrases: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), content_col: str = "content") -> DataFrame:
