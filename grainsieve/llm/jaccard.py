@@ -7,10 +7,12 @@ In a bucket, MinHash values are compared in steps: a pair is dropped as soon as,
 agreements so far and a uniform prior, the probability that its Jaccard similarity reaches the
 threshold is below the tolerance. What is left is verified on the full sets.
 
-Large groups stay linear: in a bucket every document is compared with the bucket's leaders, a
-document becoming a leader unless it is very probably similar to one already. Verified pairs
-join documents into groups (connected components), so that a pair of copies which both match
-a leader needs no comparison of its own, and no bucket, group or list of partners has a cap.
+``similar_pairs`` compares every pair of a bucket. ``near_duplicates`` needs groups only (connected
+components of the verified pairs) and gets the same ones in two rounds. In the first, a document
+of a bucket is compared with the bucket's leaders, becoming one unless it is very probably
+similar to one already. In the second, all pairs of a bucket are compared whose documents the
+verified pairs of the first have not joined. Large groups are joined in the first, so that they
+stay linear, and no bucket, group or list of partners has a cap.
 
 Ids that are null take no part. Rows that repeat an id count as one document. Null, empty and
 wordless texts are in no group. Only the id and text columns are read.
@@ -97,28 +99,47 @@ def limits(t: float, tolerance: float) -> list[tuple[int, int]]:
     return [(e, next((m for m in range(e + 1) if reach(m, e, t) >= tolerance), e + 1)) for e in ends]
 
 
-def bucket_pairs(sig: np.ndarray, t: float, tolerance: float, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (document, leader) of a bucket that are left after the pruning."""
-    steps = limits(t, tolerance)
-    settled = next((m for m in range(sig.shape[1] + 1) if reach(m, sig.shape[1], t) >= sure), sig.shape[1] + 1)
+def alike(sig: np.ndarray, i: int, rest: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents of ``rest`` the pruning leaves for document ``i``, and their agreements."""
+    hits, lo = np.zeros(len(rest), np.int64), 0
+    for hi, least in steps:
+        hits = hits + (sig[rest, lo:hi] == sig[i, lo:hi]).sum(1)
+        go = hits >= least
+        rest, hits, lo = rest[go], hits[go], hi
+    return rest, hits
 
-    def alike(i: int, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hits, lo = np.zeros(len(rest), np.int64), 0
-        for hi, least in steps:
-            hits = hits + (sig[rest, lo:hi] == sig[i, lo:hi]).sum(1)
-            go = hits >= least
-            rest, hits, lo = rest[go], hits[go], hi
-        return rest, hits
 
+def leader_pairs(sig: np.ndarray, t: float, tolerance: float, sure: float = SURE) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaders of a bucket, each with the documents that are left for it after the pruning."""
+    steps = limits(t, tolerance)
+    settled = next((m for m in range(sig.shape[1] + 1) if reach(m, sig.shape[1], t) >= sure), sig.shape[1] + 1)
     free = np.arange(len(sig))
-    docs, leads = [], []
     while len(free):
         i = free[0]
-        rest, hits = alike(i, np.delete(np.arange(len(sig)), i))
-        docs.append(rest)
-        leads.append(np.full(len(rest), i))
+        rest, hits = alike(sig, i, np.delete(np.arange(len(sig)), i), steps)
+        yield i, rest
         free = np.setdiff1d(free[1:], rest[hits >= settled], assume_unique=True)
-    return np.concatenate(docs), np.concatenate(leads)
+
+
+def bucket_pairs(sig: np.ndarray, t: float, tolerance: float, group: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Documents of a bucket, each with the later ones that are left for it after the pruning.
+
+    With ``group``, a number for each document, only pairs of different groups are compared.
+    """
+    steps = limits(t, tolerance)
+    if group is None:
+        for i in range(len(sig) - 1):
+            yield i, alike(sig, i, np.arange(i + 1, len(sig)), steps)[0]
+        return
+    # the largest group comes last: each document looks only at what lies behind its own group
+    _, of, size = np.unique(group, return_inverse=True, return_counts=True)
+    order = np.lexsort((of, size[of]))
+    ends = np.append(np.flatnonzero(np.diff(of[order])) + 1, len(order))
+    for k, i in enumerate(order):
+        end = ends[np.searchsorted(ends, k, "right")]
+        if end == len(order):
+            return
+        yield i, alike(sig, i, order[end:], steps)[0]
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -149,20 +170,23 @@ def binary_rows(column: pa.ChunkedArray, dtype: type, width: int) -> np.ndarray:
     return np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]].view(dtype).reshape(len(raw), width)
 
 
-def propose(batches: Iterator[pa.RecordBatch], t: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of buckets; input sorted by bucket and id."""
+def propose(batches: Iterator[pa.RecordBatch], t: float, tolerance: float, way: str = "all") -> Iterator[pa.RecordBatch]:
+    """Pairs of buckets: all, those with leaders, or those across groups; input sorted by bucket and id."""
     out_a, out_b, held = [], [], 0
     for group in runs(batches, "key"):
         if group.num_rows < 2:
             continue
         ids = group["id"].to_numpy()
-        d, lead = bucket_pairs(binary_rows(group["sig"], np.uint16, BANDS * ROWS), t, tolerance)
-        out_a.append(ids[d])
-        out_b.append(ids[lead])
-        held += len(d)
-        if held > 100_000:
-            yield from _pairs(out_a, out_b)
-            out_a, out_b, held = [], [], 0
+        sig = binary_rows(group["sig"], np.uint16, BANDS * ROWS)
+        found = leader_pairs(sig, t, tolerance) if way == "leaders" else bucket_pairs(sig, t, tolerance, group["root"].to_numpy() if way == "across" else None)
+        for i, others in found:
+            if len(others):
+                out_a.append(ids[others])
+                out_b.append(np.full(len(others), ids[i]))
+                held += len(others)
+            if held > 100_000:
+                yield from _pairs(out_a, out_b)
+                out_a, out_b, held = [], [], 0
     yield from _pairs(out_a, out_b)
 
 
@@ -229,8 +253,8 @@ def verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(leads, pa.int64()), pa.array(scores, pa.float64())], names=["id", "lead", "jaccard"])
 
 
-def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Verified pairs (``id``, ``lead``, ``jaccard``), those of equal sets with 1.0."""
+def _sketched(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, their sketches, pairs of equal sets, and the buckets (``key``, ``id``) of more than one document."""
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     sketches = written(kept.mapInArrow(lambda x: sketch(x, n), "id long, same long, sig binary, keys array<long>"), "sketches")
     rep = sketches.groupBy("same").agg(F.min("id").alias("lead"))
@@ -238,8 +262,12 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     first = sketches.select("id", "same").join(rep, "same").where("id = lead").select("id")
     keyed = sketches.join(first, "id", "left_semi").select("id", F.explode("keys").alias("key"))
     busy = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(repeated_keys, "id long, key long")
-    with_sig = busy.join(sketches.select("id", "sig"), "id").select("key", "id", "sig")
-    proposed = with_sig.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: propose(x, threshold, tolerance), "id long, lead long").distinct()
+    return kept, sketches.select("id", "sig"), equal, busy
+
+
+def _verified(kept: DataFrame, with_sig: DataFrame, n: int, threshold: float, tolerance: float, way: str) -> DataFrame:
+    """Pairs that buckets propose, verified on the full sets."""
+    proposed = with_sig.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: propose(x, threshold, tolerance, way), "id long, lead long").distinct()
     proposed = written(proposed, "proposed")
     sides = proposed.unionByName(proposed.select(F.col("lead").alias("id"), "lead")).groupBy("id").agg(F.collect_set("lead").alias("leads"))
 
@@ -255,13 +283,25 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = kept.join(sides.hint("merge"), "id").select("id", "text", "leads").mapInArrow(sets, "id long, leads array<long>, set binary")
     rows = rows.select(F.explode("leads").alias("lead"), "id", "set")
     ordered = rows.repartition("lead").sortWithinPartitions(F.col("lead"), F.col("id") != F.col("lead"), F.col("id"))
-    return ordered.mapInArrow(lambda x: verify(x, threshold), "id long, lead long, jaccard double").unionByName(equal)
+    return ordered.mapInArrow(lambda x: verify(x, threshold), "id long, lead long, jaccard double")
+
+
+def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """All verified pairs (``id``, ``lead``, ``jaccard``) of sets; equal sets are paired, with 1.0, with the smallest id of their class only, which stands for them in the other pairs."""
+    kept, sigs, equal, busy = _sketched(docs, id_col, text_col, n)
+    return _verified(kept, busy.join(sigs, "id").select("key", "id", "sig"), n, threshold, tolerance, "all").unionByName(equal)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Every document with a near duplicate: its id and its group, the smallest id of the group."""
-    pairs = similar_pairs(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold, tolerance=tolerance)
-    rest = components(pairs, "id", "lead")
+    kept, sigs, equal, busy = _sketched(docs, id_col, text_col, n)
+    busy = written(busy, "buckets")
+    some = _verified(kept, busy.join(sigs, "id").select("key", "id", "sig"), n, threshold, tolerance, "leaders").unionByName(equal)
+    joined = components(some, "id", "lead")
+    rooted = busy.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    across = _verified(kept, rooted.join(mixed, "key").join(sigs, "id").select("key", "id", "sig", "root"), n, threshold, tolerance, "across")
+    rest = components(joined.select(F.col("node").alias("id"), F.col("root").alias("lead")).unionByName(across.select("id", "lead")), "id", "lead")
     id_type = docs.schema[id_col].dataType
     roots = rest.select(F.col("root").alias("node"), "root").distinct()
     return rest.unionByName(roots).select(F.col("node").cast(id_type).alias(id_col), F.col("root").cast(id_type).alias("group_id"))

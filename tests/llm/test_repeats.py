@@ -121,3 +121,44 @@ def test_pruning_keeps_pairs_at_the_threshold():
     # a pair whose agreements equal the threshold at each step is never dropped
     assert all(least <= jaccard.THRESHOLD * seen for seen, least in jaccard.limits(jaccard.THRESHOLD, jaccard.TOLERANCE))
     assert jaccard.reach(0, 63, 0.6) < 1e-9 < 1 - 1e-9 < jaccard.reach(63, 63, 0.6)
+
+
+def near_threshold():
+    """Families whose copies lie around the threshold, far more of a family's pairs just under or over it than well over."""
+    rows = []
+    for g, share in enumerate((0.05, 0.06, 0.07)):
+        base = words(400 + g, 150)
+        rows += [(1000 * g + k, edited(base, share, 7919 * g + k)) for k in range(150)]
+    return rows
+
+
+def test_pairs_near_the_threshold(spark, odd):
+    rows = near_threshold()
+    sets = {i: {tuple(w[p : p + jaccard.N]) for p in range(len(w) - jaccard.N + 1)} for i, w in token_lists(rows).items()}
+    ids = sorted(sets)
+    want = {(b, a) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= jaccard.THRESHOLD * len(sets[a] | sets[b]) - 1e-9}
+    got = {(r.id, r.lead) for r in jaccard.similar_pairs(odd(rows)).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_groups_near_the_threshold(spark, odd):
+    rows = near_threshold()
+    pairs = jaccard.similar_pairs(odd(rows)).collect()
+    root = {}
+    for r in sorted(pairs, key=lambda r: (r.lead, r.id)):
+        root.setdefault(r.lead, r.lead), root.setdefault(r.id, r.id)
+    while any(root[r.id] != root[r.lead] for r in pairs):
+        for r in pairs:
+            root[r.id] = root[r.lead] = min(root[r.id], root[r.lead])
+    assert {r.doc_id: r.group_id for r in jaccard.near_duplicates(odd(rows)).collect()} == root
+
+
+def test_pairs_across_groups():
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 9, 63).astype(np.uint16) * np.ones((40, 1), np.uint16)
+    sig[rng.random(sig.shape) < 0.1] = 99
+    group = rng.integers(0, 4, 40)
+    pairs = lambda found: {tuple(sorted((int(i), int(j)))) for i, others in found for j in others}
+    every = pairs(jaccard.bucket_pairs(sig, 0.6, 0.001))
+    assert every and pairs(jaccard.bucket_pairs(sig, 0.6, 0.001, group)) == {(i, j) for i, j in every if group[i] != group[j]}
+    assert not pairs(jaccard.bucket_pairs(sig, 0.6, 0.001, np.zeros(40, int)))
