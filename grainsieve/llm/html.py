@@ -8,6 +8,7 @@ words are boilerplate; what no such substring covers is kept, as runs of words,
 
 A host whose pages together are longer than ``host_bytes`` isn't gathered in one task: its
 suffixes are partitioned by the hash of their first ``length`` words instead, with the same result.
+The texts of such hosts are written first, each with a row number, which tells rows of null id apart.
 
 Pages with the same id count as one page, so that repeated rows aren't each other's boilerplate;
 rows with a null id are pages of their own. Null or empty HTML gives an empty text. Pages
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.llm.jaccard import runs
+from grainsieve.llm.store import written
 from grainsieve.llm.words import _hash, gram_hash, prefix_sums, segments, signed, text_buffers
 
 LENGTH = 6
@@ -166,7 +168,9 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 def _spread(texts: DataFrame, length: int, schema: str) -> DataFrame:
     """The same for hosts of any size: suffixes partitioned by their first words."""
-    texts = texts.withColumn("page", F.when(F.col("id").isNull(), F.xxhash64("text", F.lit("null"))).otherwise(F.xxhash64("id", F.lit("id"))))
+    # written, so that the suffixes and the join back see the same row numbers
+    texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "pages")
+    texts = texts.withColumn("page", F.when(F.col("id").isNull(), F.xxhash64("row", F.lit("null"))).otherwise(F.xxhash64("id", F.lit("id"))))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,6 +53,14 @@ def test_html_matches_brute_force(spark, host_bytes):
     assert html.main_text(pages(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("host_bytes", [1 << 20, 10])
+def test_html_rows_of_null_id_are_pages_of_their_own(spark, host_bytes):
+    same = "one two three four five six seven"
+    rows = [(None, "https://d.example.com/", same), (None, "https://d.example.com/", same), (None, "https://d.example.com/", "alone " + words(1, 9)), (7, "https://e.example.com/", same), (7, "https://e.example.com/", same)]
+    got = sorted(((r.page_id, r.text, r.kept_words, r.removed_words) for r in html.main_text(pages(spark, rows), host_bytes=host_bytes).collect()), key=str)
+    assert got == brute_main(rows) and got.count((None, "", 0, 7)) == 2 and got.count((7, same, 7, 0)) == 2
+
+
 MODEL = pieces.PATH
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
 
