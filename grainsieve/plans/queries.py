@@ -1,6 +1,7 @@
 """Registered queries over the driver's tables, each with the DuckDB SQL of the same rows where SQL can say it.
 
-All of them run over whole tables and whole texts.
+All of them run over whole tables and whole texts; ``eval_cosine`` alone asks only what its SQL asks, the
+first vector of each label, and ``eval_cosine_all`` asks every vector.
 """
 
 from __future__ import annotations
@@ -396,6 +397,14 @@ def eval_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.cosine(asked, e.select(F.col("vec_id").alias("chunk"), "embedding"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS question_id, e.vec_id AS chunk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e)
+SELECT question_id, chunk, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+def eval_cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest vectors to every vector, itself among them, by exact cosine."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return evaluation.cosine(e.select(F.col("vec_id").alias("question_id"), "embedding"), e.select(F.col("vec_id").alias("chunk"), "embedding"))
+
+
 _OVERLAP = f"""{D.WITH_KB}, j AS (SELECT l.item_id, l.text AS expected_answer, k.doc_id, list_distinct({D.words('l.text', 2)}) AS e, {D.words('k.content', 2)} AS r FROM benchmark l JOIN kb k ON k.doc_id = l.item_id),
 s AS (SELECT item_id, doc_id, CASE WHEN len(e) = 0 THEN 1.0 ELSE len(list_filter(e, lambda x: list_contains(r, x)))::DOUBLE / len(e) END AS sim FROM j),
 v AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'answer' WHEN 1 THEN 'answer_safe' ELSE 'caveat' END AS behavior, CASE WHEN sim >= 0.8 THEN 'correct' WHEN sim >= 0.6 THEN 'partial' ELSE 'incorrect' END AS after, CASE WHEN item_id % 2 = 0 THEN 'incorrect' ELSE 'correct' END AS before FROM s),

@@ -1,10 +1,12 @@
 """Operators on small literals with results worked out by hand."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
 from grainsieve.functions.vocabulary import domain_defaults
 from grainsieve.operators import chunking, clarity, consistency, domain, evaluation, governance, structure, tables, temporal
+from grainsieve.plans import queries
 
 CTX = domain.Context("support", 1.0, "Acme", ["billing"], {"SLA": "Service Level Agreement"}, ["Pro"])
 
@@ -164,3 +166,14 @@ def test_evaluation(spark):
     assert evaluation.budgets({"topic": 9, "governance": 2, "clarity": 1, "consistency": 1}, total=8) == {"topic": 4, "governance": 2, "clarity": 1, "consistency": 1}
     m = evaluation.metrics(spark.createDataFrame([("caveat", "incorrect", "correct"), ("answer", "correct", "correct")], "behavior string, verdict_before string, verdict_after string")).first()
     assert (m.recall_before, m.recall_after, m.hallucination_before, m.risk_before, m.risk_after) == (0.5, 1.0, 1.0, 100.0, 0.0)
+
+
+def test_cosine_asks_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(30, 8)).astype(np.float32)
+    vectors[7] = vectors[3]
+    spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    score = np.round(unit @ unit.T, 6)
+    want = [(q, int(c), k + 1) for q in range(30) for k, c in enumerate(np.lexsort((np.arange(30), -score[q]))[:3])]
+    assert sorted((r.question_id, r.chunk, r.rank) for r in queries.QUERIES["eval_cosine_all"](spark, str(tmp_path)).collect()) == sorted(want)
