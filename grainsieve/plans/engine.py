@@ -135,7 +135,8 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
         found["A32"] = kept(consistency.scored(conflicts, ready, priority_authors=list(c.priority_authors)), "conflicts")
         chunks = kept(consistency.resolve(ready, found["A32"], threshold=c.resolve_from), "resolved")
         count("A32", found["A32"], F.count("*"), F.count_if(F.expr(f"score >= {c.resolve_from} AND winner <> ''")))
-        chunks = rechunked(chunks, c)
+        resolved, chunks = chunks, rechunked(chunks, c)
+        found["A32"] = kept(carried(found["A32"], resolved, chunks), "carried")
     out = governance.behavior(chunks, c.tag_behavior)
     total = stats[0]
     for s in stats[1:]:
@@ -159,13 +160,31 @@ def rechunked(chunks: DataFrame, c: Config) -> DataFrame:
     return chunking.enriched(new, top, keys=("chunk",))
 
 
+def carried(found: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Contradictions with ``chunk_a`` and ``chunk_b``, the re-chunked chunk of the document that holds each side: that with its evidence, else with its heading, else with most of its words; null where the document has none left."""
+    base = F.regexp_replace("heading", r"\s*-\s*\d+$", "")
+    words = F.expr(f"array_distinct({T.words('content', 2)})")
+    had = old.select(F.col("chunk").alias("_old"), "doc_no", base.alias("_h"), words.alias("_w"))
+    has = new.select("doc_no", F.col("chunk").alias("_new"), base.alias("_g"), F.lower("content").alias("_c"), words.alias("_v"))
+    out = found
+    for side in ("a", "b"):
+        said = found.select("a", "b", F.col(side).alias("_old"), F.expr(f"lower(left(evidence_{side}, 60))").alias("_e"))
+        fit = F.struct(F.expr("contains(_c, _e)"), F.expr("_h = _g"), F.expr("size(array_intersect(_w, _v))"), F.expr("-_new"))
+        best = said.join(had, "_old").join(has, "doc_no").groupBy("a", "b").agg(F.max_by("_new", fit).alias(f"chunk_{side}"))
+        out = out.join(best, ["a", "b"], "left")
+    return out
+
+
 def evaluate(result: Result, config: Config | None = None, *, user: DataFrame | None = None, tolerance: float = 0.1) -> dict[str, DataFrame]:
     """Questions, what raw and final chunks answer to them, and metrics: pairs, metrics, by_source, coverage."""
     c = config or Config()
     chunks = kept(result.chunks, "pool")
     advice = evaluation.recommended(chunks, result.findings.get("A32")).first().asDict()
     advice.pop("total")
-    asked = evaluation.questions(chunks, None, evaluation.budgets(advice, c.total_questions), user=user).withColumn("question_id", F.xxhash64("question"))
+    found = result.findings.get("A32")
+    if found is not None:
+        found = found.where("chunk_a IS NOT NULL AND chunk_b IS NOT NULL").withColumn("a", F.col("chunk_a")).withColumn("b", F.col("chunk_b"))
+    asked = evaluation.questions(chunks, found, evaluation.budgets(advice, c.total_questions), user=user).withColumn("question_id", F.xxhash64("question"))
     asked = kept(asked, "questions")
     served = chunks.where("behavior <> 'block'")
     raw = numbered(result.raw_chunks)

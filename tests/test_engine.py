@@ -32,6 +32,23 @@ def test_run_and_evaluation(spark):
     assert engine.totals(r.stats).where("module_id IS NULL").count() == 1
 
 
+def test_contradictions_are_asked(spark):
+    fill = "Customers can read about invoices, payments and the refund policy of the company on this page. " * 3
+    docs = [{"id": "a", "text": PAGE.format(fill, fill)}, {"id": "b", "text": PAGE.replace("5 business", "9 business").format(fill, fill)}]
+    r = engine.analyze(spark, docs)
+    chunks = {c.chunk: c for c in r.chunks.collect()}
+    found = r.findings["A32"].collect()
+    assert found
+    for f in found:
+        assert (chunks[f.chunk_a].doc_no, chunks[f.chunk_b].doc_no) == (f.a >> 20, f.b >> 20)
+        assert "5 business days" in chunks[f.chunk_a].content and "9 business days" in chunks[f.chunk_b].content
+    out = engine.evaluate(r)
+    asked = [p for p in out["pairs"].collect() if p.source == "consistency"]
+    assert asked and all(p.behavior == "caveat" and p.must_review and p.chunk in chunks for p in asked)
+    assert {x.source for x in out["by_source"].collect()} >= {"topic", "consistency"}
+    assert out["coverage"].where("source = 'consistency' AND behavior IS NULL").first().questions == len(asked)
+
+
 def test_equal_ids_are_different_documents(spark):
     text = "This page explains shipping of parcels to other countries by sea and air in {} weeks."
     r = engine.analyze(spark, [{"id": "x", "text": text.format("two")}, {"id": "x", "text": text.format("three")}], engine.Config(phases=(1,)))
