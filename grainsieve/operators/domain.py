@@ -173,8 +173,12 @@ def anchors(frequencies: dict[str, int], least: int = 2) -> dict[str, list[str]]
     return {min(ws, key=lambda w: (-frequencies[w], w)): ws for ws in groups.values()}
 
 
-def infer(chunks: DataFrame, *, title: str = "", content_col: str = "content", keys: tuple[str, ...] = KEYS, least_actor: int = 2, least_word: int = 2, most: int = 10_000) -> Context:
-    """The context of a corpus. ``most`` bounds what of each growing inventory is brought to the driver, the most frequent first."""
+def infer(chunks: DataFrame, *, title: str = "", content_col: str = "content", keys: tuple[str, ...] = KEYS, least_actor: int = 2, least_word: int = 2, most: int | None = None) -> Context:
+    """The context of a corpus, with all of each inventory, which the driver holds. ``most`` bounds what is brought there: the most frequent actors, acronyms and words, the first scopes and products in the alphabet, the first destructive phrases."""
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df if most is None else df.limit(most)
+
     freq = word_frequencies(chunks, content_col=content_col)
     kind = domain_type(domain_scores(freq)).first()
     company = company_of_title(title)
@@ -183,17 +187,17 @@ def infer(chunks: DataFrame, *, title: str = "", content_col: str = "content", k
         company = top[0].name if top and top[0].n >= 3 else ""
 
     def listed(df: DataFrame, column: str) -> list[str]:
-        return [r[0] for r in df.orderBy("first").limit(most).select(column).collect()]
+        return [r[0] for r in cut(df.orderBy("first")).select(column).collect()]
 
-    who = actors(chunks, least=least_actor, content_col=content_col, keys=keys).orderBy(F.desc("n"), "first").limit(most)
-    short = acronyms(chunks, content_col=content_col, keys=keys).orderBy(F.desc("n"), "acronym").limit(most).collect()
+    who = cut(actors(chunks, least=least_actor, content_col=content_col, keys=keys).orderBy(F.desc("n"), "first"))
+    short = cut(acronyms(chunks, content_col=content_col, keys=keys).orderBy(F.desc("n"), "acronym")).collect()
     scope: dict[str, list[str]] = {}
-    for r in scopes(chunks, content_col=content_col, keys=keys).orderBy("type", "value").limit(most).collect():
+    for r in cut(scopes(chunks, content_col=content_col, keys=keys).orderBy("type", "value")).collect():
         scope.setdefault(r.type, []).append(r.value)
-    words = {r.word: r.n for r in freq.where(F.col("n") >= least_word).orderBy(F.desc("n"), "word").limit(most).collect()}
+    words = {r.word: r.n for r in cut(freq.where(F.col("n") >= least_word).orderBy(F.desc("n"), "word")).collect()}
     return Context(
         kind.domain_type, kind.confidence, company, listed(who, "actor"), {r.acronym: r.expansion for r in short},
-        sorted(r[0] for r in products(chunks, company, content_col=content_col, keys=keys).orderBy("product").limit(most).collect()),
+        sorted(r[0] for r in cut(products(chunks, company, content_col=content_col, keys=keys).orderBy("product")).collect()),
         {k: scope[k] for k in SCOPE_PATTERNS if k in scope}, listed(destructive_phrases(chunks, content_col=content_col, keys=keys), "phrase"), anchors(words, least_word),
     )
 

@@ -177,3 +177,10 @@ def test_cosine_asks_every_vector(spark, tmp_path):
     score = np.round(unit @ unit.T, 6)
     want = [(q, int(c), k + 1) for q in range(30) for k, c in enumerate(np.lexsort((np.arange(30), -score[q]))[:3])]
     assert sorted((r.question_id, r.chunk, r.rank) for r in queries.QUERIES["eval_cosine_all"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_inventories_are_whole(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    rare = [a + b + c + d + "qz" for a in letters for b in letters for c in letters for d in letters][:10_100]
+    c = domain.infer(chunks(spark, " ".join(rare), " ".join(rare)).withColumn("chunk_no", F.lit(0)))
+    assert set(rare) <= set(c.anchors)
