@@ -180,7 +180,7 @@ def predict(column: pa.Array, m: Hierarchy | None) -> tuple[list[str], list[str]
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, families: dict[str, str] = FAMILIES) -> Hierarchy | None:
     """Fits the machines on at most ``sample`` documents of each language."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}  # a row for each language; copies count once, as below
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 62) * min(1.0, 3.0 * sample / n)))])

@@ -150,6 +150,15 @@ def test_language_of_odd_rows(spark, odd):
     assert {r.language for r in langid.identify(odd(), None).collect()} == {"und"}
 
 
+def test_language_of_many_copies_is_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 200").select("text", "lang")
+    rare = sorted({r.lang for r in docs.select("lang").distinct().collect()})[0]
+    few = docs.where(F.col("lang") == rare).dropDuplicates(["text"]).orderBy("text").limit(5)
+    copies = few.crossJoin(spark.range(400)).drop("id")
+    model = langid.train(docs.where(F.col("lang") != rare).unionByName(copies), sample=10)
+    assert rare in {x for langs in model.members.values() for x in langs}
+
+
 def brute_containment(docs, items, n=decontaminate.N, share=decontaminate.CONTAINMENT):
     import re
 
