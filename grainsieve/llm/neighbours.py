@@ -3,17 +3,18 @@
 Rows are dealt to shards of about ``shard_rows`` by hash of the id. Each shard builds one graph: points
 are inserted in batches; a greedy search of the graph so far proposes a point's neighbours, and
 relaxed pruning keeps, from the nearest on, those that no kept one is ``alpha`` times nearer to.
-Kept edges are entered in both directions, crowded nodes are pruned again. Every row is then a query: a
-beam search of each shard's graph finds its best candidates there, and the best ``k`` of all shards
-are its neighbours. A query costs a beam search per shard, so the work grows with rows times
-shards: shards should be as large as a task's memory takes (about 0.6 KB a row of 64 numbers).
+Kept edges are entered in both directions, crowded nodes are pruned again. Every row is indexed; the
+queries are the rows that ``asked`` holds for. A beam search of each shard's graph finds a query's best
+candidates there, and the best ``k`` of all shards are its neighbours. A query costs a beam search per
+shard, so the work of queries grows with their number times shards: shards should be as large as a
+task's memory takes (about 0.6 KB a row of 64 numbers).
 
 Distances are Euclidean. A row isn't its own neighbour. Equal vectors of a shard are one node and are
-all found with it; ties go to the smaller id. Rows with a null id or vector, or with a vector that is
-empty, holds null, NaN or infinite numbers, or whose size isn't the most frequent one (of equally
-frequent ones, the smallest), are no queries and no neighbours. Rows that repeat an id count once,
-with the smallest vector. A row has fewer than ``k`` neighbours where the table has too few. Other
-columns aren't read.
+all found with it; ties go to the smaller id. Vectors have neighbours of their own size only: each size
+has shards of its own. Rows with a null id or vector, or with a vector that is empty or holds null, NaN
+or infinite numbers, are no queries and no neighbours. Rows that repeat an id count once, with
+the shortest, of those the smallest, vector. Ids may be of any type. A query has fewer than ``k`` neighbours
+where the table has too few, and no rows where it has none. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainsieve.llm.ids import Ids
 from grainsieve.llm.jaccard import batches_by_key
 from grainsieve.llm.store import written
 
@@ -36,6 +38,7 @@ SHARD_ROWS = 1 << 14
 SLICE_ROWS = 1 << 13
 WIDE = 4  # nodes that a search expands at a time
 BATCH = 512
+TASKS = 1 << 15
 
 
 def sorted_beam(ids: np.ndarray, dist: np.ndarray, done: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,39 +51,35 @@ def sorted_beam(ids: np.ndarray, dist: np.ndarray, done: np.ndarray, beam: int)
 
 def search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Best nodes of each query (-1: none), and their squared distances less the query's own norm."""
-    n_q = len(queries)
+    n, n_q = len(x), len(queries)
     out_ids, out_dist = np.full((n_q, beam), -1, np.int32), np.full((n_q, beam), np.inf, np.float32)
     live = np.arange(n_q)
-    seen = np.zeros((n_q, len(x)), bool)
-    seen[:, start] = True
+    seen = np.zeros(n_q * n, bool)
+    seen[live * n + start] = True
     ids = np.full((n_q, 1), start, np.int32)
     dist = (norms[start] - 2 * (queries @ x[start]))[:, None].astype(np.float32)
     done = np.zeros((n_q, 1), bool)
     while len(live):
-        place = np.cumsum(~done, 1)
-        pick = ~done & (place <= WIDE)
+        pick = ~done & (np.cumsum(~done, 1, dtype=np.int32) <= WIDE)
         rows, cols = np.nonzero(pick)
-        near = graph[ids[rows, cols]]
         done |= pick
-        flat = near.ravel()
-        owner = np.repeat(rows, near.shape[1])
-        good = flat >= 0
-        flat, owner = flat[good], owner[good]
-        fresh = ~seen[live[owner], flat]
-        flat, owner = flat[fresh], owner[fresh]
-        key = np.unique(owner.astype(np.int64) * len(x) + flat)
-        owner, flat = key // len(x), (key % len(x)).astype(np.int32)
-        seen[live[owner], flat] = True
-        count = np.bincount(owner, minlength=len(live))
-        width = int(count.max()) if len(owner) else 0
+        near = graph[ids[rows, cols]]
+        key = (near + (live[rows] * n)[:, None])[near >= 0]
+        key = np.sort(key[~seen[key]])
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        seen[key] = True
+        border = np.searchsorted(key, np.append(live * n, n_q * n))
+        count = np.diff(border)
+        width = int(count.max())
         if width:
-            new_ids, new_dist = np.full((len(live), width), -1, np.int32), np.full((len(live), width), np.inf, np.float32)
-            col = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            new_ids[owner, col] = flat
-            new_dist[owner, col] = norms[flat] - 2 * np.einsum("ij,ij->i", x[flat], queries[live[owner]])
+            held = np.arange(width) < count[:, None]
+            new_ids = np.full((len(live), width), -1, np.int32)
+            new_ids[held] = key - np.repeat(live * n, count)
+            new_dist = norms[new_ids] - 2 * np.matmul(x[new_ids], queries[live][:, :, None])[:, :, 0]
+            new_dist[~held] = np.inf
             ids = np.concatenate([ids, new_ids], 1)
             dist = np.concatenate([dist, new_dist], 1)
-            done = np.concatenate([done, new_ids < 0], 1)
+            done = np.concatenate([done, ~held], 1)
         ids, dist, done = sorted_beam(ids, dist, done, beam)
         over = done.all(1)
         if over.any():
@@ -185,11 +184,12 @@ def vectors(column: pa.Array) -> np.ndarray:
 
 def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(1)
+        lists = batch.column("v")
         x = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32))
         size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         off = (np.append(0, np.cumsum(size)) * 4).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(x)])], names=["id", "vector"])
+        vector = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(x)])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("asked"), pa.array(size.astype(np.int32)), vector], names=["id", "asked", "dim", "vector"])
 
 
 def build_shards(batches: Iterator[pa.RecordBatch], degree: int, beam: int, alpha: float) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def build_shards(batches: Iterator[pa.RecordBatch], degree: int, beam: int, alph
             yield pa.RecordBatch.from_arrays([pa.array([int(key[lo])]), pa.array([start], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["key", "start", "ids", "node", "nodes", "graph"])
 
 
-def query_shards(batches: Iterator[pa.RecordBatch], k: int, beam: int, dim: int) -> Iterator[pa.RecordBatch]:
+def query_shards(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa.RecordBatch]:
     """Neighbours of queries in a shard; input: a shard's index, then its queries."""
     ids = members = first = nodes = norms = graph = start = None
     for batch in batches:
@@ -220,7 +220,7 @@ def query_shards(batches: Iterator[pa.RecordBatch], k: int, beam: int, dim: int)
                 row = batch.slice(lo, 1)
                 blob = {c: row.column(c)[0].as_buffer() for c in ("ids", "node", "nodes", "graph")}
                 all_ids, node = np.frombuffer(blob["ids"], np.int64), np.frombuffer(blob["node"], np.int32)
-                nodes = np.frombuffer(blob["nodes"], np.float32).reshape(-1, dim)
+                nodes = np.frombuffer(blob["nodes"], np.float32).reshape(int(node.max()) + 1, -1)
                 graph = np.frombuffer(blob["graph"], np.int32).reshape(len(nodes), -1)
                 start, norms = row.column("start")[0].as_py(), np.einsum("ij,ij->i", nodes, nodes)
                 by_node = np.lexsort((all_ids, node))
@@ -256,29 +256,35 @@ def best(own: np.ndarray, q: np.ndarray, got: np.ndarray, dist: np.ndarray, ids:
     return pa.RecordBatch.from_arrays([pa.array(own), near], names=["id", "near"])
 
 
-def nearest(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``id_col``, ``rank`` (from 1), ``neighbour`` and ``distance`` of the k nearest rows of every row."""
-    spark = table.sparkSession
-    id_type = table.schema[id_col].dataType
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    rows = rows.where("id is not null and size(v) > 0 and forall(v, a -> a is not null and not isnan(a) and abs(a) < float('inf'))")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()  # one row
-    empty = spark.createDataFrame([], f"`{id_col}` {id_type.simpleString()}, rank int, neighbour {id_type.simpleString()}, distance double")
-    if not sizes:
-        return empty
-    dim = sizes[0].d
-    points = written(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(as_bytes, "id long, vector binary"), "points")
-    n = points.count()
-    shards, slices = max(1, -(-n // shard_rows)), max(1, -(-n // SLICE_ROWS))
-    keyed = points.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(shards)))
+def nearest(
+    table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", asked: str | Column = "true", k: int = K, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA,
+    shard_rows: int = SHARD_ROWS, slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``id_col``, ``rank`` (from 1), ``neighbour`` and ``distance`` of the k nearest rows of every row that ``asked``, a condition on the table, holds for."""
+    number = Ids(table, id_col)
+    condition = F.expr(asked) if isinstance(asked, str) else asked
+    rows = number.rows(table, F.coalesce(condition, F.lit(False)).alias("asked"), F.col(f"`{vector_col}`").cast("array<float>").alias("v"))
+    rows = rows.where("size(v) > 0 and forall(v, a -> a is not null and not isnan(a) and abs(a) < float('inf'))")
+    one = rows.groupBy("id").agg(F.max("asked").alias("asked"), F.min(F.struct(F.size("v").alias("size"), "v"))["v"].alias("v"))
+    points = written(one.mapInArrow(as_bytes, "id long, asked boolean, dim int, vector binary"), "points")
+    # one row for each size of vectors; dealt out by a join, since how many there are isn't known
+    sizes = points.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asked").alias("n_asked"))
+    sizes = sizes.select("dim", F.ceil(F.col("n") / shard_rows).alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("n_asked") / slice_rows)).alias("slices"))
+    sizes = written(sizes, "sizes")
+    shards, pairs = sizes.agg(F.coalesce(F.sum("shards"), F.lit(0)), F.coalesce(F.sum(F.col("shards") * F.col("slices")), F.lit(0))).first()
+    key = lambda shard: (F.col("dim").cast("long") * (1 << 40) + shard).alias("key")
+    sized = points.join(sizes, "dim")
     index_schema = "key long, start int, ids binary, node binary, nodes binary, graph binary"
-    built = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: build_shards(b, degree, beam, alpha), index_schema)
-    index = written(built, "graphs")
-    asked = points.select("id", "vector", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slices)).alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("key"))
-    told = index.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    both = told.unionByName(asked, allowMissingColumns=True)
-    ordered = both.repartition("key", "slice").sortWithinPartitions("key", "slice", F.col("ids").isNull())
-    found = ordered.mapInArrow(lambda b: query_shards(b, k, beam, dim), "id long, near array<struct<distance:double,id:long>>")
+    # as many tasks as shards: their bytes say little about the work
+    keyed = sized.select(key(F.pmod(F.xxhash64("id"), F.col("shards"))), "id", "vector").repartition(max(1, min(shards, TASKS)), "key")
+    index = written(keyed.sortWithinPartitions("key", "id").mapInArrow(lambda b: build_shards(b, degree, beam, alpha), index_schema), "graphs")
+    to = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
+    questions = sized.where("asked").select("dim", "id", "vector", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("slices")).alias("slice"), to).select(key(F.col("shard")), "id", "vector", "slice")
+    of = F.shiftright("key", 40).cast("int")
+    told = index.withColumn("dim", of).join(sizes, "dim").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("dim", "shards", "slices")
+    both = told.unionByName(questions, allowMissingColumns=True)
+    ordered = both.repartition(max(1, min(pairs, TASKS)), "key", "slice").sortWithinPartitions("key", "slice", F.col("ids").isNull())
+    found = ordered.mapInArrow(lambda b: query_shards(b, k, beam), "id long, near array<struct<distance:double,id:long>>")
     top = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    out = top.select("id", F.posexplode("near").alias("rank", "x"))
-    return out.select(F.col("id").cast(id_type).alias(id_col), (F.col("rank") + 1).alias("rank"), F.col("x.id").cast(id_type).alias("neighbour"), F.col("x.distance").alias("distance"))
+    out = top.select("id", F.posexplode("near").alias("rank", "x")).select("id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("other"), F.col("x.distance").alias("distance"))
+    return number.back(out, id=id_col, other="neighbour")

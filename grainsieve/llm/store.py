@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Makes an execution remove its shuffle files from all executors when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on one machine (tests), a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="grainsieve-")
         shared_dir.own = path
         path = f"file://{path}"
@@ -20,19 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written in the shared folder: lineage ends there and lost executors cost nothing."""
+    """``df`` as a table written in the shared folder: lineage ends there and lost executors cost nothing.
+
+    The shuffle files of the job are removed as it ends, since nothing but the table is read again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing reads any more, and shuffle files without a reader."""
+    """Deletes tables of ``written`` that nothing reads any more."""
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t._written_path)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()

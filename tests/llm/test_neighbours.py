@@ -1,7 +1,9 @@
 """Nearest neighbours (1) against brute force."""
 
+import os
+
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from grainsieve.llm import neighbours
 
@@ -48,13 +50,46 @@ def test_small_and_empty_tables(spark):
     assert dict(two.dtypes)["neighbour"] == "int"
 
 
+def test_ids_of_any_type_and_vectors_of_several_sizes(spark):
+    x = np.random.default_rng(1).normal(size=(60, 3))
+    rows = [(f"row {i:03}", v.tolist()) for i, v in enumerate(x)] + [(f"wide {i}", [float(i), *v.tolist()]) for i, v in enumerate(x[:20])] + [(None, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(*r, "x", "y", 3) for r in rows], "vec_id string, embedding array<double>, id string, value string, dim int")
+    out = neighbours.nearest(df, shard_rows=25)
+    assert out.columns == ["vec_id", "rank", "neighbour", "distance"] and dict(out.dtypes)["neighbour"] == "string"
+    got = found(out)
+    _, near = brute(x, 10)
+    assert all({n for n, _ in got[f"row {i:03}"]} == {f"row {k:03}" for k in near[i]} for i in range(60))
+    assert len(got) == 80 and all(n.startswith("wide") for i in range(20) for n, _ in got[f"wide {i}"])
+    some = found(neighbours.nearest(df, asked="vec_id = 'row 007'", slice_rows=1))
+    assert some == {"row 007": got["row 007"]}
+    assert neighbours.nearest(df, asked="vec_id > null").collect() == []
+
+
 def test_query_recall(spark):
     from grainsieve.llm.queries import QUERIES
 
-    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
     x, ids = np.array([r.embedding for r in rows]), [r.vec_id for r in rows]
-    got = found(QUERIES["op1_nearest_neighbours"](spark, "/root/testdata/sf0.001"))
+    got = found(QUERIES["op1_nearest_neighbours"](spark, "/root/testdata/sf0.01"))
     _, near = brute(x, 10)
-    assert np.mean([len({n for n, _ in got[i]} & {ids[k] for k in near[p]}) / 10 for p, i in enumerate(ids)]) >= 0.9
-    assert df.select(F.count("*")).first()[0] == len(got)
+    asked = [p for p, i in enumerate(ids) if i % 50 == 0]
+    assert np.mean([len({n for n, _ in got[ids[p]]} & {ids[k] for k in near[p]}) / 10 for p in asked]) >= 0.9
+    assert set(got) == {ids[p] for p in asked} and asked
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/check_l"), reason="no large table")
+def test_recall_over_a_large_table(spark):
+    """Every 50th of 51,000 vectors against all of them, over several shards."""
+    df = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.toArrow()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy(zero_copy_only=False)).astype(np.float32)
+    got = found(neighbours.nearest(df, asked="vec_id % 500 = 0"))
+    asked = np.flatnonzero(ids % 500 == 0)
+    norms = (x * x).sum(1)
+    hits = []
+    for p in asked:
+        d = norms - 2 * (x @ x[p])
+        d[p] = np.inf
+        hits.append(len({n for n, _ in got[ids[p]]} & set(ids[np.argpartition(d, 10)[:10]].tolist())) / 10)
+    assert len(got) == len(asked) and np.mean(hits) >= 0.9
