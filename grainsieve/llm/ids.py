@@ -30,7 +30,8 @@ class Ids:
         at = F.col(f"`{self.column}`")
         if self.names is None:
             return table.select(at.cast("long").alias("id"), *columns).where("id is not null")
-        return table.select(at.alias("value"), *columns).join(self.names, "value").drop("value")
+        out = table.select(at.alias("value"), *columns).join(self.names, "value").drop("value")
+        return out.select("id", *[c for c in out.columns if c != "id"])
 
     def back(self, table: DataFrame, **names: str) -> DataFrame:
         """``table`` with the numbers of ``names`` (column = new name) as the values that they stand for."""

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.llm.anchors import anchors, shared_rows
+from grainsieve.llm.ids import Ids
 from grainsieve.llm.words import SQL_SEPARATOR, Block, blocks, mix, signed
 
 LENGTH = 50
@@ -191,7 +192,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reach = length - N
     if window < 1:
         raise ValueError(f"length must be at least {N}")
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    number = Ids(docs, id_col)
+    kept = number.rows(docs, F.col(f"`{text_col}`").alias("text"))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +225,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     rows = kept.join(sides.hint("merge"), "id").select("id", "text", "at").mapInArrow(surround, "key long, id long, pos int, right binary, left binary")
     spans = rows.repartition("key").sortWithinPartitions("key", "right", "left").mapInArrow(lambda x: grow(x, length), "id long, start int, end int")
-    return joined_spans(spans).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    out = joined_spans(spans).select("id", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    return number.back(out, id=id_col)
 
 
 def _with_heat(batches: Iterator[pa.RecordBatch], group_rows: int) -> Iterator[pa.RecordBatch]:

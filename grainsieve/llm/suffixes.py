@@ -17,9 +17,14 @@ documents are repeats.
 Words are compared by 21 bits of their hash: two passages of 50 words that differ in one word are
 taken for equal with a probability of one in two million.
 
+Hot keys: of a passage that many documents of a batch have, all are told at once and one row goes on to the
+final sort, so that a key has at most a row a batch there. Keys are named while rows stream by in
+their order, which holds no group in memory; ranges of the merges are cut by two symbols.
+
 Results are word positions (words as in ``words``), as in ``substrings``. Documents with null
 id, null or empty text and those shorter than ``length`` have no rows. Rows that repeat an id are
-one document; repeats within one document don't count. Other columns aren't read.
+one document; repeats within one document don't count. Ids may be of any type. Other columns, whatever
+their names, aren't read. An empty table gives an empty result. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.llm.anchors import anchors, shared_rows
+from grainsieve.llm.ids import Ids
 from grainsieve.llm.jaccard import batches_by_key
 from grainsieve.llm.store import discard, written
 from grainsieve.llm.words import blocks, mix, signed
@@ -290,18 +296,19 @@ def _out(rid: np.ndarray, idx: np.ndarray, name: np.ndarray) -> Iterator[pa.Reco
 
 
 def name_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of the keys of a range, in their order; input (k0, ..., rid, idx)."""
-    columns = whole_partition(batches)
-    if columns is None:
-        return
-    *keys, rid, idx = columns
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    yield from _out(rid[order], idx[order], np.cumsum(new) + _number())
+    """Names of the keys of a range, in their order; input (a, b, c, rid, idx) or (a, b, rid, idx), sorted by the keys."""
+    name, last = _number(), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *keys, rid, idx = (c.to_numpy() for c in batch.columns)
+        new = np.zeros(len(rid), np.int64)
+        new[0] = last is None or any(k[0] != x for k, x in zip(keys, last))
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        names = np.cumsum(new) + name
+        name, last = int(names[-1]), [k[-1] for k in keys]
+        yield from _out(rid, idx, names)
 
 
 def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +343,7 @@ def next_text(text: DataFrame, name: str, packed_words: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(k.astype(np.int64)) for k in keys), batch.column(0).take(pa.array(row[use])), pa.array(sampled(index, size)[use].astype(np.int32))], names=["a", "b", "c", "rid", "idx"])
 
     rows = text.mapInArrow(emit, "a long, b long, c long, rid long, idx int")
-    return by_run(rows.repartitionByRange("a", "b", "c").mapInArrow(name_keys, "key long, idx int, name long"), name)
+    return by_run(rows.repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(name_keys, "key long, idx int, name long"), name)
 
 
 def last_ranks(text: DataFrame, name: str) -> DataFrame:
@@ -349,7 +356,7 @@ def last_ranks(text: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sym), pa.array(ahead(sym, np.diff(off)[row] - index - 1, 1)), batch.column(0).take(pa.array(row)), pa.array(index.astype(np.int32))], names=["a", "b", "rid", "idx"])
 
     rows = text.mapInArrow(emit, "a long, b long, rid long, idx int")
-    return by_run(rows.repartitionByRange("a", "b").mapInArrow(name_keys, "key long, idx int, name long"), name)
+    return by_run(rows.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(name_keys, "key long, idx int, name long"), name)
 
 
 def suffix_keys(sym: np.ndarray, off: np.ndarray, rank: np.ndarray, rank_off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -411,7 +418,32 @@ def merge_ranks(text: DataFrame, ranks: DataFrame, name: str, packed_words: bool
 
     both = text.join(ranks.select("rid", F.col("sym").alias("rank")).hint("merge"), "rid")
     rows = both.mapInArrow(emit, "a long, b long, kind byte, ra long, rb long, rid long, idx int")
-    return by_run(rows.repartitionByRange("a").mapInArrow(order, "key long, idx int, name long"), name)
+    return by_run(rows.repartitionByRange("a", "b").mapInArrow(order, "key long, idx int, name long"), name)
+
+
+def one_for_many(prefix: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows go on, and which of them stand for several documents with the same prefix."""
+    on, told = np.ones(len(prefix), bool), np.zeros(len(prefix), bool)
+    if len(prefix):
+        order = np.argsort(prefix, kind="stable")
+        p, d = prefix[order], doc[order]
+        head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+        on[order] = ~np.repeat(many, np.diff(np.append(head, len(p))))
+        on[order[head[many]]] = told[order[head[many]]] = True
+    return on, told
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Passages of ``length`` words, overlapping ones as one."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)) if len(doc) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    for lo in range(0, len(first), 1 << 17):
+        f, t = first[lo : lo + (1 << 17)], last[lo : lo + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[f]), pa.array(start[f].astype(np.int32)), pa.array((start[t] + length).astype(np.int32))], names=["key", "start", "end"])
 
 
 def final_repeats(runs: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
@@ -426,47 +458,52 @@ def final_repeats(runs: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
             known = flat(batch.column(4), np.uint8)[0]
             start = batch.column(2).to_numpy()[row] + index
             w = np.flatnonzero(whole)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(triples(code, off)[w].astype(np.int64)), pa.array(kind[w] + 4 * known[w].astype(np.int8)), pa.array(ra[w]), pa.array(rb[w]),
-                pa.array(signed(window_hash(code, length)[w])), batch.column(1).take(pa.array(row[w])), pa.array(start[w].astype(np.int32)),
-            ], names=["a", "kind", "ra", "rb", "prefix", "id", "start"])
+            prefix, doc = signed(window_hash(code, length))[w], batch.column(1).to_numpy()[row[w]]
+            on, told = one_for_many(prefix, doc)
+            mark = kind[w] + 4 * (known[w].astype(np.int8) | told)
+            # those that stay behind are results; any range of the sort takes them
+            three = triples(code, off).astype(np.int64)
+            a = np.where(on, three[w], np.random.default_rng(len(w)).integers(0, 1 << 62, len(w)))
+            b = np.where(on, ahead(three, np.diff(off)[row] - index - 1, 3)[w], 0)
+            columns = [a, b, np.where(on, mark, 8).astype(np.int8), *(np.where(on, x, 0) for x in (ra[w], rb[w], prefix)), doc, start[w].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "kind", "ra", "rb", "prefix", "id", "start"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = whole_partition(batches)
         if columns is None:
             return
-        a, kind, ra, rb, prefix, doc, start = columns
+        done = columns[2] == 8
+        if done.any():
+            yield from _spans(columns[6][done], columns[7][done].astype(np.int64), length)
+        a, _, kind, ra, rb, prefix, doc, start = (c[~done] for c in columns)
+        if not len(a):
+            return
         order = merged_order(a, np.zeros(len(a), np.int64), kind & 3, ra, rb)
         prefix, doc, start, known = prefix[order], doc[order], start[order], (kind[order] & 4) > 0
         head = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
         hit = np.logical_or.reduceat(known, head) | (np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head))
         hit = np.repeat(hit, np.diff(np.append(head, len(doc))))
-        doc, start = doc[hit], start[hit].astype(np.int64)
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        for lo in range(0, len(doc), 1 << 17):
-            s = slice(lo, lo + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(start[s].astype(np.int32)), pa.array((start[s] + length).astype(np.int32))], names=["key", "start", "end"])
+        yield from _spans(doc[hit], start[hit].astype(np.int64), length)
 
     both = runs.select("rid", "id", "start", "code", "known").join(ranks.select("rid", F.col("sym").alias("rank")).hint("merge"), "rid")
-    rows = both.mapInArrow(emit, "a long, kind byte, ra long, rb long, prefix long, id long, start int")
-    return rows.repartitionByRange("a").mapInArrow(compare, "key long, start int, end int")
+    rows = both.mapInArrow(emit, "a long, b long, kind byte, ra long, rb long, prefix long, id long, start int")
+    return rows.repartitionByRange("a", "b").mapInArrow(compare, "key long, start int, end int")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``id_col``, ``start_word`` and ``end_word`` (exclusive) of all passages of at least ``length`` words that another document has too."""
     if not N <= length <= 54:
         raise ValueError(f"length must be from {N} to 54")
-    spark = docs.sparkSession
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    spark, number = docs.sparkSession, Ids(docs, id_col)
+    kept = number.rows(docs, F.col(f"`{text_col}`").alias("text"))
     found = written(candidates(kept, length), "candidates")
     around = written(surroundings(found, length), "surroundings")
     runs = written(text_runs(found, around, length), "runs")
+    discard(spark, found)
     direct = written(around.where("many").select(F.col("id").alias("key"), "start", "end"), "direct")
-    discard(spark, found, around)
+    discard(spark, around)
     words = runs.select("rid", "code")
     second = next_text(words, "names9", True)
-    discard(spark)
     third = next_text(second, "names27", False)
     rank3 = last_ranks(third, "ranks27")
     discard(spark, third)
@@ -476,4 +513,5 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     discard(spark, rank2)
     spans = final_repeats(runs, rank1, length).unionByName(direct)
     out = spans.repartition("key").sortWithinPartitions("key", "start").mapInArrow(spans_by_id, "id long, start int, end int")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    out = out.select("id", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    return number.back(out, id=id_col)

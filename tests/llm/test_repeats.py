@@ -59,6 +59,33 @@ def test_passages_of_odd_rows(spark, odd, find):
     assert find(odd([(1, words(3, 60)), (1, words(3, 60))])).collect() == []
 
 
+def template(n):
+    """One passage in every document, each time between other words, and copies of it."""
+    passage = words(900, 70)
+    return [(i, f"{words(3000 + i, 8 + i % 60)} {passage} {words(7000 + i, i % 50)}") for i in range(n)] + [(n + 1, passage), (n + 2, passage)]
+
+
+@pytest.mark.parametrize("find", [substrings.repeated_passages, suffixes.repeated_passages])
+def test_a_passage_in_all_documents(spark, odd, find):
+    rows = template(300)
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in find(odd(rows)).collect())
+    assert got == brute_spans(rows, 50)
+    # batches of few rows: what stands for many meets others in the sort
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted((r.doc_id, r.start_word, r.end_word) for r in find(odd(rows)).collect()) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("find", [substrings.repeated_passages, suffixes.repeated_passages])
+def test_passages_of_ids_of_any_type(spark, odd, find):
+    rows = planted(5)
+    text_ids = odd(rows).selectExpr("concat('doc ', lpad(doc_id, 5, '0')) AS doc_id", "text", "doc_id AS id", "'x' AS value", "'y' AS key")
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in find(text_ids).collect())
+    assert got == [(f"doc {i:05}", a, b) for i, a, b in brute_spans(rows, 50)]
+
+
 def test_crowded_prefixes_are_split(spark, odd):
     rows = planted(3)
     got = sorted((r.doc_id, r.start_word, r.end_word) for r in substrings.repeated_passages(odd(rows), group_rows=1).collect())
