@@ -8,7 +8,7 @@ from __future__ import annotations
 
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
-OPEN, CLOSE = "\u0001", "\u0002"
+OPEN, CLOSE, _END = "\u0001", "\u0002", "\u0004"
 
 
 def quote(s: str) -> str:
@@ -75,21 +75,47 @@ def jaccard(a: str, b: str) -> str:
     return f"IF(size({a}) = 0 OR size({b}) = 0, 0D, size(array_intersect({a}, {b})) / size(array_union({a}, {b})))"
 
 
-def matches(c: str, pattern: str) -> str:
-    """All matches in order: array of (ord from 1, match, before, after)."""
+def bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: What callers may look at around a match besides its sentence, in characters.
+AROUND = 100
+_ENDS = r"[.!?\n]"
+NO_MATCHES = "cast(array() as array<struct<ord:int,match:string,before:string,after:string>>)"
+
+
+def matches(c: str, pattern: str, *, whole: bool = False) -> str:
+    """All matches in order: array of (ord from 1, match, before, after).
+
+    ``before`` and ``after`` reach at least to the ends of the sentence and over ``AROUND`` characters, as far
+    as the text does; with ``whole`` they are all of the text. So a match usually carries the text between it
+    and its neighbours, and long texts with many matches stay linear.
+    """
     parts = f"split(regexp_replace({c}, {quote(pattern)}, '{OPEN}$0{CLOSE}'), '{OPEN}')"
-    each = (
-        f"named_struct('ord', i, 'match', substring_index(p[i], '{CLOSE}', 1), "
-        f"'before', translate(array_join(slice(p, 1, i), ''), '{CLOSE}', ''), "
-        f"'after', translate(concat(substr(p[i], locate('{CLOSE}', p[i]) + 1), array_join(slice(p, i + 2, size(p)), '')), '{CLOSE}', ''))"
-    )
-    found = f"transform(array({parts}), p -> transform(IF(size(p) > 1, sequence(1, size(p) - 1), cast(array() as array<int>)), i -> {each}))[0]"
-    return f"IF({c} rlike {quote(pattern)}, {found}, cast(array() as array<struct<ord:int,match:string,before:string,after:string>>))"
+    joined = lambda start, n: f"translate(array_join(slice(p, {start}, {n}), ''), '{CLOSE}', '')"
+    before = lambda k: joined(f"greatest(1, i - {k - 1})", f"least(i, {k})")
+    rest = f"substr(p[i], locate('{CLOSE}', p[i]) + 1)"
+    after = lambda k: f"concat({rest}, {joined('i + 2', k - 1)})"
+    far = lambda x: f"({x} rlike {quote(_ENDS)} AND length({x}) >= {AROUND})"
+    left, right = joined("1", "i"), f"concat({rest}, {joined('i + 2', 'size(p)')})"
+    if not whole:
+        left = bound(before(1), "u", f"IF(i <= 1 OR {far('u')}, u, {bound(before(8), 'v', f'IF(i <= 8 OR {far("v")}, v, {left})')})")
+        right = bound(rest, "u", f"IF(i + 1 >= size(p) OR {far('u')}, u, {bound(after(8), 'v', f'IF(i + 8 >= size(p) OR {far("v")}, v, {right})')})")
+    each = f"named_struct('ord', i, 'match', substring_index(p[i], '{CLOSE}', 1), 'before', {left}, 'after', {right})"
+    found = bound(parts, "p", f"transform(IF(size(p) > 1, sequence(1, size(p) - 1), cast(array() as array<int>)), i -> {each})")
+    return f"IF({c} rlike {quote(pattern)}, {found}, {NO_MATCHES})"
+
+
+def first_of_each(rows: str, key: str) -> str:
+    """The first element of each value of ``key``, an expression over the element ``x``, in order."""
+    return bound(rows, "a", bound(f"transform(a, x -> {key})", "k", "transform(array_distinct(k), d -> a[CAST(array_position(k, d) AS int) - 1])"))
 
 
 def evidence(m: str, most: int = 150) -> str:
     """The sentence around a match."""
-    left = f"regexp_extract({m}.before, {quote(r'[^.!?' + chr(92) + r'n]*' + chr(92) + 'z')}, 0)"
+    left = f"substring_index(translate({m}.before, '.!?\\n', '{_END * 4}'), '{_END}', -1)"
     right = f"regexp_extract({m}.after, {quote(r'^[^.!?' + chr(92) + r'n]*[.!?]?')}, 0)"
     return f"left(trim(concat({left}, {m}.match, {right})), {most})"
 

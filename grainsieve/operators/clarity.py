@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import structs
 from grainsieve.functions.vocabulary import EVERYDAY_ACRONYMS, NOT_ACRONYMS_IN_TEXT
 from grainsieve.operators.domain import Context
 
@@ -15,6 +16,7 @@ _MID = r"(?i)[^.!?]*\b(their|them|they)\b[^.!?]*[.!?]"
 VAGUE = r"(?i)\bthe " + T.any_of("tool", "team", "system", "service", "platform", "group", "department", "application") + r"\b"
 REFERENCE = r"(?i)" + T.any_of(
     "the above", "see previous", f"refer(?:red)? to {T.any_of('the previous', 'earlier', 'above')}", "mentioned earlier", f"as {T.any_of('noted', 'mentioned', 'described', 'above')}")
+_EXPANDED = r"([A-Z]+)\s*\([A-Z][a-z]"
 _NUMBERED = r"(?m)^(\d+)[.)]\s"
 _STEP = r"Step (\d+):"
 _FINDING = "struct<issue:string,term:string,evidence:string,proposal:string,confident:boolean>"
@@ -24,17 +26,13 @@ def _struct(issue: str, term: str, evidence: str, proposal: str = "''", confiden
     return f"named_struct('issue', '{issue}', 'term', {term}, 'evidence', {evidence}, 'proposal', {proposal}, 'confident', {confident})"
 
 
-def _first_of_each(rows: str, key: str = "lower(x.term)") -> str:
-    return f"transform(array({rows}), a -> filter(a, (x, i) -> i = 0 OR NOT exists(slice(a, 1, i), y -> {key.replace('x.', 'y.')} = {key})))[0]"
-
-
 def pronouns(c: str, heading: str, ctx: Context) -> str:
     who, sure = subject(heading, ctx)
     bare = f"trim({T.replace('m.match', '^[.!?]?' + chr(92) + 's*', '')})"
     proposed = f"IF({sure}, {who}, '')"
     start = f"transform({T.matches(c, _START)}, m -> {_struct('pronoun', bare, T.evidence('m'), proposed, sure)})"
     mid = f"transform(arrays_zip(regexp_extract_all({c}, {T.quote(_MID)}, 0), regexp_extract_all({c}, {T.quote(_MID)}, 1)), z -> {_struct('pronoun', 'lower(z[' + chr(39) + '1' + chr(39) + '])', 'left(trim(z[' + chr(39) + '0' + chr(39) + ']), 100)', proposed, sure)})"
-    return _first_of_each(f"concat({start}, {mid})")
+    return T.first_of_each(f"concat({start}, {mid})", "lower(x.term)")
 
 
 def subject(heading: str, ctx: Context) -> tuple[str, str]:
@@ -49,15 +47,18 @@ def undefined_acronyms(c: str, ctx: Context) -> str:
     known = {k: v for k, v in ctx.acronyms.items() if v}
     skip = EVERYDAY_ACRONYMS + NOT_ACRONYMS_IN_TEXT + [k for k, v in ctx.acronyms.items() if not v]
     of = f"coalesce(try_element_at(map_from_arrays({T.array_of(list(known))}, {T.array_of(list(known.values()))}), m.match), '')" if known else "''"
-    rows = f"filter({T.matches(c, r'(?U)\b[A-Z]{2,5}\b')}, m -> NOT array_contains({T.array_of(skip)}, m.match) AND NOT {c} rlike concat(m.match, {T.quote(chr(92) + 's*' + chr(92) + '([A-Z][a-z]')}))"
-    return _first_of_each(f"transform({rows}, m -> {_struct('acronym', 'm.match', T.evidence('m'), f'IF({of} <> {T.quote(str())}, concat(m.match, {T.quote(" (")}, {of}, {T.quote(")")}), {T.quote(str())})', f'{of} <> {T.quote(str())}')})", "x.term")
+    rows = f"filter({T.matches(c, r'(?U)\b[A-Z]{2,5}\b')}, m -> NOT array_contains({T.array_of(skip)}, m.match))"
+    # an acronym is expanded where capitals that end with it stand before a bracket
+    said = f"regexp_extract_all({c}, {T.quote(_EXPANDED)}, 1)"
+    rows = T.bound(said, "e", f"filter({T.first_of_each(rows, 'x.match')}, m -> NOT exists(e, d -> endswith(d, m.match)))")
+    return (f"transform({rows}, m -> {_struct('acronym', 'm.match', T.evidence('m'), f'IF({of} <> {T.quote(str())}, concat(m.match, {T.quote(" (")}, {of}, {T.quote(")")}), {T.quote(str())})', f'{of} <> {T.quote(str())}')})")
 
 
 def vague_entities(c: str, ctx: Context) -> str:
     thing = ctx.company_name or (ctx.products[0] if len(ctx.products) == 1 else "")
     group = f"the {ctx.actors[0]} team" if len(ctx.actors) == 1 else ""
     by = f"IF(lower(m.match) rlike 'team|group|department', {T.quote(group)}, {T.quote(thing)})"
-    return _first_of_each(f"transform({T.matches(c, VAGUE)}, m -> {_struct('vague_entity', 'm.match', T.evidence('m'), by, by + ' <> ' + T.quote(''))})")
+    return f"transform({T.first_of_each(T.matches(c, VAGUE), 'lower(x.match)')}, m -> {_struct('vague_entity', 'm.match', T.evidence('m'), by, by + ' <> ' + T.quote(''))})"
 
 
 _CLAUSE = r"(?i)^As " + T.any_of("shown", "noted", "mentioned", "discussed", "described") + r" (?:in " + T.any_of("the", "Table", "Section", "Figure") + r"?\s*\w*\s*,?\s*)"
@@ -100,7 +101,8 @@ def with_findings(chunks: DataFrame, ctx: Context | None = None, *, content_col:
 
 def findings(chunks: DataFrame, ctx: Context | None = None, *, id_cols: tuple[str, ...] = ("doc_id",), content_col: str = "content", heading_col: str = "heading") -> DataFrame:
     rows = with_findings(chunks.select(*id_cols, content_col, heading_col), ctx, content_col=content_col, heading_col=heading_col)
-    return rows.select(*id_cols, F.posexplode("clarity").alias("ord", "f")).select(*id_cols, "ord", "f.*")
+    fields = ", ".join(f"f.{c} AS {c}" for c in ("issue", "term", "evidence", "proposal", "confident"))
+    return structs(rows, id_cols, f"transform(clarity, (f, i) -> struct(i AS ord, {fields}))", "ord")
 
 
 def _once(c: str, pattern: str, by: str, group: int = 0) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import elements
 from grainsieve.functions.vocabulary import COMMON_CONTENT, COMMON_HEADING, GENERIC_CONTEXT
 
 GROUP = (2, 20)
@@ -27,14 +28,14 @@ def heading_words(h: str) -> str:
 
 def content_words(chunks: DataFrame, *, key: str = "chunk", content_col: str = "content", k: int = TOP, stop: list[str] = COMMON_CONTENT) -> DataFrame:
     """(key, word, rank): the k most frequent words of each chunk, ties by first place; counted by shuffle, so that length doesn't matter."""
-    w = chunks.select(key, F.posexplode(F.expr(T.words(content_col, 4))).alias("pos", "word")).where(~F.col("word").isin(stop))
+    w = elements(chunks, (key,), T.words(content_col, 4), "word", "pos").where(~F.col("word").isin(stop))
     n = w.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= k).select(key, "word", "rank")
 
 
 def topic_keys(chunks: DataFrame, *, key: str = "chunk", content_col: str = "content", heading_col: str = "heading") -> DataFrame:
     """(key, word): words of the heading and the most frequent ones of the content."""
-    h = chunks.select(key, F.explode(F.expr(heading_words(heading_col))).alias("word"))
+    h = elements(chunks, (key,), heading_words(heading_col), "word")
     return h.unionByName(content_words(chunks, key=key, content_col=content_col).select(key, "word")).distinct()
 
 
@@ -63,9 +64,9 @@ def candidate_pairs(chunks: DataFrame, *, key: str = "chunk", content_col: str =
 def facts(c: str) -> str:
     """Array of (ord, number, unit, context): numbers with a unit, and prices; context is the last five words before."""
     context = f"transform(array({T.pieces('lower(right(m.before, 40))', T.SPACE + '+')}), w -> slice(w, greatest(1, size(w) - 4), 5))[0]"
-    n = f"transform({T.matches(c, _NUMBER)}, m -> struct(m.ord AS ord, regexp_extract(m.match, {T.quote(_NUMBER)}, 1) AS number, lower(regexp_extract(m.match, {T.quote(_NUMBER)}, 2)) AS unit, {context} AS context))"
+    n = f"transform({T.matches(c, _NUMBER)}, m -> struct(CAST(m.ord AS bigint) AS ord, regexp_extract(m.match, {T.quote(_NUMBER)}, 1) AS number, lower(regexp_extract(m.match, {T.quote(_NUMBER)}, 2)) AS unit, {context} AS context))"
     period = f"lower(regexp_extract(m.match, {T.quote(_PRICE)}, 2))"
-    p = f"transform({T.matches(c, _PRICE)}, m -> struct(100000 + m.ord AS ord, regexp_extract(m.match, {T.quote(_PRICE)}, 1) AS number, IF({period} = '', '$', '$/' || {period}) AS unit, {context} AS context))"
+    p = f"transform({T.matches(c, _PRICE)}, m -> struct(4294967296L + m.ord AS ord, regexp_extract(m.match, {T.quote(_PRICE)}, 1) AS number, IF({period} = '', '$', '$/' || {period}) AS unit, {context} AS context))"
     return f"concat({n}, {p})"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import elements, structs
 from grainsieve.functions.vocabulary import COMMON_CORPUS, DOMAINS, EVERYDAY_ACRONYMS, EXPANSIONS, NOT_ACRONYMS, NOT_ACTORS, TITLE_WORDS
 
 KEYS = ("doc_id",)
@@ -45,7 +46,7 @@ class Context:
 
 def word_frequencies(chunks: DataFrame, *, content_col: str = "content") -> DataFrame:
     """(word, n): words of four or more letters but common ones."""
-    words = chunks.select(F.explode(F.expr(T.words(content_col, 4))).alias("word"))
+    words = elements(chunks, (), T.words(content_col, 4), "word")
     return words.where(~F.col("word").isin(COMMON_CORPUS)).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -65,7 +66,7 @@ def domain_type(scores: DataFrame) -> DataFrame:
 def _found(chunks: DataFrame, patterns: list[tuple[str, int]], content_col: str, keys: tuple[str, ...]) -> DataFrame:
     """(keys, which, pos, found): groups of the matches of several patterns, with an order of appearance."""
     each = ", ".join(f"transform(regexp_extract_all({content_col}, {T.quote(p)}, {g}), (x, i) -> struct({k} AS which, i AS pos, x AS found))" for k, (p, g) in enumerate(patterns))
-    return chunks.select(*keys, F.explode(F.expr(f"concat({each})")).alias("x")).select(*keys, "x.*")
+    return structs(chunks, keys, f"concat({each})", "which")
 
 
 def company_candidates(chunks: DataFrame, *, content_col: str = "content", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -102,7 +103,7 @@ def acronyms(chunks: DataFrame, *, content_col: str = "content", keys: tuple[str
     seen = seen.groupBy(F.col("found").alias("acronym")).agg(F.count("*").alias("n"))
     name_first, acronym_first = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*\(([A-Z]{2,6})\)", r"([A-Z]{2,6})\s*\(([A-Z][a-z]+(?:\s+[a-zA-Z]+)*)\)"
     both = ", ".join(f"transform(arrays_zip(regexp_extract_all({content_col}, {T.quote(p)}, {a}), regexp_extract_all({content_col}, {T.quote(p)}, {e})), (x, i) -> struct(x['0'] AS acronym, x['1'] AS expansion, i AS pos))" for p, a, e in ((name_first, 2, 1), (acronym_first, 1, 2)))
-    told = chunks.select(*keys, F.explode(F.expr(f"concat({both})")).alias("x")).groupBy("x.acronym").agg(F.max_by("x.expansion", F.struct(*keys, "x.pos")).alias("told"))
+    told = structs(chunks, keys, f"concat({both})", "pos").groupBy("acronym").agg(F.max_by("expansion", F.struct(*keys, "pos")).alias("told"))
     known = F.create_map(*[F.lit(x) for kv in EXPANSIONS.items() for x in kv])
     out = seen.join(told, "acronym", "left").withColumn("expansion", F.coalesce("told", F.try_element_at(known, F.col("acronym"))))
     return out.where("expansion is not null or n >= 3").select("acronym", "n", "expansion")
@@ -149,8 +150,8 @@ DESTRUCTIVE_PATTERNS = (
 def destructive_phrases(chunks: DataFrame, *, content_col: str = "content", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(phrase, first): verb and object of actions that destroy something."""
     each = ", ".join(f"transform(arrays_zip(regexp_extract_all({content_col}, {T.quote(p)}, {a}), regexp_extract_all({content_col}, {T.quote(p)}, {b})), (x, i) -> struct({k} AS which, i AS pos, lower(concat(x['0'], ' ', x['1'])) AS phrase))" for k, (p, a, b) in enumerate(DESTRUCTIVE_PATTERNS))
-    found = chunks.select(*keys, F.explode(F.expr(f"concat({each})")).alias("x"))
-    return found.groupBy("x.phrase").agg(F.min(F.struct(*keys, "x.which", "x.pos")).alias("first"))
+    found = structs(chunks, keys, f"concat({each})", "which")
+    return found.groupBy("phrase").agg(F.min(F.struct(*keys, "which", "pos")).alias("first"))
 
 
 def topic_groups(frequencies: DataFrame, *, least: int = 2) -> DataFrame:

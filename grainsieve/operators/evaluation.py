@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import elements
 
 CORRECT, PARTIAL = 0.80, 0.60
 PASS = 0.7
@@ -86,10 +87,10 @@ def bm25(asked: DataFrame, chunks: DataFrame, *, question_id: str = "question_id
     Terms are joined as postings, so that a chunk is only scored for questions it shares a word with; a question
     with fewer such chunks has fewer rows. Ties go to the smaller key.
     """
-    terms = asked.select(question_id, F.explode(F.expr(f"array_distinct({T.words(question_col, 2)})")).alias("term"))
+    terms = elements(asked, (question_id,), f"array_distinct({T.words(question_col, 2)})", "term")
     counted = chunks.select(key, F.expr(T.words(content_col, 2)).alias("w")).select(key, "w", F.size("w").alias("dl"))
     mean = counted.agg(F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    postings = counted.select(key, "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("f"))
+    postings = elements(counted, (key, "dl"), "w", "term").join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("f"))
     part = f"f * {k1 + 1}D / (f + {k1}D * ({1 - b}D + {b}D * dl / avgdl))"
     scores = terms.join(postings, "term").crossJoin(F.broadcast(mean)).groupBy(question_id, key).agg(F.round(F.sum(F.expr(part)), 6).alias("score"))  # one row
     return _best(scores, question_id, key, k)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import elements, structs
 
 
 @dataclass(frozen=True)
@@ -131,17 +132,16 @@ HINTS = {
     "metadata_slack_channel": "#", "metadata_build_number": "release;deploy;build", "metadata_sprint_ref": "sprint", "metadata_vpn_resource": "vpn", "vague_claim": "work;accordingly;care of everything;appropriate action;seamlessly;cases;handles;situations;scenarios",
     "destructive": "wipe;reset all;remove permanently;purge;format disk;factory reset;erase all;drop table;destroy;delete;deactivate account", "broken_reference": "not available;refer to ;link ;see ", "escalation_no_details": "contact ;escalate to ",
 }
-_FOUND = "array<struct<detector:string,tag:string,evidence:string,matched:string,reason:string,ord:int>>"
+_FOUND = "array<struct<detector:string,tag:string,evidence:string,matched:string,reason:string,ord:bigint>>"
 
 
 def _findings(d: Detector, order: int, content: str) -> str:
     said = T.evidence("m") if d.sentence else "left(m.match, 100)"
     if d.name == "pii_email":
         said = "m.match"
-    rows = f"transform(filter({T.matches(content, d.pattern)}, m -> {d.where}), m -> named_struct('detector', '{d.name}', 'tag', '{d.tag}', 'evidence', {said}, 'matched', m.match, 'reason', concat('{d.about}: \"', left(m.match, 60), '\"'), 'ord', {order} * 100000 + m.ord))"
+    rows = f"transform(filter({T.matches(content, d.pattern)}, m -> {d.where}), m -> named_struct('detector', '{d.name}', 'tag', '{d.tag}', 'evidence', {said}, 'matched', m.match, 'reason', concat('{d.about}: \"', left(m.match, 60), '\"'), 'ord', {order} * 4294967296L + m.ord))"
     if d.once:
-        key = "lower(left(x.evidence, 80))"
-        rows = f"transform(array({rows}), a -> filter(a, (x, i) -> i = 0 OR not exists(slice(a, 1, i), y -> lower(left(y.evidence, 80)) = {key})))[0]"
+        rows = T.first_of_each(rows, "lower(left(x.evidence, 80))")
     if d.name not in HINTS:
         return rows
     hint = " OR ".join(f"contains(low, {T.quote(h)})" for h in HINTS[d.name].split(";"))
@@ -157,12 +157,12 @@ def with_findings(chunks: DataFrame, table: list[Detector] | None = None, *, con
 def findings(chunks: DataFrame, table: list[Detector] | None = None, *, id_cols: tuple[str, ...] = ("doc_id",), content_col: str = "content") -> DataFrame:
     """One row for each finding, with the chunk's key."""
     found = with_findings(chunks.select(*id_cols, content_col), table, content_col=content_col, into="_f")
-    return found.select(*id_cols, F.inline("_f"))  # not explode: its fields would be pruned apart, each with findings of its own
+    return structs(found, id_cols, "_f", "detector")
 
 
 def destructive_in_domain(chunks: DataFrame, phrases: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), content_col: str = "content") -> DataFrame:
     """First match of each destructive phrase of the corpus (column ``phrase``); phrases are two words, so chunks are matched by an equi join on word pairs."""
-    pairs = chunks.select(*id_cols, content_col, F.explode(F.expr(f"array_distinct(transform(array({T.pieces(f'lower({content_col})', T.NOT_WORD)}), w -> transform(sequence(1, greatest(1, size(w) - 1)), i -> concat(w[i - 1], ' ', coalesce(get(w, i), ''))))[0])")).alias("phrase"))
+    pairs = elements(chunks, (*id_cols, content_col), f"array_distinct(transform(array({T.pieces(f'lower({content_col})', T.NOT_WORD)}), w -> transform(sequence(1, greatest(1, size(w) - 1)), i -> concat(w[i - 1], ' ', coalesce(get(w, i), ''))))[0])", "phrase")
     safe = [f"{verb} refund" for verb in ("request", "request a", "get a")]
     hit = pairs.join(phrases.select("phrase").where(~F.col("phrase").isin(safe)).distinct(), "phrase")
     # two words next to each other may have more than a blank between them

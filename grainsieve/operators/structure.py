@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import structs
 
 _HEAD_ANY = r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>"
 _CUT = "\u0003"
@@ -66,7 +67,7 @@ def named_sections(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "
     Sections of ten or more words without a heading, or with one that says nothing, get one from their text: the object of
     its first verb of handling, what it's about, its most frequent words or its first ones.
     """
-    rows = docs.select(id_col, F.explode(F.expr(sections(html_col))).alias("s")).select(id_col, "s.*")
+    rows = structs(docs, (id_col,), sections(html_col), "section_no")
     rows = rows.withColumn("is_generic", F.expr(f"NOT is_orphan AND words >= {LEAST_WORDS} AND {is_generic('heading')}"))
     rows = rows.withColumn("_fix", F.expr(f"words >= {LEAST_WORDS} AND (is_orphan OR is_generic)")).withColumn("_clean", F.expr(f"IF(_fix, {T.cell('content')}, NULL)"))
     first = f"array_join(slice({T.sentences('_clean', False)}, 1, 2), ' ')"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import structs
 
 TABLE = r"(?is)<table[^>]*>.*?</table>"
 LIST = r"(?is)<ol[^>]*>.*?</ol>"
@@ -14,10 +15,14 @@ _NUMBERED = r"(?is)\[Figure\s+(\d+):(.*?)\]"
 _EMPTY = "'none', 'n/a', '-', ''"
 
 
-def heading_before(m: str) -> str:
-    """The last heading before a match."""
-    found = f"regexp_extract_all({m}.before, {T.quote('(?is)<h[1-6](?:' + chr(92) + 's[^>]*)?>(.*?)</h[1-6]>')}, 1)"
-    return f"coalesce({T.cell(f'try_element_at({found}, -1)')}, '')"
+def with_heading(c: str, pattern: str, fields: str) -> str:
+    """Structs of ``fields`` for the matches ``m`` of a pattern, with ``{heading}``, the last heading before each.
+
+    A heading may stand anywhere before, also around an earlier match, so that each match looks at all of the text before it.
+    """
+    head = "(?is)<h[1-6](?:" + chr(92) + "s[^>]*)?>(.*?)</h[1-6]>"
+    last = lambda m: T.cell(f"try_element_at(regexp_extract_all({m}, {T.quote(head)}, 1), -1)")
+    return f"transform({T.matches(c, pattern, whole=True)}, m -> struct({fields.format(heading=f'coalesce({last("m.before")}, {T.quote("")})')}))"
 
 
 def _cells(c: str, tag: str) -> str:
@@ -35,8 +40,7 @@ def table_type(headers: str, heading: str) -> str:
 
 def tables(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """One row a table that has cells: table_no, heading, type, headers, rows, summary, row_texts, content, words_added, original."""
-    one = docs.select(id_col, F.explode(F.expr(T.matches(html_col, TABLE))).alias("m"))
-    one = one.select(id_col, F.col("m.ord").alias("table_no"), F.expr(heading_before("m")).alias("heading"), F.col("m.match").alias("original"))
+    one = structs(docs, (id_col,), with_heading(html_col, TABLE, "m.ord AS table_no, {heading} AS heading, m.match AS original"), "table_no")
     one = one.withColumn("headers", F.expr(_cells("original", "th")))
     rows = f"filter(transform(regexp_extract_all(original, {T.quote('(?is)<tr(?:' + chr(92) + 's[^>]*)?>(.*?)</tr>')}, 1), r -> {_cells('r', 'td')}), r -> size(r) > 0)"
     one = one.withColumn("rows", F.expr(rows)).where("size(headers) > 0 OR size(rows) > 0").withColumn("type", F.expr(table_type("headers", "heading")))
@@ -65,10 +69,10 @@ def prompt_rows(headers: str, rows: str) -> str:
 
 def figures(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """One row a figure reference: figure_no, caption, heading, type, description, confidence, is_gap, summary, content, original."""
-    one = docs.select(id_col, F.explode(F.expr(T.matches(html_col, FIGURE))).alias("m"))
-    one = one.withColumn("figure_no", F.expr(f"regexp_extract(m.match, {T.quote(_NUMBERED)}, 1)"))
-    one = one.withColumn("caption", F.expr(T.cell(f"regexp_extract(m.match, {T.quote(_NUMBERED)}, 2)"))).withColumn("heading", F.expr(heading_before("m")))
-    one = one.withColumn("after", F.expr(T.cell("left(m.after, 600)"))).withColumn("_w", F.expr(f"array_except({T.words('caption', 3)}, array('figure', 'available', 'not', 'image'))"))
+    one = structs(docs, (id_col,), with_heading(html_col, FIGURE, "m.ord AS ord, {heading} AS heading, m.match AS original, left(m.after, 600) AS after"), "ord")
+    one = one.withColumn("figure_no", F.expr(f"regexp_extract(original, {T.quote(_NUMBERED)}, 1)"))
+    one = one.withColumn("caption", F.expr(T.cell(f"regexp_extract(original, {T.quote(_NUMBERED)}, 2)")))
+    one = one.withColumn("after", F.expr(T.cell("after"))).withColumn("_w", F.expr(f"array_except({T.words('caption', 3)}, array('figure', 'available', 'not', 'image'))"))
     one = one.withColumn("type", F.expr("CASE WHEN lower(caption) rlike 'flow|process|pipeline|sequence' THEN 'process' WHEN lower(caption) rlike 'chart|graph|trend|revenue|volume|metric' THEN 'chart' WHEN lower(caption) rlike 'diagram|structure|architecture|comparison|tier|overview' THEN 'structure' ELSE 'unknown' END"))
     shown = r"(?i)(?:the " + T.any_of("workflow", "figure", "diagram", "chart") + " " + T.any_of("shows", "illustrates", "displays") + r"|as shown)[,:]?\s*(.*?)(?:\.|$)"
     stages = r"(?i)ha(?:ve|s)\s+(\d+)\s+" + T.any_of("steps?", "stages?", "phases?") + r"[:\s]+(.*?)(?:\.|$)"
@@ -80,13 +84,13 @@ def figures(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html")
     one = one.withColumn("summary", F.expr("'Figure ' || figure_no || ': ' || caption || IF(is_gap, ' (no description)', '')"))
     lost = "IF(contains(lower(caption), 'image not available'), ' (Note: original image not available.)', '')"
     one = one.withColumn("content", F.expr(f"coalesce(description, 'No description available for ' || caption || '.') || {lost}"))
-    return one.select(id_col, F.col("m.ord").alias("ord"), "figure_no", "caption", "heading", "type", "description", "confidence", "is_gap", "summary", "content", F.col("m.match").alias("original"))
+    return one.select(id_col, "ord", "figure_no", "caption", "heading", "type", "description", "confidence", "is_gap", "summary", "content", "original")
 
 
 def procedures(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """One row an ordered list with items: list_no, heading, steps, summary, content, words_added, original."""
-    one = docs.select(id_col, F.explode(F.expr(T.matches(html_col, LIST))).alias("m"))
-    one = one.select(id_col, F.col("m.ord").alias("list_no"), F.expr(heading_before("m")).alias("heading"), F.expr(_cells("m.match", "li")).alias("steps"), F.expr(T.cell("right(m.before, 300)")).alias("_b"), F.col("m.match").alias("original"))
+    one = structs(docs, (id_col,), with_heading(html_col, LIST, "m.ord AS list_no, {heading} AS heading, right(m.before, 300) AS _b, m.match AS original"), "list_no")
+    one = one.withColumn("steps", F.expr(_cells("original", "li"))).withColumn("_b", F.expr(T.cell("_b"))).select(id_col, "list_no", "heading", "steps", "_b", "original")
     one = one.where("size(steps) > 0").withColumn("summary", F.expr("size(steps) || '-step procedure' || CASE WHEN heading <> '' THEN ' for ' || lower(heading) WHEN _b <> '' THEN ': ' || left(_b, 80) ELSE '' END"))
     one = one.withColumn("content", F.expr("array_join(transform(steps, (s, i) -> 'Step ' || (i + 1) || ': ' || s || '.'), ' ')")).drop("_b")
     return one.withColumn("words_added", F.expr(f"greatest(0, {T.word_count('concat(' + T.quote('[Summary] ') + ', summary, ' + T.quote('. [Content] ') + ', content)')} - {T.word_count(T.cell('original'))})"))

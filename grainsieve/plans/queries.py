@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
+from grainsieve.functions.rows import elements, structs
 from grainsieve.functions.vocabulary import COMMON, COMMON_CONTENT, COMMON_CORPUS, DOMAINS, EVERYDAY_ACRONYMS, EXPANSIONS, MONTHS, NOT_ACRONYMS, NOT_ACTORS, TITLE_WORDS
 from grainsieve.operators import chunking, clarity, consistency, domain, evaluation, governance, structure, tables, temporal
 from grainsieve.plans import duck as D
@@ -123,7 +124,7 @@ _BLOCKS = f"list_filter(list_transform(string_split(regexp_replace(regexp_replac
 @query(f"{D.WITH_HTML} SELECT doc_id, CAST(unnest(range(len(b))) AS INTEGER) AS block_no, unnest(b) AS block FROM (SELECT doc_id, {_BLOCKS} AS b FROM page)")
 def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs and elements of every document."""
-    return chunking.with_blocks(kb_html(spark, sf_dir), "html").select("doc_id", F.posexplode("blocks").alias("block_no", "block"))
+    return elements(chunking.with_blocks(kb_html(spark, sf_dir), "html"), ("doc_id",), "blocks", "block", "block_no")
 
 
 @query()
@@ -246,8 +247,8 @@ s AS (SELECT doc_id, i, trim(regexp_replace(regexp_extract(p, '(?is)^<h([1-6])(?
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS section_no, heading, level, CAST({D.word_count(D.cell('body'))} AS INTEGER) AS words FROM s WHERE {D.word_count(D.cell('body'))} > 0""")
 def structure_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document is cut into sections."""
-    rows = kb_html(spark, sf_dir).select("doc_id", F.explode(F.expr(structure.sections("html"))).alias("s"))
-    return rows.select("doc_id", "s.section_no", "s.heading", "s.level", "s.words")
+    rows = structs(kb_html(spark, sf_dir).select("doc_id", "html"), ("doc_id",), structure.sections("html"), "section_no")
+    return rows.select("doc_id", "section_no", "heading", "level", "words")
 
 
 @query(f"""{D.WITH_HTML}, t AS (SELECT doc_id, ord, m, before FROM {D.matches('page', 'doc_id', 'html', tables.TABLE)}),
@@ -258,7 +259,7 @@ SELECT doc_id, ord::INTEGER AS table_no, heading, heading || ' — ' || v[1] ||
 FROM r WHERE len(v) > 0""")
 def structure_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows as sentences."""
-    return tables.tables(kb_html(spark, sf_dir)).select("doc_id", "table_no", "heading", F.explode("row_texts").alias("row_text"))
+    return elements(tables.tables(kb_html(spark, sf_dir)), ("doc_id", "table_no", "heading"), "row_texts", "row_text")
 
 
 @query(f"""{D.WITH_HTML}, l AS (SELECT doc_id, ord, list_transform(regexp_extract_all(m, '(?is)<li[^>]*>(.*?)</li>', 1), lambda x: {D.cell('x')}) AS steps FROM {D.matches('page', 'doc_id', 'html', tables.LIST)})
@@ -289,8 +290,8 @@ UNION ALL SELECT doc_id, 'iso', x[1], CAST(x[2] AS INTEGER), CAST(x[3] AS INTEGE
 @query(f"{D.WITH_KB}, d AS ({_DATES}) SELECT doc_id, type, raw, year, CAST(month AS INTEGER) AS month, CAST(12 * (2026 - year) + 1 - month AS INTEGER) AS age_months FROM d WHERE year BETWEEN 2015 AND 2030 AND month BETWEEN 1 AND 12")
 def temporal_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates that the texts mention, and their age."""
-    rows = temporal.enrich(kb(spark, sf_dir), TODAY).select("doc_id", F.explode("dates").alias("d"))
-    return rows.select("doc_id", "d.type", "d.raw", "d.year", "d.month", "d.age_months")
+    rows = structs(temporal.enrich(kb(spark, sf_dir), TODAY), ("doc_id",), "dates", "type")
+    return rows.select("doc_id", "type", "raw", "year", "month", "age_months")
 
 
 @query(f"""{D.WITH_KB}, a AS (SELECT doc_id, array_to_string(regexp_extract_all(content, {D.q(temporal.VERSION)}, 1), '|') AS versions,
@@ -314,15 +315,15 @@ def clarity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, term, evidence FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY ord) = 1""")
 def clarity_vague_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The system, the team and so on, once a document each."""
-    rows = kb(spark, sf_dir).select("doc_id", F.explode(F.expr(clarity.vague_entities("content", _CTX))).alias("f"))
-    return rows.select("doc_id", "f.term", "f.evidence")
+    rows = structs(kb(spark, sf_dir), ("doc_id",), clarity.vague_entities("content", _CTX), "issue")
+    return rows.select("doc_id", "term", "evidence")
 
 
 @query(f"SELECT doc_id, sentence FROM ({D.WITH_KB}, s AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS sentence FROM (SELECT doc_id, {D.sentences('content')} AS a FROM kb)) SELECT * FROM s WHERE {D.word_count('sentence')} > 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1)")
 def clarity_long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of over forty words."""
-    rows = kb(spark, sf_dir).select("doc_id", F.explode(F.expr(clarity.complex_sentence("content"))).alias("f"))
-    return rows.select("doc_id", F.col("f.term").alias("sentence"))
+    rows = structs(kb(spark, sf_dir), ("doc_id",), clarity.complex_sentence("content"), "issue")
+    return rows.select("doc_id", F.col("term").alias("sentence"))
 
 
 @query()
