@@ -3,18 +3,19 @@
 An item's shingles are its distinct runs of ``n`` words. A document contains an item where
 some window of as many words as the item has at least ``containment`` of the item's shingles.
 Shingles are ordered by rarity over all documents. With m shingles of which r must occur, any
-match has one of the item's m - r + 1 rarest (prefix filter); windows that begin at a shingle
-of the item, are no longer than it and hold enough positions of it (length and positional
-bounds) are then counted exactly.
+match has one of the item's m - r + 1 rarest (prefix filter): a document's shingles are looked up among
+these prefixes only, and a document without any is done. All shingles are looked up for
+the blocks of documents and items that are left; windows that begin at a shingle of the item, are no longer than
+it and hold enough positions of it (length and positional bounds) are then counted exactly.
 
 The items are read in portions of at most ``portion`` shingles. Each portion, of bounded size,
 is broadcast, and the documents are scanned once for it without a shuffle: a larger benchmark
 takes more scans, never a larger broadcast.
 
-Null or empty texts hold nothing; items with fewer than ``n`` words have no shingles and match
+Null or empty texts hold nothing, long ones are read whole; empty tables give empty results. Items with fewer than ``n`` words have no shingles and match
 nothing. Each row of either table counts by itself: repeated rows give repeated results, and
 a document that matches several items gives a row for each. Rows with null item ids are kept,
-with a null id. Other columns of the tables are not read.
+with a null id. Ids may be of any type. Other columns of the tables, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainsieve.llm.words import SQL_SEPARATOR, blocks, signed
+from grainsieve.llm.store import written
+from grainsieve.llm.words import SQL_SEPARATOR, Block, blocks, ranges, signed
 
 N = 3
 CONTAINMENT = 0.7
@@ -45,6 +48,13 @@ class Portion:
     shingle: np.ndarray
     item: np.ndarray
     prefix: np.ndarray | None = None
+    #: (shingle, item) of prefixes only, sorted by shingle, and their distinct shingles
+    first: np.ndarray | None = None
+    first_item: np.ndarray | None = None
+    firsts: np.ndarray | None = None
+    #: shingles sorted by item and shingle, and where each item's begin
+    by_item: np.ndarray | None = None
+    item_head: np.ndarray | None = None
 
 
 def read_portion(ids: pa.Array, texts: pa.Array, n: int) -> Portion:
@@ -79,6 +89,10 @@ def set_prefixes(p: Portion, known: np.ndarray, count: np.ndarray, containment:
     place = np.arange(len(order)) - np.repeat(np.cumsum(p.size) - p.size, p.size)
     p.prefix = np.zeros(len(order), bool)
     p.prefix[order] = place <= (p.size - needed(p.size, containment))[p.item[order]]
+    p.first, p.first_item = p.shingle[p.prefix], p.item[p.prefix]
+    p.firsts = np.unique(p.first)
+    p.by_item = p.shingle[np.lexsort((p.shingle, p.item))]
+    p.item_head = np.append(0, np.cumsum(p.size))
 
 
 def lookups(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,23 +107,18 @@ def matches(texts: pa.Array, p: Portion, n: int, containment: float) -> tuple[np
     """Rows of ``texts``, items, and the largest share of an item's shingles in a window."""
     rows, items, share = [], [], []
     need = needed(p.size, containment)
-    distinct = np.unique(p.shingle)
     for b in blocks(texts):
         h, at = b.grams(n)
-        if not len(h) or not len(distinct):
+        if not len(h) or not len(p.firsts):
             continue
-        slot = np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)
-        hit = np.flatnonzero(distinct[slot] == h)
-        h, at = h[hit], at[hit]
-        own = b.owner[at]
-        src, entry = lookups(p.shingle, h)
-        pair = own[src] * len(p.ids) + p.item[entry]
-        wanted = np.unique(pair[p.prefix[entry]])
-        keep = np.isin(pair, wanted)
-        src, entry, pair = src[keep], entry[keep], pair[keep]
-        order = np.lexsort((at[src], pair))
-        src, entry, pair = src[order], entry[order], pair[order]
-        item, pos = p.item[entry], at[src]
+        slot = np.minimum(np.searchsorted(p.firsts, h), len(p.firsts) - 1)
+        hit = np.flatnonzero(p.firsts[slot] == h)
+        if not len(hit):
+            continue
+        src, entry = lookups(p.first, h[hit])
+        wanted = np.unique(b.owner[at[hit]][src] * len(p.ids) + p.first_item[entry])
+        src, entry, pair = _positions(b, h, at, wanted, p)
+        item, pos = pair % len(p.ids), at[src]
         # the last hit within the window that begins at each hit
         reach = pos + np.maximum(p.words[item] - n, 0)
         key = pair * (len(b.code) + 1) + pos
@@ -128,26 +137,72 @@ def matches(texts: pa.Array, p: Portion, n: int, containment: float) -> tuple[np
     return np.array(rows, np.int64), np.array(items, np.int64), np.array(share, float)
 
 
+def _positions(b: Block, h: np.ndarray, at: np.ndarray, wanted: np.ndarray, p: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All shingles of wanted (document, item) pairs: index in ``h``, number of the shingle, pair; by pair and place."""
+    doc, item = np.divmod(wanted, len(p.ids))
+    first = np.searchsorted(at, b.first)
+    size = (first[1:] - first[:-1])[doc]
+    out = []
+    for lo, hi in _cuts(size, 1 << 21):  # a pair looks at all of its document
+        src = ranges(first[doc[lo:hi]], size[lo:hi])
+        k = np.repeat(np.arange(lo, hi), size[lo:hi])
+        left, right = p.item_head[item[k]], p.item_head[item[k] + 1]
+        entry = _search_within(p.by_item, left, right, h[src])
+        good = np.flatnonzero((entry < right) & (p.by_item[np.minimum(entry, len(p.by_item) - 1)] == h[src]))
+        out.append((src[good], entry[good], wanted[k[good]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _cuts(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _search_within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """First place between lo and hi, of ascending values, that isn't below x; all at once."""
+    lo, hi = lo.copy(), hi.copy()
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        low = (lo < hi) & (values[np.minimum(mid, len(values) - 1)] < x)
+        hi = np.where(low | (lo >= hi), hi, mid)
+        lo = np.where(low, mid + 1, lo)
+    return lo
+
+
 def portions(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit: int) -> Iterator[Portion]:
-    """The items in portions of about ``limit`` words, read one after the other."""
-    rows = benchmark.select(F.col(item_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ids, texts, words = [], [], 0
-
-    def portion() -> Portion:
-        return read_portion(pa.array(ids, T_ID), pa.array(texts, pa.string()), n)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    T_ID = to_arrow_type(rows.schema["id"].dataType)
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        ids.append(r.id)
-        texts.append(r.text)
-        words += len(r.text) // 2 + 1
-        if words >= limit:
-            yield portion()
-            ids, texts, words = [], [], 0
-    if ids:
-        yield portion()
+    """The items in portions of at most ``limit`` words (or of one longer item), each fetched as one Arrow table."""
+    rows = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            words = pc.add(pc.divide(pc.utf8_length(batch.column(1)), 2), 1).to_pylist()  # no text has more
+            cells = []
+            for w in words:
+                if held and held + w > limit // 4:
+                    cell, held = cell + 1, 0
+                held += w
+                cells.append(cell)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64()), pa.array(words, pa.int64())], names=["id", "text", "cell", "words"])
+
+    dealt = written(rows.mapInArrow(deal, f"id {id_type}, text string, cell long, words long"), "items")
+    # as many rows as there are partitions and quarters of a portion
+    cells = dealt.groupBy("cell").agg(F.sum("words").alias("words")).orderBy("cell").collect()
+    parts, held = [], 0
+    for c in cells:
+        if not parts or held + c.words > limit:
+            parts.append([c.cell, c.cell])
+            held = 0
+        parts[-1][1] = c.cell
+        held += c.words
+    for lo, hi in parts:
+        table = dealt.where(F.col("cell").between(lo, hi)).select("id", "text").toArrow().combine_chunks()
+        yield read_portion(*(table[c].chunk(0) for c in ("id", "text")), n)
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, containment: float, portion: int) -> Iterator[Broadcast]:

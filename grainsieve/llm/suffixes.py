@@ -41,7 +41,7 @@ from grainsieve.llm.anchors import anchors, shared_rows
 from grainsieve.llm.ids import Ids
 from grainsieve.llm.jaccard import batches_by_key
 from grainsieve.llm.store import discard, written
-from grainsieve.llm.words import blocks, mix, signed
+from grainsieve.llm.words import blocks, mix, ranges, signed
 
 LENGTH = 50
 N = 16
@@ -158,7 +158,7 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
                 new = np.append(True, (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (doc[1:] != doc[:-1]))
                 run = np.cumsum(new) - 1
                 start, end = lo[new], hi[np.append(new[1:], True)]
-                take = _ranges(start, end - start)
+                take = ranges(start, end - start)
                 code = (b.code[take] >> np.uint64(64 - BITS)).astype(np.uint32) + np.uint32(1)
                 code = np.minimum(code, np.uint32((1 << BITS) - 1))  # 0 stands for the end
                 heads = np.append(np.flatnonzero(new), len(at))
@@ -173,11 +173,6 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(surround, "id long, start int, code binary, at binary")
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    total = np.cumsum(size)
-    return np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size) + np.repeat(start, size)
-
-
 def surroundings(found: DataFrame, length: int) -> DataFrame:
     """(id, start, end, many, on): surroundings of anchors, whether several documents have them, and whether they are to be sorted."""
     reach = length - N

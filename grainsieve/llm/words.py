@@ -144,6 +144,12 @@ def blocks(column: pa.Array, *, lower: bool = True, limit: int = BLOCK_BYTES) ->
         yield Block(lo, hi, part, off, start, end, first, _hash(sums, start, end), sums)
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``size`` of them, end to end."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size) + np.repeat(start, size)
+
+
 def char_of_byte(raw: np.ndarray) -> np.ndarray:
     """For each byte position, and the end, how many characters begin before it."""
     out = np.zeros(len(raw) + 1, np.int64)
