@@ -10,8 +10,12 @@ share reaches ``disclosure`` are generalised in the documents that hold e (to a
 what they are), from ``removal`` on they are removed. Documents without an entity stay as they
 are, byte for byte.
 
-Null texts stay null. Terms are compared in lower case. Rows are counted and treated one by
-one: repeated rows count as often as they occur. Texts are read whole.
+Documents are searched for entities once; those that hold some are written, with their entities and the terms near
+them, and all else is made of that table. One more scan counts the terms, one passes on the other documents.
+
+Null texts stay null, empty ones empty. Terms are compared in lower case. Rows are counted and treated one by
+one: repeated rows count as often as they occur. Texts are read whole. An empty table gives an empty one.
+All columns are kept, whatever their names and nulls; ``counts`` replaces columns of its names.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ KINDS = (
 )
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS), re.ASCII)
 #: What a text needs to hold for any entity: passes over most texts quickly.
-_HINT = r"@|[0-9]{2}|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|eyJ|[0-9a-f]{32}|(?i:(?:password|passwd|pwd|secret|token|key)\s*[=:])"
+_HINT = r"@|[0-9][ .\-]?[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|eyJ|[0-9a-f]{32}|(?i:(?:password|passwd|pwd|secret|token|key)\s*[=:])"
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -114,25 +118,43 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, SLICE_ROWS)
 
 
-def entity_mentions(docs: DataFrame, text_col: str, window: int) -> DataFrame:
-    """(e, t) of each document's entities and near terms, once a document; t null for the entity itself."""
+_MENTIONS = "array<struct<e:long,t:long,term:string>>"
+
+
+def holders(packed: DataFrame, window: int) -> DataFrame:
+    """(row, text, es, mentions), written: the rows that hold entities, the entities' codes and the terms near each, once a document; t is null for the entity itself."""
+    row_type = packed.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            es, ts = [], []
-            texts = batch.column(0)
+            texts = batch.column(1)
+            rows, names, es, ts, ends = [], [], [], [], [0]
             for i in np.flatnonzero(_hinted(texts)).tolist():
                 text = texts[i].as_py()
+                if not (found := find(text)):
+                    continue
                 by_name: dict[str, set[str]] = {}
-                for name, terms in near(text, find(text), window):
+                for name, terms in near(text, found, window):
                     by_name.setdefault(name, set()).update(terms)
                 for name, terms in by_name.items():
                     es += [name] * (len(terms) + 1)
                     ts += ["", *sorted(terms)]
-            e, t = hash_texts(es), hash_texts(ts)
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array([None if not w else h for h, w in zip(t, ts)], pa.int64()), pa.array(ts, pa.string())], names=["e", "t", "term"])
+                rows.append(i)
+                names.append(sorted(by_name))
+                ends.append(len(es))
+            part = batch.take(pa.array(rows, pa.int64()))
+            t = pa.array([None if not w else h for h, w in zip(hash_texts(ts), ts)], pa.int64())
+            struct = pa.StructArray.from_arrays([pa.array(hash_texts(es), pa.int64()), t, pa.array(ts, pa.string())], ["e", "t", "term"])
+            codes = pa.array(hash_texts([n for ns in names for n in ns]), pa.int64())
+            own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, names)]), pa.int32()), codes)
+            yield pa.RecordBatch.from_arrays([*part.columns, own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], names=["row", "text", "es", "mentions"])
+
+    return written(packed.mapInArrow(run, f"row {row_type}, text string, es array<long>, mentions {_MENTIONS}"), "holders")
+
 
-    return docs.select(text_col).mapInArrow(run, "e long, t long, term string")
+def _spaced(column: pa.Array) -> pa.Array:
+    """Texts with blanks for the characters beyond ASCII that no term holds."""
+    return pc.replace_substring_regex(column, r"[^\p{L}\p{N}\x00-\x7f]+", " ")
 
 
 def term_documents(docs: DataFrame, text_col: str, sieve: np.ndarray) -> DataFrame:
@@ -143,7 +165,7 @@ def term_documents(docs: DataFrame, text_col: str, sieve: np.ndarray) -> DataFra
         bits = np.unpackbits(shared.value).astype(bool)
         held = np.zeros(0, np.uint64)
         for batch in batches:
-            for b in blocks(batch.column(0)):
+            for b in blocks(_spaced(batch.column(0))):
                 at = np.flatnonzero(bits[(b.code >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
                 own, code = b.owner[at], b.code[at]
                 order = np.lexsort((code, own))
@@ -164,9 +186,12 @@ def _counts(codes: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(t)), pa.array(n.astype(np.int64))], names=["t", "n"])
 
 
-def disclosing_terms(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(e, term, share) of the terms that disclose entity e, a code, by at least ``disclosure``."""
-    pairs = entity_mentions(docs, text_col, window).groupBy("e", "t").agg(F.count("*").alias("n_te"), F.min("term").alias("term"))
+def disclosing_terms(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, held: DataFrame | None = None) -> DataFrame:
+    """(e, term, share) of the terms that disclose entity e, a code, by at least ``disclosure``; ``held`` are its ``holders`` if known."""
+    if held is None:
+        held = holders(docs.select(F.struct(F.lit(0).alias("x")).alias("row"), F.col(f"`{text_col}`").alias("text")), window)
+    mentions = held.select(F.inline("mentions"))
+    pairs = mentions.groupBy("e", "t").agg(F.count("*").alias("n_te"), F.min("term").alias("term"))
     pairs = written(pairs.where((F.col("n_te") >= support)), "pairs")
     # at most 2**SIEVE_BITS numbers, whatever the data
     slots = pairs.where("t is not null").select(F.shiftrightunsigned("t", 64 - SIEVE_BITS).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
@@ -189,36 +214,24 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, s
     columns = [c for c in docs.columns if not counts or c not in ("pii_entities", "pii_terms")]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     at = columns.index(text_col)
-    told = disclosing_terms(docs, text_col=text_col, window=window, support=support, disclosure=disclosure)
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     packed = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    row_type = packed.schema["row"].dataType.simpleString()
+    held = holders(packed, window)
+    told = disclosing_terms(docs, text_col=text_col, window=window, support=support, disclosure=disclosure, held=held)
 
-    def split(with_entities: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _slices(batches):
-                texts = batch.column(1)
-                has = np.zeros(batch.num_rows, bool)
-                names: list[list[str]] = []
-                for i in np.flatnonzero(_hinted(texts)).tolist():
-                    text = texts[i].as_py()
-                    if found := find(text):
-                        has[i] = True
-                        names.append(sorted({name_of(k, text[s:e]) for s, e, k in found}))
-                part = batch.filter(pa.array(has == with_entities))
-                if not with_entities:
-                    yield part.select(["row"])
-                    continue
-                codes = hash_texts([n for ns in names for n in ns])
-                offsets = np.cumsum([0, *map(len, names)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes, pa.int64()))], names=["row", "text", "es"])
-
-        return run
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column(1)
+            keep = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(_hinted(texts)).tolist():
+                keep[i] = _ENTITY.search(texts[i].as_py()) is None
+            yield batch.filter(pa.array(keep)).select(["row"])
 
-    row_type = packed.schema["row"].dataType.simpleString()
-    clean = packed.mapInArrow(split(False), f"row {row_type}").select("row", F.lit(0).alias("pii_entities"), F.lit(0).alias("pii_terms"))
-    held = packed.mapInArrow(split(True), f"row {row_type}, text string, es array<long>").withColumn("key", F.xxhash64("text"))
+    clean = packed.mapInArrow(without, f"row {row_type}").select("row", F.lit(0).alias("pii_entities"), F.lit(0).alias("pii_terms"))
+    keyed = held.withColumn("key", F.xxhash64("text"))
     # equal texts have equal entities and terms
-    terms = held.select("key", F.explode("es").alias("e")).distinct().join(told, "e").groupBy("key").agg(F.collect_set(F.struct("term", "share")).alias("terms"))
+    terms = keyed.select("key", F.explode("es").alias("e")).distinct().join(told, "e").groupBy("key").agg(F.collect_set(F.struct("term", "share")).alias("terms"))
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -236,7 +249,7 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, s
             fields = [pa.array(texts, pa.string()) if k == at else old.field(k) for k in range(old.type.num_fields)]
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(old.type)), pa.array(n_e, pa.int32()), pa.array(n_t, pa.int32())], names=["row", "pii_entities", "pii_terms"])
 
-    dirty = held.join(terms, "key", "left").select("row", "text", "terms").mapInArrow(redact, f"row {row_type}, pii_entities int, pii_terms int")
+    dirty = keyed.join(terms, "key", "left").select("row", "text", "terms").mapInArrow(redact, f"row {row_type}, pii_entities int, pii_terms int")
     out = clean.unionByName(dirty)
     fields: list[Column] = [F.col("row")[c].alias(c) for c in columns]
     return out.select(*fields, *(["pii_entities", "pii_terms"] if counts else []))

@@ -208,28 +208,45 @@ def test_entities_are_replaced(spark, odd):
 
 
 def brute_terms(rows, window=pii.WINDOW, support=pii.SUPPORT, least=pii.DISCLOSURE):
+    """(entity, term): share, from counts over all rows; words are runs of letters and digits of any script."""
     import re
     from collections import Counter
     from math import log
 
     n_e, n_t, n_te = Counter(), Counter(), Counter()
     for _, t in rows:
-        found = pii.find(t)
-        pairs = {(name, w) for name, ws in pii.near(t, found, window) for w in ws}
-        n_e.update({name for name, _ in pii.near(t, found, window)})
+        pairs, names = set(), set()
+        spots = [(m.start(), m.end(), m.lastgroup) for m in pii._ENTITY.finditer(t)]
+        around = [(m.start(), m.group().lower()) for m in re.finditer(r"[^\W_]+", t) if not any(s < m.end() and m.start() < e for s, e, _ in spots)]
+        for s, e, kind in spots:
+            name = f"{kind}:{''.join(t[s:e].split()).lower()}"
+            names.add(name)
+            pairs |= {(name, w) for w in [w for at, w in around if at < s][-window:] + [w for at, w in around if at > s][:window]}
+        n_e.update(names)
         n_te.update(pairs)
-        n_t.update({w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", t.lower()) if w})
+        n_t.update({w.lower() for w in re.findall(r"[^\W_]+", t)})
     n = len(rows)
-    return {(e, t) for (e, t), c in n_te.items() if c >= support and n > n_e[e] and log(c * n / (n_t[t] * n_e[e])) / log(n / n_e[e]) >= least}
+    share = {(e, t): log(c * n / (n_t[t] * n_e[e])) / log(n / n_e[e]) for (e, t), c in n_te.items() if c >= support and n > n_e[e]}
+    return {k: x for k, x in share.items() if x >= least}
 
 
 def test_disclosing_terms_match_brute_force(spark, odd):
-    rows = [(i, f"{words(i, 6)} the zorblax founder wrote from z.founder@example.com about things {words(i + 50, 6)}" if i % 4 == 0 else f"{words(i, 20)} the things about founder and wrote") for i in range(60)]
+    odd_words = ["\u201czorblax\u201d", "zorblax\u2019s", "\u2013zorblax\u2014", "zorblax\u00a0"]
+    rows = [(i, f"{words(i, 6)} the {odd_words[i // 4 % 4]} founder wrote from z.founder@example.com about things {words(i + 50, 6)}" if i % 4 == 0 else f"{words(i, 20)} the things about founder and wrote") for i in range(60)]
+    rows += [(100 + i, f"{words(i, 9)} card 4 1 1 1-1 1 1 1-1 1 1 1-1 1 1 1 of Xenia {words(i + 9, 9)}") for i in range(5)]
     want = brute_terms(rows)
-    assert want and {t for _, t in want} >= {"zorblax"}
-    assert {r.term for r in pii.disclosing_terms(odd(rows)).collect()} == {t for _, t in want}
-    texts = {r.doc_id: r.text for r in pii.sanitise(odd(rows)).collect()}
-    assert "zorblax" not in texts[0] and texts[1] == rows[1][1]
+    told = pii.disclosing_terms(odd(rows)).collect()
+    codes = {name: pii.hash_texts([name])[0] for name, _ in want}
+    assert {t for _, t in want} >= {"zorblax", "xenia"}
+    assert {(r.e, r.term): round(r.share, 9) for r in told} == {(codes[e], t): round(x, 9) for (e, t), x in want.items()}
+    got = {r.doc_id: r for r in pii.sanitise(odd(rows)).collect()}
+    for i, t in rows:
+        names = {pii.name_of(k, t[s:e]) for s, e, k in pii.find(t)}
+        gone = {w for (e, w) in want if e in names}
+        held = got[i].text.lower().split()
+        assert not gone & set(held) and (got[i].text == t) == (not names)
+        kept = [w for w in t.lower().split() if w.isalnum() and w not in gone and not any(c.isdigit() for c in w[:1])]
+        assert [w for w in held if w in set(kept)] == kept and got[i].pii_terms == len(gone)
 
 
 def test_masks():
