@@ -14,8 +14,10 @@ similar to one already. In the second, all pairs of a bucket are compared whose
 verified pairs of the first have not joined. Large groups are joined in the first, so that they
 stay linear, and no bucket, group or list of partners has a cap.
 
-Ids that are null take no part. Rows that repeat an id count as one document. Null, empty and
-wordless texts are in no group. Only the id and text columns are read.
+Ids that are null take no part; ids may be of any type, and the smallest of a group is so in their own order.
+Rows that repeat an id count as one document. Null, empty and wordless texts are in no group, texts are
+read whole, however long, and an empty table gives an empty result. Only the id and text columns are
+read, whatever the names of others.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.llm.graph import components
+from grainsieve.llm.ids import Ids
 from grainsieve.llm.store import written
 from grainsieve.llm.words import SQL_SEPARATOR, Block, blocks, mix, signed
 
@@ -38,6 +41,7 @@ BANDS, ROWS = 21, 3
 STEP = 16
 TOLERANCE = 0.001
 SURE = 0.9
+LEAD_ROWS = 1 << 14
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,12 +117,13 @@ def leader_pairs(sig: np.ndarray, t: float, tolerance: float, sure: float = SURE
     """Leaders of a bucket, each with the documents that are left for it after the pruning."""
     steps = limits(t, tolerance)
     settled = next((m for m in range(sig.shape[1] + 1) if reach(m, sig.shape[1], t) >= sure), sig.shape[1] + 1)
-    free = np.arange(len(sig))
+    free, open_ = np.arange(len(sig)), np.ones(len(sig), bool)
     while len(free):
         i = free[0]
-        rest, hits = alike(sig, i, np.delete(np.arange(len(sig)), i), steps)
+        rest, hits = alike(sig, i, np.flatnonzero(np.arange(len(sig)) != i), steps)
         yield i, rest
-        free = np.setdiff1d(free[1:], rest[hits >= settled], assume_unique=True)
+        open_[i], open_[rest[hits >= settled]] = False, False
+        free = free[1:][open_[free[1:]]]
 
 
 def bucket_pairs(sig: np.ndarray, t: float, tolerance: float, group: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -253,23 +258,26 @@ def verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(leads, pa.int64()), pa.array(scores, pa.float64())], names=["id", "lead", "jaccard"])
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Documents, their sketches, pairs of equal sets, and the buckets (``key``, ``id``) of more than one document."""
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+def _sketched(kept: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of documents, pairs of equal sets, and the buckets (``key``, ``id``) of more than one document."""
     sketches = written(kept.mapInArrow(lambda x: sketch(x, n), "id long, same long, sig binary, keys array<long>"), "sketches")
     rep = sketches.groupBy("same").agg(F.min("id").alias("lead"))
     equal = sketches.select("id", "same").join(rep, "same").where("id <> lead").select("id", "lead", F.lit(1.0).alias("jaccard"))
     first = sketches.select("id", "same").join(rep, "same").where("id = lead").select("id")
     keyed = sketches.join(first, "id", "left_semi").select("id", F.explode("keys").alias("key"))
     busy = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(repeated_keys, "id long, key long")
-    return kept, sketches.select("id", "sig"), equal, busy
+    return sketches.select("id", "sig"), equal, busy
 
 
 def _verified(kept: DataFrame, with_sig: DataFrame, n: int, threshold: float, tolerance: float, way: str) -> DataFrame:
     """Pairs that buckets propose, verified on the full sets."""
     proposed = with_sig.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: propose(x, threshold, tolerance, way), "id long, lead long").distinct()
     proposed = written(proposed, "proposed")
-    sides = proposed.unionByName(proposed.select(F.col("lead").alias("id"), "lead")).groupBy("id").agg(F.collect_set("lead").alias("leads"))
+    # a leader of many documents is compared in several tasks, each with its set
+    parts = proposed.groupBy("lead").agg(F.ceil(F.count("*") / LEAD_ROWS).alias("parts"))
+    members = proposed.join(parts, "lead").select("id", F.struct("lead", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("to"))
+    own = parts.select(F.col("lead").alias("id"), F.explode(F.expr("transform(sequence(0L, parts - 1), p -> struct(lead AS lead, p AS part))")).alias("to"))
+    sides = members.unionByName(own).groupBy("id").agg(F.collect_set("to").alias("leads"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,21 +288,26 @@ def _verified(kept: DataFrame, with_sig: DataFrame, n: int, threshold: float, to
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), data], names=["id", "leads", "set"])
 
     # the same shuffled join at every size: its plan does not hang on an estimate of the ids
-    rows = kept.join(sides.hint("merge"), "id").select("id", "text", "leads").mapInArrow(sets, "id long, leads array<long>, set binary")
-    rows = rows.select(F.explode("leads").alias("lead"), "id", "set")
-    ordered = rows.repartition("lead").sortWithinPartitions(F.col("lead"), F.col("id") != F.col("lead"), F.col("id"))
+    rows = kept.join(sides.hint("merge"), "id").select("id", "text", "leads").mapInArrow(sets, "id long, leads array<struct<lead:long,part:long>>, set binary")
+    rows = rows.select(F.inline("leads"), "id", "set")
+    ordered = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("id") != F.col("lead"), "id").select("id", "lead", "set")
     return ordered.mapInArrow(lambda x: verify(x, threshold), "id long, lead long, jaccard double")
 
 
 def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """All verified pairs (``id``, ``lead``, ``jaccard``) of sets; equal sets are paired, with 1.0, with the smallest id of their class only, which stands for them in the other pairs."""
-    kept, sigs, equal, busy = _sketched(docs, id_col, text_col, n)
-    return _verified(kept, busy.join(sigs, "id").select("key", "id", "sig"), n, threshold, tolerance, "all").unionByName(equal)
+    number = Ids(docs, id_col)
+    kept = number.rows(docs, F.col(f"`{text_col}`").alias("text"))
+    sigs, equal, busy = _sketched(kept, n)
+    out = _verified(kept, busy.join(sigs, "id").select("key", "id", "sig"), n, threshold, tolerance, "all").unionByName(equal)
+    return number.back(out, id="id", lead="lead")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Every document with a near duplicate: its id and its group, the smallest id of the group."""
-    kept, sigs, equal, busy = _sketched(docs, id_col, text_col, n)
+    number = Ids(docs, id_col)
+    kept = number.rows(docs, F.col(f"`{text_col}`").alias("text"))
+    sigs, equal, busy = _sketched(kept, n)
     busy = written(busy, "buckets")
     some = _verified(kept, busy.join(sigs, "id").select("key", "id", "sig"), n, threshold, tolerance, "leaders").unionByName(equal)
     joined = components(some, "id", "lead")
@@ -302,9 +315,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     across = _verified(kept, rooted.join(mixed, "key").join(sigs, "id").select("key", "id", "sig", "root"), n, threshold, tolerance, "across")
     rest = components(joined.select(F.col("node").alias("id"), F.col("root").alias("lead")).unionByName(across.select("id", "lead")), "id", "lead")
-    id_type = docs.schema[id_col].dataType
     roots = rest.select(F.col("root").alias("node"), "root").distinct()
-    return rest.unionByName(roots).select(F.col("node").cast(id_type).alias(id_col), F.col("root").cast(id_type).alias("group_id"))
+    return number.back(rest.unionByName(roots), node=id_col, root="group_id")
 
 
 ORACLE = rf"""
