@@ -6,13 +6,14 @@ word, to the depth of ``length`` words, which is all that decides whether a subs
 repeated. Where neighbours in the order agree on ``length`` words and lie on distinct pages, those
 words are boilerplate; what no such substring covers is kept, as runs of words, one a line.
 
-A host whose pages together are longer than ``host_bytes`` isn't gathered in one task: its
-suffixes are partitioned by the hash of their first ``length`` words instead, with the same result.
-The texts of such hosts are written first, each with a row number, which tells rows of null id apart.
+A host whose pages together are longer than ``host_bytes`` isn't gathered in one task: its texts are
+written, each with a row number, and its suffixes are partitioned by host and hash of their first ``length``
+words and sorted there, as (hash, page) rows that stream by. The result is the same.
 
 Pages with the same id count as one page, so that repeated rows aren't each other's boilerplate;
-rows with a null id are pages of their own. Null or empty HTML gives an empty text. Pages
-whose URL has no host share the empty host.
+rows with a null id are pages of their own. Ids may be of any type. Null or empty HTML gives an empty text,
+long pages are read whole. Pages whose URL is null or has no host share the empty host. An empty
+table gives an empty result. Every row gives one; columns other than these three, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from grainsieve.llm.jaccard import runs
 from grainsieve.llm.store import written
-from grainsieve.llm.words import _hash, gram_hash, prefix_sums, segments, signed, text_buffers
+from grainsieve.llm.words import _hash, gram_hash, mix, prefix_sums, segments, signed, text_buffers
 
 LENGTH = 6
 HOST_BYTES = 256 << 20
@@ -141,7 +142,7 @@ def host_pages(group: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = LENGTH, host_bytes: int = HOST_BYTES) -> DataFrame:
     """``id_col``, ``host``, ``text`` (kept runs), ``runs``, ``kept_words`` and ``removed_words`` of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), F.col(f"`{html_col}`").alias("html"))
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, host string, text string, runs int, kept_words int, removed_words int"
     huge = pages.select(host.alias("host"), F.length(html_col).alias("n")).groupBy("host").agg(F.sum("n").alias("n")).where(F.col("n") > host_bytes).select("host")
@@ -166,24 +167,56 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     return out.withColumnRenamed("id", id_col)
 
 
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct (key, page) rows whose key has several pages; input sorted by both. Holds one row at a time."""
+    last = first = told = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, p = batch.column("key").to_numpy(), batch.column("page").to_numpy()
+        fresh = np.append((k[0], p[0]) != last, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+        last = (k[-1], p[-1])
+        k, p = k[fresh], p[fresh]
+        if not len(k):
+            continue
+        if first is not None and first[0] == k[0]:
+            k, p = np.append(first[0], k), np.append(first[1], p)
+        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(np.append(head, len(k)))
+        many = (size > 1) | (k[head] == told if told is not None else False)
+        first, told = (None, k[-1]) if many[-1] else ((k[-1], p[-1]), None)
+        on = np.repeat(many, size)
+        if on.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(p[on])], names=["key", "page"])
+
+
 def _spread(texts: DataFrame, length: int, schema: str) -> DataFrame:
     """The same for hosts of any size: suffixes partitioned by their first words."""
     # written, so that the suffixes and the join back see the same row numbers
     texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "pages")
-    texts = texts.withColumn("page", F.when(F.col("id").isNull(), F.xxhash64("row", F.lit("null"))).otherwise(F.xxhash64("id", F.lit("id"))))
+    page = F.when(F.col("id").isNull(), F.xxhash64("row", F.lit("null"))).otherwise(F.xxhash64("id", F.lit("id"), "host"))
+    texts = texts.withColumn("site", F.xxhash64("host")).withColumn("page", page)
+
+    def keys_of(site: int, code: np.ndarray) -> np.ndarray:
+        at = np.arange(len(code) - length + 1)
+        return mix(gram_hash(code, at, length) + np.uint64(site & (1 << 64) - 1))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                code, _, _, first, _ = word_stream(part.column(1))
-                row = np.repeat(np.arange(part.num_rows), np.diff(first))
-                at = np.flatnonzero(row[length - 1 :] == row[: max(0, len(row) - length + 1)]) if len(row) >= length else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at])), part.column(2).take(pa.array(row[at])), pa.array(signed(gram_hash(code, at, length)))], names=["host", "page", "gram"])
-
-    grams = texts.select("host", "text", "page").mapInArrow(suffixes, "host string, page long, gram long")
-    shared = grams.groupBy("host", "gram").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("host", "gram")
-    found = grams.distinct().join(shared, ["host", "gram"]).groupBy("host", "page").agg(F.collect_set("gram").alias("grams"))
+                code, _, _, first, _ = word_stream(part.column(0))
+                out_k, out_p = [], []
+                for site, own, a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), first[:-1], first[1:]):
+                    if b - a >= length:
+                        out_k.append(np.unique(keys_of(site, code[a:b])))
+                        out_p.append(np.full(len(out_k[-1]), own, np.int64))
+                if out_k:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out_k))), pa.array(np.concatenate(out_p))], names=["key", "page"])
+
+    grams = texts.select("text", "site", "page").mapInArrow(suffixes, "key long, page long")
+    shared = grams.repartition("key").sortWithinPartitions("key", "page").mapInArrow(shared_keys, "key long, page long")
+    found = written(shared, "repeats").groupBy("page").agg(F.collect_list("key").alias("keys"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,12 +224,12 @@ def _spread(texts: DataFrame, length: int, schema: str) -> DataFrame:
                 part = batch.slice(i, 1)
                 code, _, _, first, _ = word_stream(part.column(2))
                 covered = np.zeros(len(code), bool)
-                known = np.sort(np.array(part.column(3)[0].as_py() or [], np.int64).view(np.uint64))
-                if len(known) and len(code) >= length:
-                    h = gram_hash(code, np.arange(len(code) - length + 1), length)
-                    hit = np.flatnonzero(np.isin(h, known))
+                known = part.column(4)[0].values
+                if known is not None and len(code) >= length:
+                    known = known.to_numpy().view(np.uint64)
+                    hit = np.flatnonzero(np.isin(keys_of(part.column(3)[0].as_py(), code), known))
                     for j in range(length):
                         covered[hit + j] = True
                 yield _emit(part.column(0), part.column(1), part.column(2), covered)
 
-    return texts.join(found, ["host", "page"], "left").select("id", "host", "text", "grams").mapInArrow(finish, schema)
+    return texts.join(found, "page", "left").select("id", "host", "text", "site", "keys").mapInArrow(finish, schema)

@@ -2,6 +2,7 @@
 
 import itertools
 import os
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,35 @@ def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "h", None, "x") for i, u, h in rows], PAGES)
 
 
+class Words(HTMLParser):
+    """The words of a page by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.quiet, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.quiet += tag in ("script", "style", "template", "title")
+        self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.quiet -= tag in ("script", "style", "template", "title")
+        self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.quiet:
+            self.parts.append(data)
+
+
+def parsed(page):
+    w = Words()
+    w.feed(page or "")
+    w.close()
+    return "".join(w.parts).split()
+
+
 def brute_main(rows, length=6):
-    streams = [(i, (u or "").split("/")[2].lower() if u else "", html.page_text(h).split()) for i, u, h in rows]
+    streams = [(i, (u or "").split("/")[2].lower() if u else "", parsed(h)) for i, u, h in rows]
     seen = {}
     for k, (i, host, w) in enumerate(streams):
         for p in range(len(w) - length + 1):
@@ -46,13 +74,26 @@ def test_html_matches_brute_force(spark, host_bytes):
     rows = [(i, f"https://{'a' if i % 3 else 'B'}.example.com/{i}", f"<html><head><title>t</title><style>p {{}}</style><script>var x='</p>';</script></head>{menu}<p>{words(i, 8 * i)}</p><!-- gone --><footer>All rights &amp; wrongs reserved by us {i}</footer>") for i in range(1, 25)]
     rows += [(30, None, None), (31, None, ""), (32, "https://a.example.com/x", rows[3][2]), (32, "https://a.example.com/x", rows[3][2]), (33, "https://c.example.com/", "<p>" + words(1, 20_000)), (None, "https://d.example.com/", "one two three four five six seven"), (None, "https://d.example.com/", "one two three four five six seven")]
     got = sorted(((r.page_id, r.text, r.kept_words, r.removed_words) for r in html.main_text(pages(spark, rows), host_bytes=host_bytes).collect()), key=str)
-    want = brute_main(rows)
-    if host_bytes == 10:  # rows of null id and equal text are one page there
-        got, want = ([x for x in v if x[0] is not None] for v in (got, want))
-    assert got == want
+    assert got == brute_main(rows)
+    # ids of any type
+    named = pages(spark, rows).withColumn("page_id", F.expr("'page ' || page_id"))
+    again = [(int(r.page_id[5:]) if r.page_id else None, r.text, r.kept_words, r.removed_words) for r in html.main_text(named, host_bytes=host_bytes).collect()]
+    assert sorted(again, key=str) == got
     assert html.main_text(pages(spark, [])).collect() == []
 
 
+def test_shared_keys_over_batches():
+    rng = np.random.default_rng(0)
+    rows = sorted(zip(rng.integers(0, 9, 90).tolist(), rng.integers(0, 4, 90).tolist()))
+    pages_of = {}
+    for k, p in rows:
+        pages_of.setdefault(k, set()).add(p)
+    want = sorted((k, p) for k, ps in pages_of.items() if len(ps) > 1 for p in ps)
+    for size in (1, 2, 7, 100):
+        cut = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[a : a + size]]), pa.array([p for _, p in rows[a : a + size]])], names=["key", "page"]) for a in range(0, len(rows), size)]
+        assert [(k, p) for b in html.shared_keys(cut) for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())] == want
+
+
 @pytest.mark.parametrize("host_bytes", [1 << 20, 10])
 def test_html_rows_of_null_id_are_pages_of_their_own(spark, host_bytes):
     same = "one two three four five six seven"
