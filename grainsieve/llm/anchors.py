@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from grainsieve.llm.jaccard import batches_by_key
 from grainsieve.llm.words import Block
 
 
@@ -38,11 +37,39 @@ def anchors(b: Block, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     return h[chosen], at[chosen]
 
 
-def shared_rows(batches: Iterator[pa.RecordBatch], key: str, doc: str) -> Iterator[pa.RecordBatch]:
-    """Rows whose key occurs in two documents; input sorted by key."""
-    for batch in batches_by_key(batches):
+def decided(batches: Iterator[pa.RecordBatch], key: str, doc: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with, for each row, whether its key has several documents, and whether it's the first of its key; input sorted by both.
+
+    Rows are held back only while all of their key come from one document: a key of any number of rows streams by.
+    """
+    held, told = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch, held = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0], None
         k, d = batch.column(key).to_numpy(), batch.column(doc).to_numpy()
         head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+        first = np.zeros(len(k), bool)
+        first[head] = True
+        if told is not None and k[0] == told:
+            many[0], first[0] = True, False
+        end, told = len(k), k[-1] if many[-1] else None
+        if told is None:
+            end = int(head[-1])
+            held = batch.slice(end)
+        many = np.repeat(many, np.diff(np.append(head, len(k))))
+        if end:
+            yield batch.slice(0, end), many[:end], first[:end]
+    if held is not None:
+        first = np.zeros(held.num_rows, bool)
+        first[0] = True
+        yield held, np.zeros(held.num_rows, bool), first
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch], key: str, doc: str) -> Iterator[pa.RecordBatch]:
+    """Rows whose key occurs in two documents; input sorted by key and document."""
+    for batch, many, _ in decided(batches, key, doc):
         if many.any():
-            yield batch.filter(pa.array(np.repeat(many, np.diff(np.append(head, len(k))))))
+            yield batch.filter(pa.array(many))

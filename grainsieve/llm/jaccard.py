@@ -202,13 +202,10 @@ def _pairs(a: list, b: list) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose bucket holds another document; input sorted by bucket."""
-    for batch in batches_by_key(batches):
-        k = batch.column("key").to_numpy()
-        same = k[1:] == k[:-1]
-        keep = np.append(same, False) | np.append(False, same)
-        if keep.any():
-            yield batch.filter(pa.array(keep))
+    """Rows whose bucket holds another document; input sorted by bucket and id."""
+    from grainsieve.llm.anchors import shared_rows
+
+    yield from shared_rows(batches, "key", "id")
 
 
 def batches_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +262,7 @@ def _sketched(kept: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]
     equal = sketches.select("id", "same").join(rep, "same").where("id <> lead").select("id", "lead", F.lit(1.0).alias("jaccard"))
     first = sketches.select("id", "same").join(rep, "same").where("id = lead").select("id")
     keyed = sketches.join(first, "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    busy = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(repeated_keys, "id long, key long")
+    busy = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(repeated_keys, "id long, key long")
     return sketches.select("id", "sig"), equal, busy
 
 

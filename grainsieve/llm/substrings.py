@@ -3,8 +3,10 @@
 Words of a document are compared by hash. Suffixes begin at anchors (see ``anchors``), of which
 every passage of ``length`` words has one and each of its copies the same. A prefix of ``N`` words
 that only one document has can't begin a repeat; the other suffixes are partitioned by theirs,
-and where more than ``group_rows`` share it, by longer ones: by twice as many words, and, for
-repeats that end before those do, by the words to the left which such repeats must share.
+and where more than ``group_rows`` share it, by longer ones: a prefix is lengthened until it reaches over all
+``length`` words, to the right of the n-gram or to the left, once for each place that the n-gram can have in
+such a run. Groups of whole runs need no tree: their suffixes agree to the depth that counts, and
+stream by in order, however many there are. So no group is larger in memory than ``group_rows``.
 
 Each group is sorted into a suffix tree over the words to the right: its internal nodes are the
 runs of suffixes that agree to some depth. Within a node, suffixes sorted by the words to the left
@@ -14,7 +16,8 @@ are one leaf. Overlapping repeats of a document are joined.
 
 Results are word positions in a document (words as in ``words``). Documents with null id, null or
 empty text and those shorter than ``length`` have no rows. Rows that repeat an id are one document,
-so that they aren't each other's repeats; repeats within one document don't count either.
+so that they aren't each other's repeats; repeats within one document don't count either. Ids may be of any type.
+Other columns, whatever their names, aren't read. An empty table gives an empty result. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.llm.anchors import anchors, shared_rows
 from grainsieve.llm.ids import Ids
-from grainsieve.llm.words import SQL_SEPARATOR, Block, blocks, mix, signed
+from grainsieve.llm.words import SQL_SEPARATOR, Block, blocks, gram_hash, mix, signed
 
 LENGTH = 50
 N = 16
@@ -128,31 +132,72 @@ def tree_extents(group: np.ndarray, right: pa.Array, left: pa.Array, doc: np.nda
 
 
 def grow(batches: Iterator[pa.RecordBatch], length: int, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Spans of repeats; input sorted by group, right side and left side."""
-    from grainsieve.llm.jaccard import batches_by_key
-
-    for batch in batches_by_key(batches):
-        cut = [0]
-        keys = batch.column("key").to_numpy()
-        borders = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
-        while cut[-1] < len(keys):
-            cut.append(int(borders[min(np.searchsorted(borders, cut[-1] + rows), len(borders) - 1)]))
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            part = batch.slice(lo, hi - lo)
-            key, doc, pos = keys[lo:hi], part.column("id").to_numpy(), part.column("pos").to_numpy()
-            right, left = part.column("right"), part.column("left")
-            new = np.ones(len(key), bool)
-            if len(key) > 1:
-                same = (key[1:] == key[:-1]) & _equal_rows(right) & _equal_rows(left)
-                new[1:] = ~same
-            leaf = np.cumsum(new) - 1
-            head = np.flatnonzero(new)
-            many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-            take = pa.array(head)
-            before, after = tree_extents(key[head], right.take(take), left.take(take), doc[head], many, length)
-            hit = np.flatnonzero(after[leaf] >= 0)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] - before[leaf[hit]]).astype(np.int32)), pa.array((pos[hit] + N + after[leaf[hit]]).astype(np.int32))], names=["id", "start", "end"])
+    """Spans of repeats; input sorted by group, right side, left side and document. Rows without sides are whole runs."""
+    streamed, last = _Runs(length), None
+    for batch in batches:
+        run = batch.column("right").is_null()
+        yield from streamed.push(batch.filter(run))
+        part = batch.filter(pc.invert(run))
+        if not part.num_rows:
+            continue
+        if last is not None:
+            part = pa.Table.from_batches([last, part]).combine_chunks().to_batches()[0]
+        key = part.column("key").to_numpy()
+        # the last group may go on in the next batch
+        at = int(np.searchsorted(key, key[-1], "left"))
+        yield from tree_spans(part.slice(0, at), length, rows)
+        last = part.slice(at)
+    if last is not None:
+        yield from tree_spans(last, length, rows)
+
+
+class _Runs:
+    """Spans of whole runs that several documents have, from rows sorted by key and document in any number of pushes."""
+
+    def __init__(self, length: int):
+        self.length, self.held, self.told = length, None, None
+
+    def push(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        batch = batch.select(["key", "id", "pos"])
+        if self.held is not None:
+            batch, self.held = pa.Table.from_batches([self.held, batch]).combine_chunks().to_batches()[0], None
+        k, d = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        many = (np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)) | (k[head] == self.told if self.told is not None else False)
+        self.told = k[-1] if many[-1] else None
+        if self.told is None:
+            self.held = batch.slice(int(head[-1]))
+        on = np.repeat(many, np.diff(np.append(head, len(k))))
+        if on.any():
+            pos = batch.column("pos").to_numpy()[on]
+            yield pa.RecordBatch.from_arrays([pa.array(d[on]), pa.array(pos), pa.array(pos + np.int32(self.length))], names=["id", "start", "end"])
+
+
+def tree_spans(batch: pa.RecordBatch, length: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the repeats of whole groups, some groups at a time."""
+    cut = [0]
+    keys = batch.column("key").to_numpy()
+    borders = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    while cut[-1] < len(keys):
+        cut.append(int(borders[min(np.searchsorted(borders, cut[-1] + rows), len(borders) - 1)]))
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        part = batch.slice(lo, hi - lo)
+        key, doc, pos = keys[lo:hi], part.column("id").to_numpy(), part.column("pos").to_numpy()
+        right, left = part.column("right"), part.column("left")
+        new = np.ones(len(key), bool)
+        if len(key) > 1:
+            same = (key[1:] == key[:-1]) & _equal_rows(right) & _equal_rows(left)
+            new[1:] = ~same
+        leaf = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+        take = pa.array(head)
+        before, after = tree_extents(key[head], right.take(take), left.take(take), doc[head], many, length)
+        hit = np.flatnonzero(after[leaf] >= 0)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] - before[leaf[hit]]).astype(np.int32)), pa.array((pos[hit] + N + after[leaf[hit]]).astype(np.int32))], names=["id", "start", "end"])
 
 
 def _equal_rows(column: pa.Array) -> np.ndarray:
@@ -203,7 +248,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column(0).take(pa.array(b.lo + doc)), pa.array((at - b.first[doc]).astype(np.int32))], names=["key", "id", "pos"])
 
     prefixes = kept.mapInArrow(begin, "key long, id long, pos int")
-    shared = prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _with_heat(x, group_rows), "id long, pos int, hot boolean")
+    shared = prefixes.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: _with_heat(x, group_rows), "id long, pos int, hot boolean")
     sides = shared.groupBy("id").agg(F.collect_list(F.struct("pos", "hot")).alias("at"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,43 +269,61 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     yield from _keyed(b, batch.column(0), doc, at, hot, right, left, length)
 
     rows = kept.join(sides.hint("merge"), "id").select("id", "text", "at").mapInArrow(surround, "key long, id long, pos int, right binary, left binary")
-    spans = rows.repartition("key").sortWithinPartitions("key", "right", "left").mapInArrow(lambda x: grow(x, length), "id long, start int, end int")
+    spans = rows.repartition("key").sortWithinPartitions("key", "right", "left", "id").mapInArrow(lambda x: grow(x, length), "id long, start int, end int")
     out = joined_spans(spans).select("id", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
     return number.back(out, id=id_col)
 
 
 def _with_heat(batches: Iterator[pa.RecordBatch], group_rows: int) -> Iterator[pa.RecordBatch]:
+    """(id, pos, hot) of the shared prefixes; at most ``group_rows`` rows of a prefix are held until it's known to be crowded."""
+
+    def marked(part: pa.RecordBatch, hot: bool | np.ndarray) -> pa.RecordBatch:
+        hot = np.full(part.num_rows, hot) if isinstance(hot, bool) else hot
+        return pa.RecordBatch.from_arrays([part.column("id"), part.column("pos"), pa.array(hot)], names=["id", "pos", "hot"])
+
+    held, n, hot, key = [], 0, False, None
     for batch in shared_rows(batches, "key", "id"):
         k = batch.column("key").to_numpy()
-        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        size = np.diff(np.append(head, len(k)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos"), pa.array(np.repeat(size > group_rows, size))], names=["id", "pos", "hot"])
+        head = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
+        at = 0
+        if k[0] == key:
+            part, at = batch.slice(0, int(head[1])), 1
+            n += part.num_rows
+            held.append(part)
+            if hot or n > group_rows:
+                hot = True
+                yield from (marked(h, True) for h in held)
+                held = []
+        if at + 1 >= len(head):
+            continue
+        yield from (marked(h, False) for h in held)
+        lo, hi = int(head[at]), int(head[-2])
+        if hi > lo:
+            size = np.diff(head[at:-1])
+            yield marked(batch.slice(lo, hi - lo), np.repeat(size > group_rows, size))
+        held, key, n = [batch.slice(hi)], k[-1], len(k) - hi
+        hot = n > group_rows
+        if hot:
+            yield marked(held.pop(), True)
+    yield from (marked(h, False) for h in held)
 
 
 def _keyed(b: Block, ids: pa.Array, doc: np.ndarray, at: np.ndarray, hot: np.ndarray, right: list[bytes], left: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows with the hash of their prefix; suffixes of crowded prefixes once for each longer one."""
-    from grainsieve.llm.words import gram_hash
-
-    key = gram_hash(b.code, at, N)
+    """Rows with the hash of their prefix; suffixes of crowded prefixes once for each run of ``length`` words around, with its start and no sides."""
     id_of = ids.take(pa.array(b.lo + doc))
     pos = (at - b.first[doc]).astype(np.int32)
-    right_a, left_a = pa.array(right, pa.binary()), pa.array(left, pa.binary())
-
-    def batch(rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        take = pa.array(rows)
-        return pa.RecordBatch.from_arrays([pa.array(signed(keys)), id_of.take(take), pa.array(pos[rows]), right_a.take(take), left_a.take(take)], names=["key", "id", "pos", "right", "left"])
-
     calm = np.flatnonzero(~hot)
     if len(calm):
-        yield batch(calm, key[calm])
-    if not hot.any():
-        return
-    more = min(N, length - N)
-    least = length - (N + more - 1)  # to the left of a repeat that ends before the longer prefix
-    for salt, ok, shift, size in ((1, at + N + more <= b.first[doc + 1], N, more), (2, at - least >= b.first[doc], -least, least)):
-        rows = np.flatnonzero(hot & ok)
+        take = pa.array(calm)
+        sides = [pa.array([side[i] for i in calm.tolist()], pa.binary()) for side in (right, left)]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(gram_hash(b.code, at[calm], N))), id_of.take(take), pa.array(pos[calm]), *sides], names=["key", "id", "pos", "right", "left"])
+    for back in range(length - N + 1) if hot.any() else ():
+        start = at - back
+        rows = np.flatnonzero(hot & (start >= b.first[doc]) & (start + length <= b.first[doc + 1]))
         if len(rows):
-            yield batch(rows, mix(key[rows] ^ gram_hash(b.code, at[rows] + shift, size)) + np.uint64(salt))
+            none = pa.nulls(len(rows), pa.binary())
+            key = mix(gram_hash(b.code, start[rows], length) + np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), id_of.take(pa.array(rows)), pa.array(pos[rows] - np.int32(back)), none, none], names=["key", "id", "pos", "right", "left"])
 
 
 ORACLE = rf"""

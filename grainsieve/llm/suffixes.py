@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainsieve.llm.anchors import anchors, shared_rows
+from grainsieve.llm.anchors import anchors, decided, shared_rows
 from grainsieve.llm.ids import Ids
 from grainsieve.llm.jaccard import batches_by_key
 from grainsieve.llm.store import discard, written
@@ -136,7 +136,7 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
         for batch in shared_rows(batches, "key", "id"):
             yield batch.select(["id", "pos"])
 
-    found = docs.mapInArrow(begin, "key long, id long, pos int").repartition("key").sortWithinPartitions("key").mapInArrow(shared, "id long, pos int")
+    found = docs.mapInArrow(begin, "key long, id long, pos int").repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared, "id long, pos int")
     sides = found.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +190,8 @@ def surroundings(found: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column(0).take(pa.array(row)), pa.array((first + lo).astype(np.int32)), pa.array((first + hi).astype(np.int32))], names=["key", "id", "start", "end"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_key(batches):
-            k, d = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-            head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            size = np.diff(np.append(head, len(k)))
-            many = np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), size)
-            on = ~many
-            on[head] = True
+        for batch, many, first in decided(batches, "key", "id"):
+            on = ~many | first
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), batch.column("end"), pa.array(many), pa.array(on)], names=["id", "start", "end", "many", "on"])
 
     rows = found.mapInArrow(contexts, "key long, id long, start int, end int")

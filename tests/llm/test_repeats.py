@@ -1,10 +1,11 @@
 """Substring dedup (2), suffix-array dedup (10), n-gram Jaccard join (4), against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_texts import words
 
-from grainsieve.llm import jaccard, substrings, suffixes
+from grainsieve.llm import anchors, jaccard, substrings, suffixes
 
 
 def token_lists(rows):
@@ -86,12 +87,31 @@ def test_passages_of_ids_of_any_type(spark, odd, find):
     assert got == [(f"doc {i:05}", a, b) for i, a, b in brute_spans(rows, 50)]
 
 
-def test_crowded_prefixes_are_split(spark, odd):
-    rows = planted(3)
-    got = sorted((r.doc_id, r.start_word, r.end_word) for r in substrings.repeated_passages(odd(rows), group_rows=1).collect())
+@pytest.mark.parametrize("group_rows", [1, 5])
+def test_crowded_prefixes_are_split(spark, odd, group_rows):
+    rows = planted(3) + [(1000 + i, t) for i, t in template(40)]
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in substrings.repeated_passages(odd(rows), group_rows=group_rows).collect())
     assert got == brute_spans(rows, 50)
 
 
+def test_streams_of_hot_keys():
+    rng = np.random.default_rng(0)
+    rows = sorted({(int(k), int(d), int(p)) for k, d, p in zip(rng.integers(0, 12, 200), rng.integers(0, 5, 200), range(200))} | {(20, 1, p) for p in range(40)} | {(21, d, 0) for d in range(50)})
+    docs = {}
+    for k, d, _ in rows:
+        docs.setdefault(k, set()).add(d)
+    size = {k: sum(r[0] == k for r in rows) for k in docs}
+    want = [r for r in rows if len(docs[r[0]]) > 1]
+    for n in (1, 3, 17, 500):
+        cut = lambda: (pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + n]]) for c in range(3)], names=["key", "id", "pos"]) for a in range(0, len(rows), n))  # noqa: E731, B023
+        assert [(r["key"], r["id"], r["pos"]) for b in anchors.shared_rows(cut(), "key", "id") for r in b.to_pylist()] == want
+        told = [(r["id"], r["pos"], m, f) for b, many, first in anchors.decided(cut(), "key", "id") for r, m, f in zip(b.to_pylist(), many, first)]
+        assert told == [(d, p, len(docs[k]) > 1, i == 0 or rows[i - 1][0] != k) for i, (k, d, p) in enumerate(rows)]
+        for least in (1, 20, 45):
+            heat = sorted((r["id"], r["pos"], r["hot"]) for b in substrings._with_heat(cut(), least) for r in b.to_pylist())
+            assert heat == sorted((d, p, size[k] > least) for k, d, p in want)
+
+
 def brute_groups(rows, n=jaccard.N, t=jaccard.THRESHOLD):
     sets = {i: ({tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()) for i, w in token_lists(rows).items() if i is not None}
     root = {i: i for i in sets}
