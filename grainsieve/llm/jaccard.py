@@ -14,6 +14,11 @@ similar to one already. In the second, all pairs of a bucket are compared whose
 verified pairs of the first have not joined. Large groups are joined in the first, so that they
 stay linear, and no bucket, group or list of partners has a cap.
 
+A bucket of more than ``bucket_rows`` documents is split. In the first round each part has leaders of its own; then
+one document of each group that this leaves in the bucket stands for it, and these are joined in the same way,
+again and again while groups get fewer. In the second round the documents of a bucket's largest group are dealt
+to its parts, each of which has all the others: only those are held by every task of the bucket.
+
 Ids that are null take no part; ids may be of any type, and the smallest of a group is so in their own order.
 Rows that repeat an id count as one document. Null, empty and wordless texts are in no group, texts are
 read whole, however long, and an empty table gives an empty result. Only the id and text columns are
@@ -42,6 +47,7 @@ STEP = 16
 TOLERANCE = 0.001
 SURE = 0.9
 LEAD_ROWS = 1 << 14
+BUCKET_ROWS = 1 << 15
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,10 +132,11 @@ def leader_pairs(sig: np.ndarray, t: float, tolerance: float, sure: float = SURE
         free = free[1:][open_[free[1:]]]
 
 
-def bucket_pairs(sig: np.ndarray, t: float, tolerance: float, group: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def bucket_pairs(sig: np.ndarray, t: float, tolerance: float, group: np.ndarray | None = None, main: np.ndarray | None = None, only_main: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """Documents of a bucket, each with the later ones that are left for it after the pruning.
 
-    With ``group``, a number for each document, only pairs of different groups are compared.
+    With ``group``, a number for each document, only pairs of different groups are compared; with ``only_main``, only
+    those with documents that ``main`` marks.
     """
     steps = limits(t, tolerance)
     if group is None:
@@ -138,13 +145,15 @@ def bucket_pairs(sig: np.ndarray, t: float, tolerance: float, group: np.ndarray
         return
     # the largest group comes last: each document looks only at what lies behind its own group
     _, of, size = np.unique(group, return_inverse=True, return_counts=True)
-    order = np.lexsort((of, size[of]))
+    last = np.zeros(len(sig), bool) if main is None else main
+    order = np.lexsort((of, size[of], last))
     ends = np.append(np.flatnonzero(np.diff(of[order])) + 1, len(order))
+    behind = len(order) - int(last.sum())
     for k, i in enumerate(order):
         end = ends[np.searchsorted(ends, k, "right")]
         if end == len(order):
             return
-        yield i, alike(sig, i, order[end:], steps)[0]
+        yield i, alike(sig, i, order[max(end, behind) if only_main else end :], steps)[0]
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -183,7 +192,12 @@ def propose(batches: Iterator[pa.RecordBatch], t: float, tolerance: float, way:
             continue
         ids = group["id"].to_numpy()
         sig = binary_rows(group["sig"], np.uint16, BANDS * ROWS)
-        found = leader_pairs(sig, t, tolerance) if way == "leaders" else bucket_pairs(sig, t, tolerance, group["root"].to_numpy() if way == "across" else None)
+        if way == "leaders":
+            found = leader_pairs(sig, t, tolerance)
+        elif way == "across":
+            found = bucket_pairs(sig, t, tolerance, group["root"].to_numpy(), group["main"].to_numpy(), group["part"][0].as_py() > 0)
+        else:
+            found = bucket_pairs(sig, t, tolerance)
         for i, others in found:
             if len(others):
                 out_a.append(ids[others])
@@ -300,18 +314,45 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return number.back(out, id="id", lead="lead")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def _parted(rows: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id) with the keys of crowded buckets split by id, and the keys of the crowded ones."""
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).alias("parts"))
+    crowded = written(crowded, "crowded")
+    key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    return rows.join(crowded, "key", "left").select(key.alias("key"), "id"), crowded.select("key")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Every document with a near duplicate: its id and its group, the smallest id of the group."""
     number = Ids(docs, id_col)
     kept = number.rows(docs, F.col(f"`{text_col}`").alias("text"))
     sigs, equal, busy = _sketched(kept, n)
     busy = written(busy, "buckets")
-    some = _verified(kept, busy.join(sigs, "id").select("key", "id", "sig"), n, threshold, tolerance, "leaders").unionByName(equal)
+    with_sig = lambda rows: rows.join(sigs, "id").select("key", "id", "sig")
+    parted, crowded = _parted(busy, bucket_rows)
+    some = _verified(kept, with_sig(parted), n, threshold, tolerance, "leaders").unionByName(equal)
     joined = components(some, "id", "lead")
-    rooted = busy.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    across = _verified(kept, rooted.join(mixed, "key").join(sigs, "id").select("key", "id", "sig", "root"), n, threshold, tolerance, "across")
-    rest = components(joined.select(F.col("node").alias("id"), F.col("root").alias("lead")).unionByName(across.select("id", "lead")), "id", "lead")
+    root = lambda rows: rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    links = lambda: joined.select(F.col("node").alias("id"), F.col("root").alias("lead"))
+    before = None
+    while not crowded.isEmpty():
+        stand = written(root(busy.join(crowded, "key", "left_semi")).groupBy("key", "root").agg(F.min("id").alias("id")).select("key", "id"), "stand")
+        left = stand.count()
+        if left == before:
+            break
+        before = left
+        more = _verified(kept, with_sig(_parted(stand, bucket_rows)[0]), n, threshold, tolerance, "leaders")
+        joined = components(links().unionByName(more.select("id", "lead")), "id", "lead")
+    rooted = written(root(busy), "rooted")
+    # buckets with several groups, their size and their largest group
+    groups = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("g"), F.sum("c").alias("n"), F.max_by("root", F.struct("c", "root")).alias("most"))
+    mixed = groups.where("g > 1").select("key", "most", F.ceil(F.col("n") / bucket_rows).alias("parts"))
+    dealt = rooted.join(mixed, "key").withColumn("main", F.col("root") == F.col("most"))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    dealt = dealt.withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part")))
+    across = _verified(kept, dealt.join(sigs, "id").select("key", "id", "sig", "root", "main", "part"), n, threshold, tolerance, "across")
+    rest = components(links().unionByName(across.select("id", "lead")), "id", "lead")
     roots = rest.select(F.col("root").alias("node"), "root").distinct()
     return number.back(rest.unionByName(roots), node=id_col, root="group_id")
 

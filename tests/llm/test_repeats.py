@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from llm_texts import words
 
-from grainsieve.llm import anchors, jaccard, substrings, suffixes
+from grainsieve.llm import anchors, graph, jaccard, substrings, suffixes
 
 
 def token_lists(rows):
@@ -200,6 +200,20 @@ def test_groups_near_the_threshold(spark, odd):
     assert {r.doc_id: r.group_id for r in jaccard.near_duplicates(odd(rows)).collect()} == root
 
 
+def test_crowded_buckets_are_split(spark, odd):
+    rows = near_threshold() + [(9000 + i, edited(words(1, 100), 0.01, i)) for i in range(120)]
+    whole = {r.doc_id: r.group_id for r in jaccard.near_duplicates(odd(rows)).collect()}
+    assert {r.doc_id: r.group_id for r in jaccard.near_duplicates(odd(rows), bucket_rows=9).collect()} == whole
+    named = odd(rows).selectExpr("concat('doc ', lpad(doc_id, 5, '0')) AS doc_id", "text", "doc_id AS id", "'x' AS value", "'y' AS key")
+    assert {(int(r.doc_id[4:]), int(r.group_id[4:])) for r in jaccard.near_duplicates(named).collect()} == set(whole.items())
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(3000).selectExpr("id * 7919 % 3001 AS x", "(id + 1) * 7919 % 3001 AS y")
+    got = {r.node: r.root for r in graph.components(edges, "x", "y").collect()}
+    assert set(got.values()) == {0} and len(got) == 3000
+
+
 def test_pairs_across_groups():
     rng = np.random.default_rng(0)
     sig = rng.integers(0, 9, 63).astype(np.uint16) * np.ones((40, 1), np.uint16)
@@ -209,3 +223,6 @@ def test_pairs_across_groups():
     every = pairs(jaccard.bucket_pairs(sig, 0.6, 0.001))
     assert every and pairs(jaccard.bucket_pairs(sig, 0.6, 0.001, group)) == {(i, j) for i, j in every if group[i] != group[j]}
     assert not pairs(jaccard.bucket_pairs(sig, 0.6, 0.001, np.zeros(40, int)))
+    main = group == 2
+    want = {(i, j) for i, j in every if group[i] != group[j] and (main[i] or main[j])}
+    assert want and pairs(jaccard.bucket_pairs(sig, 0.6, 0.001, group, main, True)) == want
