@@ -10,7 +10,9 @@ The machines are fitted on at most ``sample`` labelled documents of each languag
 hash of the text; everything is scored on whole texts. Texts without any letter (empty, null, digits
 only) have family and language ``und`` and margin 0, as all have where fewer than one language is
 labelled. Rows are scored one by one; repeated rows get equal results. A language that isn't
-in the map of families is a family of its own.
+in the map of families is a family of its own. Ids may be of any type and null. Null languages aren't learnt
+from. An empty table gives an empty result. Columns other than id and text (and language, to learn), whatever their names,
+aren't read.
 """
 
 from __future__ import annotations

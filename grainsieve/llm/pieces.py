@@ -12,7 +12,9 @@ each prefix has exactly one such last token (van Antwerpen and Neubeck, 2024), s
 over admissible predecessors. Pieces that merging never yields are left out. Characters without
 a piece become bytes, or the unknown piece where the model has no bytes.
 
-Empty texts and nulls have no tokens; a null decodes to null. Each row counts by itself.
+Empty texts and nulls have no tokens; a null decodes to null. Each row counts by itself, also where
+ids are null or repeated; ids may be of any type. Long texts are read whole. An empty table gives an empty
+result. Other columns, whatever their names, aren't read.
 U+2581 in a text is read as a space, as in the original library. Only models with the identity
 normaliser are taken; others raise ValueError.
 """

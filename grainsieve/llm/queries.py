@@ -1,4 +1,8 @@
-"""Queries and SQL of the operators of this subpackage, over the tables of a folder."""
+"""Queries and SQL of the operators of this subpackage, over the whole tables of a folder.
+
+What nulls, empty and long texts, ties, repeated rows, empty tables and further columns give is stated in the module of
+each operator.
+"""
 
 from __future__ import annotations
 
@@ -15,41 +19,50 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that another document has too, as word positions."""
     return substrings.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without what other pages of its host repeat."""
     return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with near duplicates and their groups."""
     return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with whether they decode to its text."""
     return pieces.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with toxic spans, after a model of the labelled ones."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxic_documents(docs, labels)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family and language of every document, after machines fitted on a sample of each language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return langid.identify(docs, langid.train(docs))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they contain."""
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminated(docs, items)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced and what gives it away generalised or removed."""
     return pii.sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that another document has too, as word positions."""
     return suffixes.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

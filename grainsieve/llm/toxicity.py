@@ -10,7 +10,10 @@ marginal reaches the threshold, as character offsets into the text.
 
 Nulls and empty texts have no words, hence score 0 and no span. Texts of any length are
 read whole. Rows are scored one by one, so repeated rows give repeated results. Without a
-toxic or a clean labelled document no model can be fitted: scores are then all 0.
+toxic or a clean labelled document no model can be fitted: scores are then all 0. A label counts where it is 0 or 1
+and has an id; an id labelled both ways is toxic; of documents that repeat a labelled id the smallest text
+is learnt from. Ids may be of any type, null ids are scored like others. An empty table gives an empty
+result. ``keep_clean`` returns all columns as they are, whatever their names; the other functions read id and text only.
 """
 
 from __future__ import annotations
@@ -209,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     key = F.xxhash64("_id")
     pick = pick.where("_y = 0").orderBy(key, "_id").limit(sample).unionByName(pick.where("_y = 1").orderBy(key, "_id").limit(sample))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(pick), "_id")  # bounded by sample
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
     got = rows.toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
     return fit(got["_text"].to_pylist(), got["_y"].to_pylist())
 

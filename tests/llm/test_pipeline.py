@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from llm_texts import words
 
 import corpus_pipeline
@@ -45,6 +46,24 @@ def test_stages_keep_what_is_clean(spark, tables):
     assert [tuple(r)[:3] for r in corpus_pipeline.run(spark, d).orderBy("doc_id").collect()] == [tuple(r)[:3] for r in kept[5].orderBy("doc_id").collect()]
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.PATH), reason="no tokenizer files")
+def test_stages_on_odd_rows(spark, tables, odd):
+    """Nulls in any column, very long texts, repeated rows, further columns of clashing names, and ids of any type."""
+    d, _ = tables
+    docs = odd().withColumn("_id", F.lit("a")).withColumn("_text", F.lit("b")).withColumn("group_id", F.lit(1)).withColumn("pii_terms", F.lit("c"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        if k < 4:
+            assert out.dtypes == docs.dtypes
+        docs = out
+    # 4 is 3's copy, 6 is 5's twice over, 10 is like 9; 1 and the null id have texts that stay
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == sorted([1, 2, 3, 5, 7, 8, 9, None], key=str)
+    named = odd([(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, None), (7, "same text here"), (7, "same text here"), (7, "another text there")]).withColumn("doc_id", F.expr("concat('n', doc_id)"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, named, d)
+    assert sorted((r.doc_id, r.text) for r in kept.where("text is not null").collect()) == [("n1", "alpha beta gamma"), ("n7", "another text there"), ("n7", "same text here")]
+    assert kept.where("text is null").count() == 1
+
+
 def test_empty_documents(spark, tables):
     d, _ = tables
     docs = spark.read.parquet(f"{d}/documents.parquet").where("false")

@@ -145,6 +145,80 @@ def test_marginals_match_enumeration():
     assert np.allclose(pair, [[sum(w * sum(y[k - 1] == a and y[k] == b for k in range(1, 5)) for y, w in weight.items()) / z for b in (0, 1)] for a in (0, 1)])
 
 
+def test_spans_match_enumeration():
+    """Scores and spans of texts against the sum over all labellings of each sentence."""
+    import re
+
+    rng = np.random.default_rng(3)
+    model = toxicity.Crf(rng.normal(size=1 << toxicity.BITS) * 1.5, -0.5, rng.normal(size=(2, 2)))
+    texts = ["Héllo wörld, one two. Three four five six seven! eight\nnine ten 日本 x", None, "", "...", "a b c d e f g h", "Ünder_score don't"]
+    score, spans = toxicity.tag(pa.array(texts, pa.string()), model, 0.6)
+    for text, got, own in zip(texts, score, spans):
+        found, best = [], 0.0
+        low = (text or "").lower()
+        words_of = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9\x80-\U0010ffff]+", low)]
+        chains = []
+        for k, (a, b) in enumerate(words_of):
+            if k and not re.search(r"[.!?\n]", low[words_of[k - 1][1] : a]):
+                chains[-1].append((a, b))
+            else:
+                chains.append([(a, b)])
+        for chain in chains:
+            s = []
+            for a, b in chain:
+                (block,) = toxicity.blocks(pa.array([low[a:b]]))
+                s.append(sum(model.weight[int(f)] for f in toxicity.features(block)[:, 0]) + model.bias)
+            weight = {y: np.exp(sum(v * x for v, x in zip(s, y)) + sum(model.trans[i, j] for i, j in zip(y[:-1], y[1:]))) for y in itertools.product((0, 1), repeat=len(s))}
+            p = [sum(w for y, w in weight.items() if y[k]) / sum(weight.values()) for k in range(len(s))]
+            best = max([best, *p])
+            found += [(a, b, x >= 0.6, k == 0) for k, ((a, b), x) in enumerate(zip(chain, p))]
+        want = []
+        for k, (a, b, bad, _) in enumerate(found):
+            if bad and k and found[k - 1][2]:
+                want[-1][1] = b
+            elif bad:
+                want.append([a, b])
+        assert abs(got - best) < 1e-9 and [[x["start"], x["end"]] for x in own] == want
+
+
+def test_languages_match_brute_force():
+    """Families, languages and margins by adding up the weights of each run of bytes."""
+    rng = np.random.default_rng(5)
+    texts = {"en": "the house and the garden are green %d", "de": "das Haus und der Garten sind grün %d", "fr": "la maison et le jardin sont verts %d", "es": "la casa y el jardín son verdes %d", "xx": "zz qq ww zz %d"}
+    rows = [(t % k + " " + t, lang) for k in range(12) for lang, t in texts.items()]
+    m = langid.fit([t for t, _ in rows], [lang for _, lang in rows])
+    asked = [" ".join(rng.permutation(t.split())) for t, _ in rows[:25]] + [None, "", "12 34!", "ü", "la"]
+    families, languages, margins = langid.predict(pa.array(asked, pa.string()), m)
+
+    def slot(c, n):
+        x = c[0] * 257 + c[1]
+        x = x if n == 2 else x * 263 + c[2]
+        x = x * 2654435761 % 2**32
+        return (x if n == 2 else (x + 77) % 2**32 * 2654435761 % 2**32) >> (32 - langid.BITS)
+
+    for text, family, language, margin in zip(asked, families, languages, margins):
+        c = [b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").lower().encode()]
+        if all(b == 32 for b in c):
+            assert (family, language, margin) == ("und", "und", 0.0)
+            continue
+        score = {}
+        for k, side in enumerate(m.sides):
+            runs = [slot(c[i : i + n], n) for n in (2, 3) for i in range(len(c) - n + 1)]
+            score[side] = float(sum(m.weight[r, k] for r in runs)) * 20 / max(1, 2 * len(c) - 3) + m.bias[k]
+
+        def choose(names):
+            if len(names) == 1:
+                return names[0], np.inf
+            side = lambda a, b: score[a, b] if (a, b) in score else -score[b, a]  # noqa: E731, B023
+            rank = [(sum(side(o, a) > 0 if (o, a) in score else side(o, a) >= 0 for o in names if o != a), sum(side(o, a) for o in names if o != a)) for a in names]  # noqa: B023
+            a = names[max(range(len(names)), key=rank.__getitem__)]
+            return a, min(side(o, a) for o in names if o != a)
+
+        f, sure = choose(sorted(m.members))
+        lang, inner = choose(m.members[f])
+        assert (family, language) == (f, lang) and abs(margin - min(sure, inner)) < 1e-3
+
+
 def labelled(spark, odd, n=300):
     bad = ["vilething", "hatefoo", "curseword"]
     rng = np.random.default_rng(4)
