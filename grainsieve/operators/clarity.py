@@ -12,7 +12,8 @@ from grainsieve.operators.domain import Context
 
 MOST_WORDS = 40
 _START = r"(?m)(?:^|[.!?]\s+)" + T.any_of("Those", "These", "They", "Them", "Their", "That", "This", "It") + r"\s"
-_MID = r"(?i)[^.!?]*\b(their|them|they)\b[^.!?]*[.!?]"
+_THEY = r"(?i)\b(?:their|them|they)\b"
+_LAST_THEY = r"(?is)^.*\b(their|them|they)\b"
 VAGUE = r"(?i)\bthe " + T.any_of("tool", "team", "system", "service", "platform", "group", "department", "application") + r"\b"
 REFERENCE = r"(?i)" + T.any_of(
     "the above", "see previous", f"refer(?:red)? to {T.any_of('the previous', 'earlier', 'above')}", "mentioned earlier", f"as {T.any_of('noted', 'mentioned', 'described', 'above')}")
@@ -31,7 +32,9 @@ def pronouns(c: str, heading: str, ctx: Context) -> str:
     bare = f"trim({T.replace('m.match', '^[.!?]?' + chr(92) + 's*', '')})"
     proposed = f"IF({sure}, {who}, '')"
     start = f"transform({T.matches(c, _START)}, m -> {_struct('pronoun', bare, T.evidence('m'), proposed, sure)})"
-    mid = f"transform(arrays_zip(regexp_extract_all({c}, {T.quote(_MID)}, 0), regexp_extract_all({c}, {T.quote(_MID)}, 1)), z -> {_struct('pronoun', 'lower(z[' + chr(39) + '1' + chr(39) + '])', 'left(trim(z[' + chr(39) + '0' + chr(39) + ']), 100)', proposed, sure)})"
+    # sentences with their ends, each looked at once: a pattern over a whole sentence would begin anew at each of its characters
+    ended = f"filter(split({c}, '(?<=[.!?])'), s -> s rlike {T.quote(_THEY)} AND right(s, 1) IN ('.', '!', '?'))"
+    mid = f"IF({c} rlike {T.quote(_THEY)}, transform({ended}, s -> {_struct('pronoun', f'lower(regexp_extract(s, {T.quote(_LAST_THEY)}, 1))', 'left(trim(s), 100)', proposed, sure)}), CAST(array() AS array<{_FINDING}>))"
     return T.first_of_each(f"concat({start}, {mid})", "lower(x.term)")
 
 

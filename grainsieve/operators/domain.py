@@ -102,8 +102,8 @@ def acronyms(chunks: DataFrame, *, content_col: str = "content", keys: tuple[str
     seen = _found(chunks, [(r"(?U)\b([A-Z]{2,5})\b(?!-\d)", 1)], content_col, keys).where(~F.col("found").isin(EVERYDAY_ACRONYMS + NOT_ACRONYMS))
     seen = seen.groupBy(F.col("found").alias("acronym")).agg(F.count("*").alias("n"))
     name_first, acronym_first = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*\(([A-Z]{2,6})\)", r"([A-Z]{2,6})\s*\(([A-Z][a-z]+(?:\s+[a-zA-Z]+)*)\)"
-    both = ", ".join(f"transform(arrays_zip(regexp_extract_all({content_col}, {T.quote(p)}, {a}), regexp_extract_all({content_col}, {T.quote(p)}, {e})), (x, i) -> struct(x['0'] AS acronym, x['1'] AS expansion, i AS pos))" for p, a, e in ((name_first, 2, 1), (acronym_first, 1, 2)))
-    told = structs(chunks, keys, f"concat({both})", "pos").groupBy("acronym").agg(F.max_by("expansion", F.struct(*keys, "pos")).alias("told"))
+    both = ", ".join(f"transform(arrays_zip(regexp_extract_all({content_col}, {T.quote(p)}, {a}), regexp_extract_all({content_col}, {T.quote(p)}, {e})), (x, i) -> struct(x['0'] AS acronym, x['1'] AS expansion, {k} AS which, i AS pos))" for k, (p, a, e) in enumerate(((name_first, 2, 1), (acronym_first, 1, 2))))
+    told = structs(chunks, keys, f"concat({both})", "pos").groupBy("acronym").agg(F.max_by("expansion", F.struct(*keys, "which", "pos")).alias("told"))
     known = F.create_map(*[F.lit(x) for kv in EXPANSIONS.items() for x in kv])
     out = seen.join(told, "acronym", "left").withColumn("expansion", F.coalesce("told", F.try_element_at(known, F.col("acronym"))))
     return out.where("expansion is not null or n >= 3").select("acronym", "n", "expansion")

@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, each with the DuckDB SQL of the same rows where SQL can say it.
 
-All of them run over whole tables and whole texts; ``eval_cosine`` alone asks only what its SQL asks, the
-first vector of each label, and ``eval_cosine_all`` asks every vector.
+All of them run over whole tables and whole texts; the search ``eval_cosine`` asks for every row whose id is divisible
+by 50, of all rows.
 """
 
 from __future__ import annotations
@@ -95,13 +95,52 @@ def gov_escalation_and_references(spark: SparkSession, sf_dir: str) -> DataFrame
     return governance.findings(kb(spark, sf_dir), [_ESCALATION, _BROKEN]).select("doc_id", "detector", "evidence")
 
 
-@query()
+def _once_sql(f: str) -> str:
+    return f"SELECT * FROM ({f}) QUALIFY row_number() OVER (PARTITION BY doc_id, detector, lower(left(evidence, 80)) ORDER BY ord) = 1"
+
+
+def _told(detector: str, tag: str, pattern: str, where: str, said: str | None = None) -> str:
+    return f"SELECT doc_id, '{detector}' AS detector, '{tag}' AS tag, ord, {said or D.evidence()} AS evidence, m FROM {D.matches('kb', 'doc_id', 'content', pattern)} WHERE {where}"
+
+
+_NEAR_BANK, _NEAR_TICKET, _NEAR_PUBLIC = (f"regexp_matches({_AROUND}, '{x}')" for x in ("account|routing|bank|swift|iban|reference|invoice|transaction", "case|ticket|jira|issue", "support|helpdesk|call us|reach us|contact us"))
+_PERSON = next(d for d in governance.detectors() if d.name == "pii_name")
+_NO_PERSON = D.items("account appropriate billing card finance issuer management manager on our relevant sales support team the their your".split())
+#: What every detector finds: doc_id, detector, tag, ord, evidence, m, and the detector's place.
+_ALL_FOUND = " UNION ALL ".join([
+    _FINDINGS, _once_sql(" UNION ALL ".join(_detector_sql(d) for d in _ONCE)),
+    _told("pii_email", "pii", _MAIL.pattern, f"lower(split_part(m, '@', 1)) NOT IN ({', '.join(D.q(x) for x in governance.FUNCTIONAL_MAILBOXES)})", "m"),
+    _told("pii_phone", "pii", governance._PHONE, f"NOT {_NEAR_PUBLIC} AND NOT {_NEAR_BANK} AND NOT {_NEAR_TICKET}"), _told("pii_financial", "pii", governance._PHONE, f"NOT {_NEAR_PUBLIC} AND {_NEAR_BANK}"),
+    _told("pii_name", "pii", _PERSON.pattern, f"NOT list_has_any(string_split(lower(regexp_extract(m, '{governance._NAME}$')), ' '), {_NO_PERSON})"),
+    _told("escalation_no_details", "escalation", _ESCALATION.pattern, "NOT (regexp_matches(m, '(?i)^contact') AND regexp_matches(after, '^ (?:via|by|at)')) AND NOT regexp_matches(left(after, 100), '(?i)@|#[a-z0-9_]|slack|phone|ext[.]|email')"),
+    _told("broken_reference", "broken_reference", _BROKEN.pattern, "NOT regexp_matches(m, '(?i)^refer to (?:Table|Figure)')"),
+])
+
+
+@query(f"{D.WITH_KB} SELECT detector, tag, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM ({_ALL_FOUND}) GROUP BY detector, tag")
 def gov_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and documents of every detector."""
     return governance.counts(governance.findings(kb(spark, sf_dir)))
 
 
-@query()
+_PLACES = "CASE detector " + " ".join(f"WHEN '{d.name}' THEN {k}" for k, d in reversed([(k, d) for k, d in enumerate(governance.detectors())])) + " END"
+_PRIORITY = "CASE tag " + " ".join(f"WHEN '{t}' THEN {p}" for t, _, p, _ in governance.TAGS) + " ELSE 99 END"
+_CUT_SENTENCES = f"""array_to_string(list_filter({D.sentences('content')}, lambda s: len(list_filter(k, lambda e: e <> '' AND (contains(lower(s), e) OR contains(e, left(lower(s), 50))))) = 0), ' ')"""
+_CUT_INLINE = "c0"
+for _names, _pattern in governance.INLINE:
+    _CUT_INLINE = f"CASE WHEN list_has_any(named, {D.items(_names.split())}) THEN {D.sub(_CUT_INLINE, _pattern, '')} ELSE {_CUT_INLINE} END"
+
+
+@query(f"""{D.WITH_KB}, f AS (SELECT *, {_PRIORITY} AS prio, {_PLACES} AS place FROM ({_ALL_FOUND})),
+b AS (SELECT doc_id, list_distinct(flatten(list([lower(left(evidence, 50)), lower(left(m, 60))]))) AS k, list(detector) AS named, bool_or(tag = 'internal_only' AND regexp_matches(upper(evidence), 'NOT FOR PUBLICATION|INTERNAL NOTE|FOR INTERNAL USE ONLY|DO NOT SHARE|CONFIDENTIAL')) AS wiped
+      FROM f WHERE prio <= {governance.BLOCK_PRIORITY} GROUP BY doc_id),
+r AS (SELECT doc_id, arg_min(tag, prio::BIGINT * 1000000000000 + place::BIGINT * 1000000000 + ord) AS tag FROM f WHERE prio > {governance.BLOCK_PRIORITY} AND doc_id NOT IN (SELECT doc_id FROM b) GROUP BY doc_id),
+c AS (SELECT doc_id, content, named, wiped, k IS NOT NULL AS blocked, CASE WHEN k IS NOT NULL THEN {_CUT_SENTENCES} END AS c0 FROM kb LEFT JOIN b USING (doc_id)),
+d AS (SELECT doc_id, content, blocked, CASE WHEN NOT blocked THEN content WHEN wiped THEN '' ELSE {_CUT_INLINE} END AS new FROM c),
+e AS (SELECT doc_id, content, blocked, CASE WHEN blocked THEN {D.sub('trim(' + D.sub('new', T.SPACE + '{2,}', ' ') + ')', chr(92) + '.' + chr(92) + 's*' + chr(92) + '.', '.')} ELSE new END AS new FROM d),
+g AS (SELECT doc_id, content, new, blocked AND {D.squeeze('new')} <> {D.squeeze('content')} AS changed FROM e),
+h AS (SELECT doc_id, changed, {D.word_count('content')}::INTEGER AS words_before, CASE WHEN NOT changed THEN content WHEN {D.word_count('new')} < {governance.LEAST_WORDS} THEN '' ELSE new END AS content FROM g)
+SELECT doc_id, content, CASE WHEN changed THEN 'content' ELSE coalesce(r.tag, 'content') END AS tag, changed, words_before, {D.word_count('content')}::INTEGER AS words FROM h LEFT JOIN r USING (doc_id)""")
 def gov_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after governance: words before and after, tag, whether it changed."""
     return governance.clean(governance.with_findings(kb(spark, sf_dir))).select("doc_id", "content", "tag", "changed", "words_before", "words")
@@ -186,16 +225,27 @@ def domain_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.actors(kb(spark, sf_dir)).select("actor", "n")
 
 
-@query(f"""{D.WITH_KB}, t AS (SELECT unnest(list_filter(string_split_regex(regexp_replace(content, '([A-Z]{{2,5}})-([0-9])', 'x', 'g'), {D.q(T.NOT_WORD)}), lambda x: regexp_full_match(x, '[A-Z]{{2,5}}'))) AS acronym FROM kb),
+_ACRONYMS = f"""{D.WITH_KB}, t AS (SELECT unnest(list_filter(string_split_regex(regexp_replace(content, '([A-Z]{{2,5}})-([0-9])', 'x', 'g'), {D.q(T.NOT_WORD)}), lambda x: regexp_full_match(x, '[A-Z]{{2,5}}'))) AS acronym FROM kb),
 n AS (SELECT acronym, count(*) AS n FROM t WHERE acronym NOT IN ({', '.join(map(D.q, EVERYDAY_ACRONYMS + NOT_ACRONYMS))}) GROUP BY acronym)
-SELECT acronym, n FROM n""")
+"""
+
+
+@query(f"{_ACRONYMS} SELECT acronym, n FROM n")
 def domain_acronym_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often acronyms are used."""
     found = domain._found(kb(spark, sf_dir), [(r"(?U)\b([A-Z]{2,5})\b(?!-\d)", 1)], "content", ("doc_id",))
     return found.where(~F.col("found").isin(EVERYDAY_ACRONYMS + NOT_ACRONYMS)).groupBy(F.col("found").alias("acronym")).agg(F.count("*").alias("n"))
 
 
-@query()
+_NAME_FIRST, _ACRONYM_FIRST = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*\(([A-Z]{2,6})\)", r"([A-Z]{2,6})\s*\(([A-Z][a-z]+(?:\s+[a-zA-Z]+)*)\)"
+_SAID = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS which, unnest(range(len(a))) AS pos, unnest(a) AS acronym, unnest(e) AS expansion FROM (SELECT doc_id, regexp_extract_all(content, {D.q(p)}, {a}) AS a, regexp_extract_all(content, {D.q(p)}, {e}) AS e FROM kb)"
+    for k, (p, a, e) in enumerate(((_NAME_FIRST, 2, 1), (_ACRONYM_FIRST, 1, 2))))
+_KNOWN = ", ".join(f"({D.q(k)}, {D.q(v)})" for k, v in EXPANSIONS.items())
+
+
+@query(f"""{_ACRONYMS}, said AS ({_SAID}), told AS (SELECT acronym, arg_max(expansion, doc_id * 10000000000 + which::BIGINT * 1000000000 + pos) AS told FROM said GROUP BY acronym), known(acronym, usual) AS (VALUES {_KNOWN})
+SELECT acronym, n, coalesce(told, usual) AS expansion FROM n LEFT JOIN told USING (acronym) LEFT JOIN known USING (acronym) WHERE coalesce(told, usual) IS NOT NULL OR n >= 3""")
 def domain_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acronyms and what they stand for."""
     return domain.acronyms(kb(spark, sf_dir))
@@ -360,12 +410,17 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.prepared(temporal.enrich(_chunks(spark, sf_dir), TODAY), _CTX.actors, _CTX.scopes)
 
 
-@query(f"""{D.WITH_KB}, f AS (SELECT doc_id, m, {D.parts('lower(right(before, 40))', T.SPACE + '+')} AS w FROM {D.matches('kb', 'doc_id', 'content', consistency._NUMBER.replace('(?iU)', '(?i)'))})
-SELECT doc_id AS chunk, regexp_extract(m, '^[0-9.]+') AS number, lower(trim(regexp_extract(m, '[^0-9. ].*$'))) AS unit, array_to_string(w[-5:], ' ') AS context FROM f""")
+_FACTS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, ord, m, {D.parts('lower(right(before, 40))', T.SPACE + '+')} AS w FROM {D.matches('kb', 'doc_id', 'content', p.replace('(?iU)', '(?i)'))}" for k, p in enumerate((consistency._NUMBER, consistency._PRICE)))
+_FACTS = f"""SELECT doc_id AS chunk, kind, ord, regexp_extract(m, '[0-9]+([.][0-9]+)?') AS number,
+  CASE WHEN kind = 0 THEN lower(trim(regexp_extract(m, '[^0-9. ].*$'))) ELSE '$' || replace(lower(regexp_extract(m, '(?i)/ *[a-z]+$')), ' ', '') END AS unit, w[-5:] AS context FROM ({_FACTS})"""
+
+
+@query(f"{D.WITH_KB} SELECT chunk, number, unit, array_to_string(context, ' ') AS context FROM ({_FACTS})")
 def consistency_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers with a unit and the words before them."""
-    rows = _chunks(spark, sf_dir).select("chunk", F.explode(F.expr(consistency.facts("content"))).alias("f")).where("f.ord < 100000")
-    return rows.select("chunk", "f.number", "f.unit", F.array_join("f.context", " ").alias("context"))
+    """Numbers with a unit, and prices, and the words before them."""
+    rows = structs(_chunks(spark, sf_dir), ("chunk",), consistency.facts("content"), "ord")
+    return rows.select("chunk", "number", "unit", F.array_join("context", " ").alias("context"))
 
 
 @query()
@@ -388,24 +443,15 @@ def eval_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.bm25(asked, _chunks(spark, sf_dir))
 
 
-@query("""WITH q AS (SELECT label AS question_id, min_by(embedding, vec_id) AS q FROM embeddings GROUP BY label),
-s AS (SELECT question_id, vec_id AS chunk, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings)
+@query("""WITH s AS (SELECT q.vec_id AS question_id, e.vec_id AS chunk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
 SELECT question_id, chunk, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
 def eval_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors to the first of each label, by exact cosine."""
+    """The three nearest of all vectors to every vector whose id is divisible by 50, itself among them, by exact cosine."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    asked = e.groupBy(F.col("label").alias("question_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
     return evaluation.cosine(asked, e.select(F.col("vec_id").alias("chunk"), "embedding"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS question_id, e.vec_id AS chunk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e)
-SELECT question_id, chunk, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
-def eval_cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors to every vector, itself among them, by exact cosine."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return evaluation.cosine(e.select(F.col("vec_id").alias("question_id"), "embedding"), e.select(F.col("vec_id").alias("chunk"), "embedding"))
-
-
 _OVERLAP = f"""{D.WITH_KB}, j AS (SELECT l.item_id, l.text AS expected_answer, k.doc_id, list_distinct({D.words('l.text', 2)}) AS e, {D.words('k.content', 2)} AS r FROM benchmark l JOIN kb k ON k.doc_id = l.item_id),
 s AS (SELECT item_id, doc_id, CASE WHEN len(e) = 0 THEN 1.0 ELSE len(list_filter(e, lambda x: list_contains(r, x)))::DOUBLE / len(e) END AS sim FROM j),
 v AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'answer' WHEN 1 THEN 'answer_safe' ELSE 'caveat' END AS behavior, CASE WHEN sim >= 0.8 THEN 'correct' WHEN sim >= 0.6 THEN 'partial' ELSE 'incorrect' END AS after, CASE WHEN item_id % 2 = 0 THEN 'incorrect' ELSE 'correct' END AS before FROM s),
