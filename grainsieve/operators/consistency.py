@@ -13,6 +13,7 @@ from grainsieve.functions import text as T
 from grainsieve.functions.rows import elements
 from grainsieve.functions.vocabulary import COMMON_CONTENT, COMMON_HEADING, GENERIC_CONTEXT
 
+CONFIDENCE = "CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END"
 GROUP = (2, 20)
 REACH = 5
 TOP = 5
@@ -137,7 +138,7 @@ def scored(found: DataFrame, chunks: DataFrame, *, key: str = "chunk", priority_
     out = out.withColumn("_head", F.expr("IF(_fresh <> '' OR _auth <> '', '', CASE WHEN x.hw > y.hw + 1 THEN 'a' WHEN y.hw > x.hw + 1 THEN 'b' ELSE '' END)"))
     out = out.withColumn("winner", F.expr("CASE WHEN _fresh <> '' THEN _fresh WHEN _auth <> '' THEN _auth ELSE _head END"))
     out = out.withColumn("score", F.expr("round(IF(_fresh <> '', 0.3D, 0D) + CASE WHEN _ov >= 3 THEN 0.2D WHEN _ov = 2 THEN 0.1D ELSE 0D END + IF(_auth <> '', 0.2D, 0D) + IF(_head <> '', 0.1D, 0D), 6)"))
-    out = out.withColumn("confidence", F.expr("CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END"))
+    out = out.withColumn("confidence", F.expr(CONFIDENCE))
     out = out.withColumn("reason", F.expr("CASE WHEN _fresh <> '' THEN 'newer' WHEN _auth <> '' THEN 'priority author' WHEN _head <> '' THEN 'more specific heading' ELSE '' END"))
     return out.drop("x", "y", "_fresh", "_ov", "_auth", "_head")
 

@@ -173,6 +173,15 @@ def destructive_in_domain(chunks: DataFrame, phrases: DataFrame, *, id_cols: tup
     return told.select(*id_cols, F.lit("destructive_domain").alias("detector"), F.lit("destructive").alias("tag"), F.expr(T.evidence("m")).alias("evidence"), "phrase")
 
 
+def with_more(chunks: DataFrame, found: DataFrame, *, key: str = "chunk") -> DataFrame:
+    """``chunks`` with the findings of ``destructive_in_domain`` behind their own, so that they tag a chunk as those do."""
+    reason = F.concat(F.lit('Destructive action: "'), F.col("phrase"), F.lit('"'))
+    row = F.struct("detector", "tag", "evidence", F.col("phrase").alias("matched"), reason.alias("reason"), F.lit(1 << 41).cast("long").alias("ord"))
+    more = found.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_more"))
+    out = chunks.join(more, key, "left").withColumn("findings", F.expr("IF(_more IS NULL, findings, concat(findings, _more))"))
+    return out.select(*chunks.columns)
+
+
 def tag_table(spark) -> DataFrame:
     return spark.createDataFrame(list(TAGS), "tag string, behavior string, priority int, caveat string")
 

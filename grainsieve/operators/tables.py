@@ -96,15 +96,38 @@ def procedures(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html
     return one.withColumn("words_added", F.expr(f"greatest(0, {T.word_count('concat(' + T.quote('[Summary] ') + ', summary, ' + T.quote('. [Content] ') + ', content)')} - {T.word_count(T.cell('original'))})"))
 
 
-def normalized(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+def extracted(parts: dict[str, DataFrame], *, id_col: str = "doc_no") -> DataFrame:
+    """One row for each table, figure and procedure: kind, ord, heading, summary, words_added, and is_gap for figures without a description."""
+    gap = {"figure": F.col("is_gap")}
+    place = {"table": "table_no", "figure": "ord", "procedure": "list_no"}
+    rows = [
+        df.select(id_col, F.lit(k).alias("kind"), F.col(place[k]).alias("ord"), "heading", "summary", (F.col("words_added") if "words_added" in df.columns else F.expr(f"greatest(0, {T.word_count('content')} - {T.word_count(T.cell('original'))})")).alias("words_added"), gap.get(k, F.lit(False)).alias("is_gap"))
+        for k, df in parts.items()
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def with_images(figures: DataFrame, images: DataFrame) -> DataFrame:
+    """Figures with the path and content of the image of their number, null where there's none; of several images the first by path."""
+    one = images.groupBy("figure_no").agg(F.min(F.struct("path", "content")).alias("i")).select("figure_no", F.col("i.path").alias("image_path"), F.col("i.content").alias("image"))
+    return figures.join(one, "figure_no", "left")
+
+
+def normalized(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html", parts: dict[str, DataFrame] | None = None) -> DataFrame:
     """``docs`` with tables, figures and procedures rewritten as paragraphs, one a table row; other rows are untouched.
 
+    ``parts`` are the tables, figures and procedures of the documents if they are known already.
+
     Extractions are gathered by document and put in by place in one pass, never as patterns.
     """
-    t = tables(docs, id_col=id_col, html_col=html_col).select(id_col, F.expr(
+    parts = parts or {"table": tables(docs, id_col=id_col, html_col=html_col), "figure": figures(docs, id_col=id_col, html_col=html_col), "procedure": procedures(docs, id_col=id_col, html_col=html_col)}
+    t = parts["table"].select(id_col, F.expr(
         "struct('t' AS kind, table_no AS ord, '<p>' || summary || '.</p>' || array_join(transform(row_texts, r -> '<p>' || r || '</p>'), '') AS new)").alias("x"))
-    f = figures(docs, id_col=id_col, html_col=html_col).select(id_col, F.expr("struct('f' AS kind, ord AS ord, '<p>' || summary || '. ' || content || '</p>' AS new)").alias("x"))
-    p = procedures(docs, id_col=id_col, html_col=html_col).select(id_col, F.expr("struct('p' AS kind, list_no AS ord, '<p>' || summary || '. ' || content || '</p>' AS new)").alias("x"))
+    f = parts["figure"].select(id_col, F.expr("struct('f' AS kind, ord AS ord, '<p>' || summary || '. ' || content || '</p>' AS new)").alias("x"))
+    p = parts["procedure"].select(id_col, F.expr("struct('p' AS kind, list_no AS ord, '<p>' || summary || '. ' || content || '</p>' AS new)").alias("x"))
     got = t.unionByName(f).unionByName(p).groupBy(id_col).agg(F.collect_list("x").alias("_x"))
     out = docs.join(got, id_col, "left")
     for kind, pattern in (("t", TABLE), ("f", FIGURE), ("p", LIST)):

@@ -8,22 +8,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
-from grainsieve.operators import chunking, clarity, consistency, domain, evaluation, governance, structure, tables, temporal
+from grainsieve.functions.rows import structs
+from grainsieve.operators import chunking, clarity, consistency, domain, evaluation, governance, models, structure, tables, temporal
 from grainsieve.operators.domain import Context
-from grainsieve.sources.files import from_any
+from grainsieve.sources.files import embed, from_any
 
-CONFIDENCE = {"low": 0.3, "medium": 0.5, "high": 0.8}
+#: Chunks of which a model sees something to infer the context.
+PREVIEW = 200
 
 
 @dataclass
 class Config:
-    """What a run can be told. ``today`` is an ISO date; ``phases`` any of 1 (intake), 2 (dates) and 3 (detection and repair)."""
+    """What a run can be told. ``today`` is an ISO date; ``phases`` any of 1 (intake), 2 (dates) and 3 (detection and repair).
+
+    ``model`` (text to text) and ``embedder`` (texts to vectors) run on the executors and must be picklable. With a model,
+    headings, summaries of tables, figures and procedures, clarity, governance and contradictions go by it; ``domain_mode``
+    says whether the context is by ``rules``, by both (``hybrid``) or by the ``model``. ``judge`` is ``similarity``, ``model`` or
+    ``similarity_then_model``. ``detection_confidence`` is accepted and has no effect.
+    """
 
     least_words: int = chunking.MIN_WORDS
     most_words: int = chunking.MAX_WORDS
@@ -46,10 +55,10 @@ class Config:
     total_questions: int = 0
     today: str = "2026-01-01"
     phases: tuple[int, ...] = (1, 2, 3)
-
-    @property
-    def threshold(self) -> float:
-        return CONFIDENCE.get(self.detection_confidence, 0.5)
+    model: Callable[[str], str] | None = None
+    embedder: Callable[[list[str]], list[list[float]]] | None = None
+    domain_mode: str = "rules"
+    judge: str = "similarity"
 
 
 @dataclass
@@ -64,6 +73,8 @@ class Result:
 def _folder(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _folder.own = getattr(_folder, "own", None) or tempfile.mkdtemp(prefix="grainsieve-")
         path = f"file://{_folder.own}"
     return path.rstrip("/")
@@ -99,6 +110,8 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
     raw = kept(chunking.raw_chunks(docs, id_col="doc_no", least=c.least_words, most=c.most_words), "raw")
     one = docs.limit(2).collect()
     ctx = domain.infer(raw, title=one[0].title if len(one) == 1 else "", keys=("doc_no", "chunk_no"))
+    if c.model and c.domain_mode in ("hybrid", "model"):
+        ctx = models.inferred(ctx, [r.part for r in domain.sampled(raw, order=("doc_no", "chunk_no")).orderBy("doc_no", "chunk_no").limit(PREVIEW).collect()], c.model, only=c.domain_mode == "model")
     ctx = domain.overridden(ctx, domain_type=c.domain_type, company_name=c.company_name, actors=c.extra_actors, acronyms=c.extra_acronyms, products=c.extra_products, destructive=c.extra_destructive)
     ctx.scopes |= c.scope_filters
     ctx.acronyms = {k: v for k, v in ctx.acronyms.items() if v}
@@ -108,8 +121,16 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
     def count(module: str, df: DataFrame, detected, resolved) -> None:
         stats.append(df.agg(F.lit(module).alias("module_id"), F.coalesce(detected, F.lit(0)).cast("long").alias("detected"), F.coalesce(resolved, F.lit(0)).cast("long").alias("resolved")))
 
-    html = tables.normalized(docs.select("doc_no", F.col("text").alias("html")), id_col="doc_no")
-    named = kept(structure.named_sections(html, id_col="doc_no"), "sections")
+    pages = docs.select("doc_no", F.col("text").alias("html"))
+    parts = {"table": tables.tables(pages, id_col="doc_no"), "figure": tables.figures(pages, id_col="doc_no"), "procedure": tables.procedures(pages, id_col="doc_no")}
+    if c.model:
+        parts = {k: models.described(v, k, c.model) for k, v in parts.items()}
+    parts = {k: kept(v, k) for k, v in parts.items()}
+    found["A12"] = tables.extracted(parts)
+    count("A12", found["A12"], F.count("*"), F.count_if(~F.col("is_gap")))
+    html = tables.normalized(pages, id_col="doc_no", parts=parts)
+    named = structure.named_sections(html, id_col="doc_no")
+    named = kept(models.headings(named, c.model) if c.model else named, "sections")
     found["A13"] = named.where("heading_source <> 'original'")
     count("A13", named, F.count_if(F.expr(f"words >= {structure.LEAST_WORDS} AND (is_orphan OR is_generic)")), F.count_if(F.col("heading_source") != "original"))
     whole = named.groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct("section_no", F.col("new_heading").alias("heading"), "content"))).alias("sections"))
@@ -120,19 +141,31 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
         chunks = kept(temporal.flag_stale(temporal.enrich(chunks, c.today, stale_days=c.freshness_days)), "dated")
         count("A22", chunks, F.count_if("is_stale"), F.lit(0))
     if 3 in c.phases:
-        chunks = kept(clarity.with_findings(chunks, ctx), "clarity")
+        chunks = clarity.with_findings(chunks, ctx)
+        if c.model:
+            chunks = models.rewritten_sentences(kept(models.resolved_terms(chunks, ctx, c.model), "resolved"), c.model)
+        chunks = kept(chunks, "clarity")
         found["A30"] = chunks.select("doc_id", "chunk_no", "chunk", F.explode("clarity").alias("f")).select("doc_id", "chunk_no", "chunk", "f.*")
         chunks = kept(clarity.fix(chunks, ctx), "clear").drop("clarity")
         count("A30", found["A30"], F.count("*"), F.count_if(F.expr("confident AND proposal <> ''")))
         chunks = kept(governance.with_findings(chunks, governance.detectors(c.pii_mode, off=c.detectors_off)), "found")
-        found["A31"] = chunks.select("doc_id", "chunk_no", "chunk", F.explode("findings").alias("f")).select("doc_id", "chunk_no", "chunk", "f.*")
-        phrases = spark.createDataFrame([(p,) for p in ctx.destructive], "phrase string")
-        found["A31_domain"] = governance.destructive_in_domain(chunks, phrases, id_cols=("doc_id", "chunk_no", "chunk"))
+        if "destructive" not in c.detectors_off:
+            phrases = spark.createDataFrame([(p,) for p in ctx.destructive], "phrase string")
+            found["A31_domain"] = kept(governance.destructive_in_domain(chunks, phrases, id_cols=("doc_id", "chunk_no", "chunk")), "destructive")
+            chunks = governance.with_more(chunks, found["A31_domain"])
+        if c.model:
+            chunks = models.validated(chunks, c.model)
+        chunks = kept(chunks, "judged")
+        found["A31"] = structs(chunks, ("doc_id", "chunk_no", "chunk"), "findings", "detector")
+        if c.model:
+            chunks = models.remediated(chunks, c.model, domain=ctx.domain_type)
         chunks = kept(governance.custom_rules(governance.clean(chunks), c.custom_rules), "clean").drop("findings")
-        count("A31", found["A31"], F.count("*"), F.lit(0))
+        fixed = "changed OR remediated" if "remediated" in chunks.columns else "changed"
+        stats.append(found["A31"].agg(F.lit("A31").alias("module_id"), F.count("*").alias("detected")).crossJoin(F.broadcast(chunks.agg(F.count_if(F.expr(f"coalesce({fixed}, false)")).alias("resolved")))))  # one row each
         ready = kept(consistency.prepared(chunks, ctx.actors, ctx.scopes), "prepared")
         conflicts = consistency.conflicts(ready, consistency.candidate_pairs(ready))
-        found["A32"] = kept(consistency.scored(conflicts, ready, priority_authors=list(c.priority_authors)), "conflicts")
+        scored = consistency.scored(conflicts, ready, priority_authors=list(c.priority_authors))
+        found["A32"] = kept(models.judged_conflicts(scored, c.model, domain=ctx.domain_type) if c.model else scored, "conflicts")
         chunks = kept(consistency.resolve(ready, found["A32"], threshold=c.resolve_from), "resolved")
         count("A32", found["A32"], F.count("*"), F.count_if(F.expr(f"score >= {c.resolve_from} AND winner <> ''")))
         resolved, chunks = chunks, rechunked(chunks, c)
@@ -151,11 +184,11 @@ def rechunked(chunks: DataFrame, c: Config) -> DataFrame:
     new = numbered(chunking.smart_chunks(whole, id_col="doc_no", least=c.least_words, most=c.most_words, threshold=c.topic_shift))
     base = F.regexp_replace("heading", r"\s*-\s*\d+$", "")
     order = F.struct(F.expr(governance.priority_of("tag")), F.when(F.col("tag") == "content", 1).otherwise(0))
-    flag = F.max("clarity_fixed") if "clarity_fixed" in rows.columns else F.lit(False)
-    tags = rows.groupBy("doc_no", base.alias("_h")).agg(F.min_by("tag", order).alias("tag"), F.min_by("tag_reason", order).alias("tag_reason"), flag.alias("clarity_fixed"))
+    flag = lambda name: F.max(name) if name in rows.columns else F.max(F.lit(False))
+    tags = rows.groupBy("doc_no", base.alias("_h")).agg(F.min_by("tag", order).alias("tag"), F.min_by("tag_reason", order).alias("tag_reason"), flag("clarity_fixed").alias("clarity_fixed"), flag("remediated").alias("remediated"))
     per_doc = rows.groupBy("doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("title").alias("title"), F.first("last_modified").alias("last_modified"), F.first("author").alias("author"))
     new = new.withColumn("_h", base).join(tags, ["doc_no", "_h"], "left").join(per_doc, "doc_no").drop("_h")
-    new = kept(new.withColumn("tag", F.coalesce("tag", F.lit("content"))).withColumn("clarity_fixed", F.coalesce("clarity_fixed", F.lit(False))), "rechunked")
+    new = kept(new.withColumn("tag", F.coalesce("tag", F.lit("content"))).withColumn("clarity_fixed", F.coalesce("clarity_fixed", F.lit(False))).withColumn("remediated", F.coalesce("remediated", F.lit(False))), "rechunked")
     top = consistency.content_words(new, key="chunk").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("top"))
     return chunking.enriched(new, top, keys=("chunk",))
 
@@ -185,15 +218,25 @@ def evaluate(result: Result, config: Config | None = None, *, user: DataFrame |
     if found is not None:
         found = found.where("chunk_a IS NOT NULL AND chunk_b IS NOT NULL").withColumn("a", F.col("chunk_a")).withColumn("b", F.col("chunk_b"))
     asked = evaluation.questions(chunks, found, evaluation.budgets(advice, c.total_questions), user=user).withColumn("question_id", F.xxhash64("question"))
+    if c.embedder:
+        asked = embed(embed(asked, "question", "embedding", c.embedder), "expected_answer", "answer_vector", c.embedder)
     asked = kept(asked, "questions")
     served = chunks.where("behavior <> 'block'")
     raw = numbered(result.raw_chunks)
     pairs = asked
     for side, pool in (("before", raw), ("after", served)):
-        best = evaluation.bm25(asked, pool, k=1).join(pool.select("chunk", F.col("content").alias("retrieved")), "chunk").select("question_id", "retrieved")
-        judged = evaluation.judged(asked.join(best, "question_id", "left")).select("question_id", F.col("verdict").alias(f"verdict_{side}"))
-        pairs = pairs.join(judged, "question_id")
-    pairs = kept(pairs, "pairs")
+        texts = pool.select("chunk", F.col("content").alias("retrieved"))
+        if c.embedder:
+            texts = kept(embed(texts, "retrieved", "embedding", c.embedder), "vectors")
+            best = evaluation.cosine(asked, texts, k=1)
+        else:
+            best = evaluation.bm25(asked, pool, k=1)
+        both = asked.drop("embedding").join(best.join(texts, "chunk").drop("chunk", "score", "rank"), "question_id", "left")
+        judged = evaluation.judged(both, similarity=models.by_vectors(both, "answer_vector", "embedding") if c.embedder else None)
+        if c.model and c.judge != "similarity":
+            judged = models.verdicts(kept(judged, "judged"), c.model, unclear_only=c.judge == "similarity_then_model")
+        pairs = pairs.join(judged.select("question_id", F.col("verdict").alias(f"verdict_{side}")), "question_id")
+    pairs = kept(pairs.drop("embedding", "answer_vector"), "pairs")
     return {"pairs": pairs, "metrics": evaluation.metrics(pairs, tolerance=tolerance), "by_source": evaluation.metrics(pairs, tolerance=tolerance, by=("source",)), "coverage": evaluation.coverage(asked)}
 
 
@@ -201,3 +244,9 @@ def totals(stats: DataFrame) -> DataFrame:
     """Counters over all modules, with a row for each."""
     return stats.rollup("module_id").agg(F.sum("detected").alias("detected"), F.sum("resolved").alias("resolved"))
 
+
+
+def issues(result: Result, confirmed: dict[str, int] | None = None) -> DataFrame:
+    """By module: what was detected, resolved on its own, settled by a person (``confirmed``, by module) and is left."""
+    settled = F.create_map(*[F.lit(x) for kv in (confirmed or {"": 0}).items() for x in kv])
+    return evaluation.module_issues(result.stats.withColumn("confirmed", F.try_element_at(settled, F.col("module_id"))))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -104,8 +105,9 @@ def load_file(spark: SparkSession, path: str, metadata: dict[str, str] | None =
 
 
 def load_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] = SUFFIXES, metadata: dict[str, str] | None = None) -> DataFrame:
-    """The documents of a folder, without its folders, by name; files that can't be read are skipped."""
-    pattern = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
+    """The documents of a folder, without its folders; suffixes in any case; files that can't be read are skipped."""
+    any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    pattern = "*.{" + ",".join(any_case(e.lstrip(".")) for e in extensions) + "}"
     return _read(spark, path, pattern, metadata, False)
 
 
@@ -132,7 +134,7 @@ def write_results(tables: dict[str, DataFrame], path: str, form: str = "json") -
 
 
 class PhaseCache:
-    """Tables of a phase, kept as Parquet under a key of the input's first 5000 bytes."""
+    """Tables of a phase, kept as Parquet under a key of the whole input."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -141,7 +143,7 @@ class PhaseCache:
     def key(text: str) -> str:
         import hashlib
 
-        return hashlib.md5(text.encode()[:5000]).hexdigest()[:12]
+        return hashlib.md5(text.encode()).hexdigest()[:12]
 
     def _at(self, key: str, phase: str) -> str:
         return f"{self.path}/{key}/{phase}"
@@ -176,29 +178,32 @@ def call_model(df: DataFrame, prompt: str, answer: str, call, partitions: int |
     """``df`` with the answers of ``call`` (text to text) to a column of prompts; at most ``partitions`` calls at a time. Null where a prompt is null or a call fails."""
     columns = [c for c in df.columns if c != answer]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def ask(p: str | None) -> str | None:
-            try:
-                return call(p) if p is not None else None
-            except Exception:  # the rules' result stands where a model fails
-                return None
+    def ask(p: str | None) -> str | None:
+        try:
+            return call(p) if p is not None else None
+        except Exception:  # the rules' result stands where a model fails
+            return None
 
-        for b in batches:
-            yield b[columns].assign(**{answer: [ask(p) for p in b[prompt]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = pa.array([ask(p) for p in batch.column(prompt).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, said], names=[*columns, answer])
 
     source = df.select(*columns) if partitions is None else df.select(*columns).repartition(partitions)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInPandas(run, f"{fields}, `{answer}` string")
+    return source.mapInArrow(run, f"{fields}, `{answer}` string")
 
 
 def embed(df: DataFrame, text: str, into: str, call, batch: int = 50) -> DataFrame:
-    """``df`` with vectors of a column of texts, by ``call`` (a list of texts to a list of vectors) in batches."""
+    """``df`` with vectors of a column of texts, by ``call`` (a list of texts to a list of vectors) in batches; null for null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b[text].tolist()
-            vectors = [v for k in range(0, len(texts), batch) for v in call(texts[k : k + batch])]
-            yield b.assign(**{into: [[float(x) for x in v] for v in vectors]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column(text).to_pylist()
+            known = [t for t in texts if t is not None]
+            vectors = iter([v for k in range(0, len(known), batch) for v in call(known[k : k + batch])])
+            out = pa.array([None if t is None else [float(x) for x in next(vectors)] for t in texts], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, out], names=[*rows.schema.names, into])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, `{into}` array<float>")
+    return df.mapInArrow(run, f"{fields}, `{into}` array<float>")

@@ -26,7 +26,7 @@ def test_run_and_evaluation(spark):
     assert [c.behavior for c in chunks if c.doc_id == "doc_3"] == ["block"]
     assert {f.detector for f in r.findings["A31"].collect()} >= {"pii_email", "placeholder"}
     assert {f.conflict for f in r.findings["A32"].collect()} == {"numeric"}
-    assert {s.module_id for s in r.stats.collect()} == {"A13", "A22", "A30", "A31", "A32"}
+    assert {s.module_id for s in r.stats.collect()} == {"A12", "A13", "A22", "A30", "A31", "A32"}
     out = engine.evaluate(r)
     assert out["metrics"].first().total == out["pairs"].count() > 0
     assert engine.totals(r.stats).where("module_id IS NULL").count() == 1
