@@ -12,6 +12,8 @@ TABLE = r"(?is)<table[^>]*>.*?</table>"
 LIST = r"(?is)<ol[^>]*>.*?</ol>"
 FIGURE = r"(?is)(?:<[a-z][^>]*>)?\s*\[Figure\s+\d+:\s*.*?\]\s*(?:</[^>]+>)?"
 _NUMBERED = r"(?is)\[Figure\s+(\d+):(.*?)\]"
+SHOWN = r"(?i)(?:the " + T.any_of("workflow", "figure", "diagram", "chart") + " " + T.any_of("shows", "illustrates", "displays") + r"|as shown)[,:]?\s*(.*?)(?:\.|$)"
+STAGES = r"(?i)ha(?:ve|s)\s+(\d+)\s+" + T.any_of("steps?", "stages?", "phases?") + r"[:\s]+(.*?)(?:\.|$)"
 _EMPTY = "'none', 'n/a', '-', ''"
 
 
@@ -74,10 +76,8 @@ def figures(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "html")
     one = one.withColumn("caption", F.expr(T.cell(f"regexp_extract(original, {T.quote(_NUMBERED)}, 2)")))
     one = one.withColumn("after", F.expr(T.cell("after"))).withColumn("_w", F.expr(f"array_except({T.words('caption', 3)}, array('figure', 'available', 'not', 'image'))"))
     one = one.withColumn("type", F.expr("CASE WHEN lower(caption) rlike 'flow|process|pipeline|sequence' THEN 'process' WHEN lower(caption) rlike 'chart|graph|trend|revenue|volume|metric' THEN 'chart' WHEN lower(caption) rlike 'diagram|structure|architecture|comparison|tier|overview' THEN 'structure' ELSE 'unknown' END"))
-    shown = r"(?i)(?:the " + T.any_of("workflow", "figure", "diagram", "chart") + " " + T.any_of("shows", "illustrates", "displays") + r"|as shown)[,:]?\s*(.*?)(?:\.|$)"
-    stages = r"(?i)ha(?:ve|s)\s+(\d+)\s+" + T.any_of("steps?", "stages?", "phases?") + r"[:\s]+(.*?)(?:\.|$)"
     fits = lambda x: f"({x} <> '' AND (size(_w) = 0 OR arrays_overlap({T.words(x, 3)}, _w)))"
-    one = one.withColumn("_a", F.expr(f"trim(regexp_extract(after, {T.quote(shown)}, 0))")).withColumn("_b", F.expr(f"trim(regexp_extract(after, {T.quote(stages)}, 0))"))
+    one = one.withColumn("_a", F.expr(f"trim(regexp_extract(after, {T.quote(SHOWN)}, 0))")).withColumn("_b", F.expr(f"trim(regexp_extract(after, {T.quote(STAGES)}, 0))"))
     near = f"array_join(transform(filter(slice({T.sentences('after', False)}, 1, 4), s -> arrays_overlap({T.words('s', 3)}, _w)), s -> trim(s)), ' ')"
     one = one.withColumn("_c", F.expr(near)).withColumn("description", F.expr(f"CASE WHEN {fits('_a')} THEN _a WHEN {fits('_b')} THEN _b WHEN _c <> '' THEN _c END"))
     one = one.withColumn("is_gap", F.expr("description IS NULL")).withColumn("confidence", F.expr(f"IF({fits('_a')} OR {fits('_b')}, 'high', 'low')"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
 from grainsieve.functions.rows import elements, structs
-from grainsieve.functions.vocabulary import COMMON, COMMON_CONTENT, COMMON_CORPUS, DOMAINS, EVERYDAY_ACRONYMS, EXPANSIONS, MONTHS, NOT_ACRONYMS, NOT_ACTORS, TITLE_WORDS
+from grainsieve.functions.vocabulary import COMMON, COMMON_CONTENT, COMMON_CORPUS, DOMAINS, EVERYDAY_ACRONYMS, EXPANSIONS, MONTHS, NOT_ACRONYMS, NOT_ACRONYMS_IN_TEXT, NOT_ACTORS, TITLE_WORDS
 from grainsieve.operators import chunking, clarity, consistency, domain, evaluation, governance, structure, tables, temporal
 from grainsieve.plans import duck as D
 from grainsieve.plans.corpus import kb, kb_html
@@ -319,7 +319,18 @@ def structure_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.procedures(kb_html(spark, sf_dir)).select("doc_id", "list_no", "content")
 
 
-@query()
+_WORDS_OF = lambda c: f"list_filter({D.words(c, 3)}, lambda x: NOT list_contains(['figure', 'available', 'not', 'image'], x))"
+_FITS = lambda x: f"({x} <> '' AND (len(w) = 0 OR list_has_any({D.words(x, 3)}, w)))"
+
+
+@query(f"""{D.WITH_HTML}, f AS (SELECT doc_id, ord, regexp_extract(m, {D.q(tables._NUMBERED)}, 1) AS figure_no, {D.cell(f"regexp_extract(m, {D.q(tables._NUMBERED)}, 2)")} AS caption,
+  coalesce({D.cell(f"regexp_extract_all(before, '(?is)<h[1-6](?:{chr(92)}s[^>]*)?>(.*?)</h[1-6]>', 1)[-1]")}, '') AS heading, {D.cell('left(after, 600)')} AS after FROM {D.matches('page', 'doc_id', 'html', tables.FIGURE)}),
+g AS (SELECT *, list_distinct({_WORDS_OF('caption')}) AS w, trim(regexp_extract(after, {D.q(tables.SHOWN)}, 0)) AS a, trim(regexp_extract(after, {D.q(tables.STAGES)}, 0)) AS b FROM f),
+h AS (SELECT *, array_to_string(list_transform(list_filter({D.sentences('after')}[1:4], lambda s: list_has_any({D.words('s', 3)}, w)), lambda s: trim(s)), ' ') AS c FROM g),
+d AS (SELECT *, CASE WHEN {_FITS('a')} THEN a WHEN {_FITS('b')} THEN b WHEN c <> '' THEN c END AS description, {_FITS('a')} OR {_FITS('b')} AS sure FROM h)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, figure_no, caption, heading, CASE WHEN regexp_matches(lower(caption), 'flow|process|pipeline|sequence') THEN 'process' WHEN regexp_matches(lower(caption), 'chart|graph|trend|revenue|volume|metric') THEN 'chart' WHEN regexp_matches(lower(caption), 'diagram|structure|architecture|comparison|tier|overview') THEN 'structure' ELSE 'unknown' END AS type,
+  description, CASE WHEN sure THEN 'high' ELSE 'low' END AS confidence, description IS NULL AS is_gap, 'Figure ' || figure_no || ': ' || caption || CASE WHEN description IS NULL THEN ' (no description)' ELSE '' END AS summary,
+  coalesce(description, 'No description available for ' || caption || '.') || CASE WHEN contains(lower(caption), 'image not available') THEN ' (Note: original image not available.)' ELSE '' END AS content FROM d""")
 def structure_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and what the text says of them."""
     return tables.figures(kb_html(spark, sf_dir)).drop("original")
@@ -355,7 +366,45 @@ def temporal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CTX = domain.Context("support", 1.0, "Acme", ["billing", "finance", "legal", "support"], dict(EXPANSIONS), ["Enterprise", "Pro"], {"region": ["Europe", "Asia"]})
 
 
-@query()
+def _first_in(values: list[str]) -> str:
+    return f"list_filter({D.items(values)}, lambda a: contains(lower(heading), lower(a)))[1]"
+
+
+#: Acronyms between marks: there is no word border of all scripts here, so every character that is of no word is doubled by a mark first.
+_BORDERED = D.sub(D.sub("content", r"([^\p{L}\p{N}_])", "\\1\x05"), r"(^|\x05)([A-Z]{2,5})([^\p{L}\p{N}_]|$)", "\\1\x06\\2\x07\\3")
+_ACRONYM_PLACES = f"""(SELECT doc_id, content, i - 1 AS ord, string_split(p[i], chr(7))[1] AS m, replace(replace(array_to_string(p[1:i-1], ''), chr(7), ''), chr(5), '') AS before,
+  replace(replace(string_split(p[i], chr(7))[2] || array_to_string(p[i+1:], ''), chr(7), ''), chr(5), '') AS after
+  FROM (SELECT doc_id, content, p, unnest(range(2, len(p) + 1)) AS i FROM (SELECT doc_id, content, string_split({_BORDERED}, chr(6)) AS p FROM kb)))"""
+_SENTENCE_LIST = f"string_split({D.sub('content', '([.!?])', chr(92) + '1' + chr(1))}, chr(1))"
+_BARE_ENDS = r"rtrim(trim(s), '.')"
+_REWORDED = f"""CASE WHEN regexp_matches(s, {D.q(clarity._CLAUSE)}) THEN upper(left({D.sub('s', clarity._CLAUSE, '')}, 1)) || substr({D.sub('s', clarity._CLAUSE, '')}, 2)
+  WHEN lower(m) = lower({_BARE_ENDS}) THEN '(remove)' ELSE {D.sub('s', clarity._TAIL, '.')} END"""
+
+
+def _gap_sql(k: int, pattern: str) -> str:
+    return f"""SELECT doc_id, 4 AS kind, {k} AS ord, 'sequence' AS issue, n[i] || ' to ' || n[i + 1] AS term, 'Steps go ' || n[i] || ' to ' || n[i + 1] AS evidence, '' AS proposal, false AS confident
+  FROM (SELECT doc_id, n, unnest(range(1, len(n))) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(content, {D.q(pattern)}, 1), lambda x: CAST(x AS BIGINT)) AS n FROM kb)) WHERE n[i + 1] <> n[i] + 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1"""
+
+
+_CLARITY = f"""{D.WITH_KB}, who AS (SELECT doc_id, content, coalesce('the ' || {_first_in(_CTX.actors)} || ' team', {_first_in(_CTX.products)}, heading, '') AS who, {_first_in(_CTX.actors)} IS NOT NULL OR {_first_in(_CTX.products)} IS NOT NULL AS sure FROM kb),
+pron AS (SELECT doc_id, 0 AS part, ord, trim({D.sub('m', '^[.!?]?' + chr(92) + 's*', '')}) AS term, {D.evidence()} AS evidence FROM {D.matches('kb', 'doc_id', 'content', clarity._START)}
+  UNION ALL SELECT doc_id, 1, i, lower(regexp_extract(s, {D.q(clarity._LAST_THEY)}, 1)), left(trim(s), 100) FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS s FROM (SELECT doc_id, {_SENTENCE_LIST} AS a FROM kb)) WHERE regexp_matches(s, {D.q(clarity._THEY)}) AND right(s, 1) IN ('.', '!', '?')),
+known(acronym, usual) AS (VALUES {_KNOWN}),
+acr AS (SELECT doc_id, ord, m, {D.evidence()} AS evidence FROM {_ACRONYM_PLACES} WHERE m NOT IN ({', '.join(map(D.q, EVERYDAY_ACRONYMS + NOT_ACRONYMS_IN_TEXT))}) AND len(list_filter(regexp_extract_all(content, {D.q(clarity._EXPANDED)}, 1), lambda d: suffix(d, m))) = 0
+  QUALIFY row_number() OVER (PARTITION BY doc_id, m ORDER BY ord) = 1),
+vague AS (SELECT doc_id, ord, m, {D.evidence()} AS evidence FROM {D.matches('kb', 'doc_id', 'content', clarity.VAGUE)} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(m) ORDER BY ord) = 1),
+ref AS (SELECT doc_id, ord, m, {D.evidence()} AS s FROM {D.matches('kb', 'doc_id', 'content', clarity.REFERENCE)}),
+ref2 AS (SELECT doc_id, ord, s, {_REWORDED} AS n FROM ref),
+long AS (SELECT doc_id, i, s FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS s FROM (SELECT doc_id, {D.sentences('content')} AS a FROM kb)) WHERE {D.word_count('s')} > {clarity.MOST_WORDS} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
+every AS (SELECT doc_id, 0 AS kind, part * 1000000000 + ord AS ord, 'pronoun' AS issue, term, evidence, CASE WHEN sure THEN who ELSE '' END AS proposal, sure AS confident FROM pron JOIN who USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY part, ord) = 1
+  UNION ALL SELECT doc_id, 1, ord, 'acronym', m, evidence, coalesce(m || ' (' || usual || ')', ''), usual IS NOT NULL FROM acr LEFT JOIN known ON m = acronym
+  UNION ALL SELECT doc_id, 2, ord, 'vague_entity', m, evidence, CASE WHEN regexp_matches(lower(m), 'team|group|department') THEN '' ELSE 'Acme' END, NOT regexp_matches(lower(m), 'team|group|department') FROM vague
+  UNION ALL SELECT doc_id, 3, ord, 'reference', s, s, CASE WHEN n <> s AND n <> '(remove)' THEN n ELSE '' END, n <> s AND n <> '(remove)' FROM ref2
+  UNION ALL {_gap_sql(0, clarity._NUMBERED)} UNION ALL {_gap_sql(1, clarity._STEP)}
+  UNION ALL SELECT doc_id, 5, 0, 'sentence', s, s, '', false FROM long)"""
+
+
+@query(f"{_CLARITY} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, ord) - 1 AS INTEGER) AS ord, issue, term, evidence, proposal, confident FROM every")
 def clarity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wording that can't be resolved."""
     return clarity.findings(kb(spark, sf_dir), _CTX)
