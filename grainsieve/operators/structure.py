@@ -19,6 +19,9 @@ _MORE = r"\s*(?:info(?:rmation)?)?"
 GENERIC = r"(?i)^" + T.any_of(
     "various", "updates?", "untitled", "stuff", r"section\s*\d+", "random", r"part\s*\d+", "overview", "other", "notes?", "more" + _MORE, "misc(?:ellaneous)?",
     "general", "extra", "details", "content", "appendix", "additional" + _MORE) + r"\s*$"
+_VERB = T.any_of("supports?", "provides?", "processes?", "manages?", "handles?", "covers?")
+SUBJECT = rf"(?i)\w+\s+{_VERB}\s+(?:all\s+)?(.{{5,40}}?)(?:\s+" + T.any_of("including", "for", "and", "across") + r"|[.,;]|$)"
+ABOUT = r"(?i)" + T.any_of("regarding", "for", "explains?", "describes?", "covers?", "about") + r"\s+(.{10,60}?)(?:[.,;]|$)"
 LEAST_WORDS = 10
 STOP_HEADING = sorted("""
 your you will with who which where when what was very via use to those this they these there them their then the that than some should see per our or on of not
@@ -71,12 +74,9 @@ def named_sections(docs: DataFrame, *, id_col: str = "doc_id", html_col: str = "
     rows = rows.withColumn("is_generic", F.expr(f"NOT is_orphan AND words >= {LEAST_WORDS} AND {is_generic('heading')}"))
     rows = rows.withColumn("_fix", F.expr(f"words >= {LEAST_WORDS} AND (is_orphan OR is_generic)")).withColumn("_clean", F.expr(f"IF(_fix, {T.cell('content')}, NULL)"))
     first = f"array_join(slice({T.sentences('_clean', False)}, 1, 2), ' ')"
-    verb = T.any_of("supports?", "provides?", "processes?", "manages?", "handles?", "covers?")
-    subject = rf"(?i)\w+\s+{verb}\s+(?:all\s+)?(.{{5,40}}?)(?:\s+" + T.any_of("including", "for", "and", "across") + r"|[.,;]|$)"
-    about = r"(?i)" + T.any_of("regarding", "for", "explains?", "describes?", "covers?", "about") + r"\s+(.{10,60}?)(?:[.,;]|$)"
     rows = rows.withColumn("_first", F.expr(first))
-    rows = rows.withColumn("_a", F.expr(f"trim({T.replace(f'trim(regexp_extract(_first, {T.quote(subject)}, 1))', '[.,;:]+$', '')})"))
-    rows = rows.withColumn("_b", F.expr(f"trim({T.replace(f'trim(regexp_extract(_first, {T.quote(about)}, 1))', '[.]+$', '')})"))
+    rows = rows.withColumn("_a", F.expr(f"trim({T.replace(f'trim(regexp_extract(_first, {T.quote(SUBJECT)}, 1))', '[.,;:]+$', '')})"))
+    rows = rows.withColumn("_b", F.expr(f"trim({T.replace(f'trim(regexp_extract(_first, {T.quote(ABOUT)}, 1))', '[.]+$', '')})"))
     rows = rows.withColumn("_c", F.expr(f"IF(_a <> '' AND {T.word_count('_a')} <= 5, {T.first_upper('_a')}, IF(_b <> '', {T.first_upper('_b')}, NULL))"))
     rows = rows.withColumn("_d", F.when(F.col("_fix") & F.col("_c").isNull(), frequent_words("_clean")))
     early = f"array_join(slice(filter(slice({T.pieces('_clean', T.SPACE + '+')}, 1, 15), w -> length(w) > 2 AND NOT array_contains({T.array_of(STOP_HEADING)}, {T.replace('lower(w)', '[.,;:]+$', '')})), 1, 4), ' ')"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
 from grainsieve.functions.rows import elements, structs
-from grainsieve.functions.vocabulary import COMMON, COMMON_CONTENT, COMMON_CORPUS, DOMAINS, EVERYDAY_ACRONYMS, EXPANSIONS, MONTHS, NOT_ACRONYMS, NOT_ACRONYMS_IN_TEXT, NOT_ACTORS, TITLE_WORDS
+from grainsieve.functions.vocabulary import COMMON, COMMON_CONTENT, COMMON_CORPUS, COMMON_HEADING, DOMAINS, EVERYDAY_ACRONYMS, EXPANSIONS, GENERIC_CONTEXT, MONTHS, NOT_ACRONYMS, NOT_ACRONYMS_IN_TEXT, NOT_ACTORS, TITLE_WORDS
 from grainsieve.operators import chunking, clarity, consistency, domain, evaluation, governance, structure, tables, temporal
 from grainsieve.plans import duck as D
 from grainsieve.plans.corpus import kb, kb_html
@@ -281,15 +281,31 @@ def domain_topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.topic_groups(domain.word_frequencies(kb(spark, sf_dir))).select("stem", "anchor", F.array_join("words", "|").alias("words"))
 
 
-@query()
+_PARTS = f"string_split(regexp_replace(html, '(?is)<h[1-6](?:{chr(92)}s[^>]*)?>.*?</h[1-6]>', chr(3) || '{chr(92)}0', 'g'), chr(3))"
+_TITLE = f"'(?is)^<h([1-6])(?:{chr(92)}s[^>]*)?>(.*?)</h[1-6]>'"
+_BARE_TITLE = f"trim({D.sub('trim(heading)', ':+' + chr(92) + 's*$', '')})"
+_UPPER = lambda c: f"(upper(left({c}, 1)) || substr({c}, 2))"
+_EARLY = f"array_to_string(list_filter({D.parts('clean', T.SPACE + '+')}[1:15], lambda w: length(w) > 2 AND NOT list_contains({D.items(structure.STOP_HEADING)}, {D.sub('lower(w)', '[.,;:]+$', '')}))[1:4], ' ')"
+
+
+@query(f"""{D.WITH_HTML}, p AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS p FROM (SELECT doc_id, {_PARTS} AS a FROM page)),
+s AS (SELECT doc_id, i, trim({D.sub(f"regexp_extract(p, {_TITLE}, 2)", '<[^>]+>', '')}) AS heading, coalesce(TRY_CAST(regexp_extract(p, {_TITLE}, 1) AS INTEGER), 0) AS level, {D.cell("trim(regexp_replace(p, '(?is)^<h[1-6](?:" + chr(92) + "s[^>]*)?>.*?</h[1-6]>', ''))")} AS cleaned FROM p),
+n AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS section_no, heading, level, cleaned, CAST({D.word_count('cleaned')} AS INTEGER) AS words, level = 0 AND heading = '' AS is_orphan FROM s WHERE {D.word_count('cleaned')} > 0),
+g AS (SELECT *, NOT is_orphan AND words >= {structure.LEAST_WORDS} AND (bare = '' OR regexp_matches(bare, {D.q(structure.GENERIC)}) OR ({D.word_count('bare')} = 1 AND length(bare) < 5)) AS is_generic FROM (SELECT *, {_BARE_TITLE} AS bare FROM n)),
+f AS (SELECT *, words >= {structure.LEAST_WORDS} AND (is_orphan OR is_generic) AS fix, CASE WHEN words >= {structure.LEAST_WORDS} AND (is_orphan OR is_generic) THEN cleaned END AS clean FROM g),
+h AS (SELECT *, array_to_string({D.sentences('clean')}[1:2], ' ') AS early FROM f),
+c AS (SELECT *, trim({D.sub(f"trim(regexp_extract(early, {D.q(structure.SUBJECT)}, 1))", '[.,;:]+$', '')}) AS a, trim({D.sub(f"trim(regexp_extract(early, {D.q(structure.ABOUT)}, 1))", '[.]+$', '')}) AS b FROM h),
+w AS (SELECT doc_id, section_no, unnest(range(len(a))) AS place, unnest(a) AS word FROM (SELECT doc_id, section_no, {D.words('clean', 3)} AS a FROM f WHERE fix)),
+top AS (SELECT doc_id, section_no, upper(word[1]) || word[2:] AS word, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY n DESC, place) AS k FROM (SELECT doc_id, section_no, word, count(*) AS n, min(place) AS place FROM w WHERE word NOT IN ({', '.join(map(D.q, structure.STOP_HEADING))}) GROUP BY ALL)),
+d AS (SELECT doc_id, section_no, string_agg(word, ' ' ORDER BY k) AS d FROM top WHERE k <= 3 GROUP BY ALL),
+o AS (SELECT c.*, CASE WHEN fix THEN coalesce(CASE WHEN a <> '' AND {D.word_count('a')} <= 5 THEN {_UPPER('a')} WHEN b <> '' THEN {_UPPER('b')} END, d, nullif({_UPPER(D.sub(_EARLY, '[.,;:]+$', ''))}, '')) END AS new FROM c LEFT JOIN d USING (doc_id, section_no))
+SELECT doc_id, section_no, coalesce(new, heading) AS new_heading, CASE WHEN is_generic THEN heading ELSE '' END AS original_heading, CASE WHEN new IS NULL THEN 'original' WHEN is_generic THEN 'replaced' ELSE 'generated_rule' END AS heading_source,
+  CASE WHEN new IS NOT NULL AND level = 0 THEN 2 ELSE level END AS new_level, level, heading, words, is_orphan, is_generic FROM o""")
 def structure_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with their headings, old and new."""
     return structure.named_sections(kb_html(spark, sf_dir)).drop("content")
 
 
-_PARTS = f"string_split(regexp_replace(html, '(?is)<h[1-6](?:{chr(92)}s[^>]*)?>.*?</h[1-6]>', chr(3) || '{chr(92)}0', 'g'), chr(3))"
-
-
 @query(f"""{D.WITH_HTML}, p AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS p FROM (SELECT doc_id, {_PARTS} AS a FROM page)),
 s AS (SELECT doc_id, i, trim(regexp_replace(regexp_extract(p, '(?is)^<h([1-6])(?:{chr(92)}s[^>]*)?>(.*?)</h[1-6]>', 2), '<[^>]+>', '', 'g')) AS heading,
   coalesce(TRY_CAST(regexp_extract(p, '(?is)^<h([1-6])(?:{chr(92)}s[^>]*)?>(.*?)</h[1-6]>', 1) AS INTEGER), 0) AS level,
@@ -447,9 +463,12 @@ def consistency_topic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.topic_keys(_chunks(spark, sf_dir))
 
 
-@query(f"""{_KEYS}, size AS (SELECT word FROM keys GROUP BY word HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT * FROM keys JOIN size USING (word)),
-near AS (SELECT a.doc_id AS a, min(b.doc_id) AS b FROM kb a JOIN kb b ON b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 5 GROUP BY 1)
-SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.word = y.word AND x.doc_id < y.doc_id UNION SELECT a, b FROM near""")
+_PAIRS = f"""{_KEYS}, size AS (SELECT word FROM keys GROUP BY word HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT * FROM keys JOIN size USING (word)),
+near AS (SELECT a.doc_id AS a, min(b.doc_id) AS b FROM kb a JOIN kb b ON b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 5 GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.word = y.word AND x.doc_id < y.doc_id UNION SELECT a, b FROM near)"""
+
+
+@query(f"{_PAIRS} SELECT a, b FROM pairs")
 def consistency_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks worth comparing."""
     return consistency.candidate_pairs(_chunks(spark, sf_dir))
@@ -472,7 +491,33 @@ def consistency_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk", "number", "unit", F.array_join("context", " ").alias("context"))
 
 
-@query()
+_SAYS = lambda c, n: f"left(coalesce(trim(list_filter({D.sentences(c)}, lambda s: contains(lower(s), lower({n})) AND contains(lower(s), lower(t.unit)))[1]), {c}), 200)"
+_BOTH = lambda f, g: f"len(list_intersect(list_filter({f}, lambda x: NOT list_contains({D.items(GENERIC_CONTEXT)}, x)), list_filter({g}, lambda x: NOT list_contains({D.items(GENERIC_CONTEXT)}, x)))) >= 2"
+_DUTIES = "len(list_intersect(string_split_regex(f.duty, ' +'), string_split_regex(g.duty, ' +'))) >= 2"
+
+
+@query(f"""{_PAIRS}, facts AS ({_FACTS}), claims AS (SELECT doc_id AS chunk, ord, actor, duty FROM (SELECT doc_id, unnest(range(len(x))) AS ord, lower(unnest(x)) AS actor, trim(lower(unnest(y))) AS duty
+    FROM (SELECT doc_id, regexp_extract_all(content, {D.q(consistency.CLAIM)}, 1) AS x, regexp_extract_all(content, {D.q(consistency.CLAIM)}, 2) AS y FROM kb)) WHERE list_contains({D.items(_CTX.actors)}, actor)),
+told AS ({_DATES}), newest AS (SELECT doc_id, min(12 * (2026 - year) + 1 - month) AS date FROM told WHERE year BETWEEN 2015 AND 2030 AND month BETWEEN 1 AND 12 GROUP BY doc_id),
+page AS (SELECT doc_id, 12 * (2026 - year(d)) + 1 - month(d) AS page FROM (SELECT doc_id, TRY_CAST(CASE WHEN contains(last_modified, 'T') THEN split_part(last_modified, 'T', 1) ELSE left(last_modified, 10) END AS DATE) AS d FROM kb)),
+side AS (SELECT doc_id, content, author, page, date, regexp_extract_all(content, {D.q(consistency.STEP)}, 1) AS steps, list_distinct(list_filter({D.words('heading', 3)}, lambda x: NOT list_contains({D.items(COMMON_HEADING)}, x))) AS hw,
+    coalesce('region=' || list_filter(['europe', 'asia'], lambda v: contains(lower(content || ' ' || heading), v))[1], '') AS scope FROM kb LEFT JOIN page USING (doc_id) LEFT JOIN newest USING (doc_id)),
+num AS (SELECT a, b, f.number AS na, g.number AS nb, f.unit AS unit FROM pairs JOIN facts f ON f.chunk = a JOIN facts g ON g.chunk = b JOIN side x ON x.doc_id = a JOIN side y ON y.doc_id = b
+    WHERE g.number <> f.number AND g.unit = f.unit AND f.unit <> '' AND {_BOTH('f.context', 'g.context')} AND (x.scope = '' OR y.scope = '' OR x.scope = y.scope) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY f.kind, f.ord, g.kind, g.ord) = 1),
+aut AS (SELECT a, b, f.actor AS na, g.actor AS nb, '' AS unit FROM pairs JOIN claims f ON f.chunk = a JOIN claims g ON g.chunk = b WHERE g.actor <> f.actor AND {_DUTIES} QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY f.ord, g.ord) = 1
+    UNION ALL SELECT f.chunk, f.chunk, f.actor, g.actor, '' FROM claims f JOIN claims g ON f.chunk = g.chunk AND g.ord > f.ord WHERE g.actor <> f.actor AND {_DUTIES} QUALIFY row_number() OVER (PARTITION BY f.chunk ORDER BY f.ord, g.ord) = 1),
+pro AS (SELECT a, b, '' AS na, '' AS nb, '' AS unit FROM pairs JOIN side x ON x.doc_id = a JOIN side y ON y.doc_id = b WHERE len(x.steps) >= 2 AND len(y.steps) >= 2 AND list_has_any(x.hw, y.hw)
+    AND len(list_intersect(string_split_regex(trim(lower(x.steps[1])), ' +')[1:5], string_split_regex(trim(lower(y.steps[1])), ' +')[1:5])) <= 1),
+t AS (SELECT *, 'numeric' AS conflict FROM num UNION ALL SELECT *, 'authority' FROM aut ANTI JOIN num USING (a, b) UNION ALL SELECT *, 'process' FROM pro ANTI JOIN num USING (a, b) ANTI JOIN aut USING (a, b)),
+ov AS (SELECT a, b, max(len(list_intersect(list_distinct(f.context), g.context))) AS ov FROM num JOIN facts f ON f.chunk = a JOIN facts g ON g.chunk = b GROUP BY ALL),
+e AS (SELECT t.a, t.b, conflict, CASE WHEN conflict = 'process' THEN len(x.steps) || ' steps starting: ' || left(x.steps[1], 60) ELSE {_SAYS('x.content', 't.na')} END AS evidence_a, CASE WHEN conflict = 'process' THEN len(y.steps) || ' steps starting: ' || left(y.steps[1], 60) ELSE {_SAYS('y.content', 't.nb')} END AS evidence_b,
+    CASE conflict WHEN 'numeric' THEN '"' || na || ' ' || unit || '" vs "' || nb || ' ' || unit || '" in a similar context' WHEN 'authority' THEN '"' || na || '" and "' || nb || '" have the same responsibility' ELSE 'same topic, different steps' END AS rationale,
+    CASE WHEN x.page < y.page THEN 'a' WHEN y.page < x.page THEN 'b' WHEN x.date < y.date THEN 'a' WHEN y.date < x.date THEN 'b' ELSE '' END AS fresh, CASE WHEN x.author = 'Ann' AND y.author <> 'Ann' THEN 'a' WHEN y.author = 'Ann' AND x.author <> 'Ann' THEN 'b' ELSE '' END AS auth,
+    CASE WHEN len(x.hw) > len(y.hw) + 1 THEN 'a' WHEN len(y.hw) > len(x.hw) + 1 THEN 'b' ELSE '' END AS head, coalesce(ov, 0) AS ov FROM t JOIN side x ON x.doc_id = t.a JOIN side y ON y.doc_id = t.b LEFT JOIN ov ON ov.a = t.a AND ov.b = t.b AND conflict = 'numeric'),
+f AS (SELECT * REPLACE (CASE WHEN fresh <> '' OR auth <> '' THEN '' ELSE head END AS head) FROM e),
+s AS (SELECT *, round(CASE WHEN fresh <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN ov >= 3 THEN 0.2::DOUBLE WHEN ov = 2 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN auth <> '' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN head <> '' THEN 0.1::DOUBLE ELSE 0 END, 6) AS score FROM f)
+SELECT a, b, conflict, evidence_a, evidence_b, rationale, CASE WHEN fresh <> '' THEN fresh WHEN auth <> '' THEN auth ELSE head END AS winner, score, {consistency.CONFIDENCE} AS confidence,
+  CASE WHEN fresh <> '' THEN 'newer' WHEN auth <> '' THEN 'priority author' WHEN head <> '' THEN 'more specific heading' ELSE '' END AS reason FROM s""")
 def consistency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contradictions with their score and winner."""
     p = _prepared(spark, sf_dir)
