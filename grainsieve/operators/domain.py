@@ -127,7 +127,7 @@ def products(chunks: DataFrame, company: str = "", *, content_col: str = "conten
 SCOPE_PATTERNS = {
     "region": r"(?iU)\b" + T.any_of("US", "UK", "North America", "Europe", "EU", "EMEA", "Asia", "APAC") + r"\b",
     "tier": r"(?iU)\b" + _TIERS + r"\b",
-    "version": r"(?U)\b[Vv](?:ersion)?" + r"\s*(\d+(?:\.\d+)*)\b",
+    "version": r"(?U)\b[Vv](?:ersion)?\s*(\d+(?:\.\d+)*)\b",
 }
 
 

@@ -64,7 +64,7 @@ def _near(words: str) -> str:
 _PUBLISHED = _near("support;reach us;helpdesk;contact us;call us")
 _BANK = _near("transaction;swift;routing;reference;invoice;iban;bank;account")
 _TICKET = _near("ticket;jira;issue;case")
-_PHONE = r"(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}" + r"(?:\s*(?:x|ext)\.?\s*\d+)?"
+_PHONE = r"(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}(?:\s*(?:x|ext)\.?\s*\d+)?"
 
 
 def detectors(pii_mode: str = "smart", mailboxes: list[str] = FUNCTIONAL_MAILBOXES, off: tuple[str, ...] = ()) -> list[Detector]:
@@ -81,7 +81,7 @@ def detectors(pii_mode: str = "smart", mailboxes: list[str] = FUNCTIONAL_MAILBOX
     if pii_mode != "lenient":
         known = f"not array_contains({T.array_of(sorted(mailboxes))}, lower(split_part(m.match, '@', 1)))"
         out += [
-            Detector("pii_email", "pii", r"\b[a-zA-Z0-9._%+-]+@" + r"[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "Personal email address", sentence=False, where=known if smart else "true"),
+            Detector("pii_email", "pii", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "Personal email address", sentence=False, where=known if smart else "true"),
             Detector("pii_phone", "pii", _PHONE, "Phone number", where=f"not ({_PUBLISHED}) and not ({_BANK}) and not ({_TICKET})" if smart else "true"),
         ]
         if smart:
@@ -99,11 +99,11 @@ def detectors(pii_mode: str = "smart", mailboxes: list[str] = FUNCTIONAL_MAILBOX
         Detector("editorial_revision_note", "editorial", r"(?i)" + T.any_of("previous version", "last edited", "edited by") + r"\s+(?:by\s+)?[A-Z][a-z]+", "Revision note", sentence=False),
         Detector("editorial_strikethrough", "editorial", r"~~.+?~~", "Struck out text", sentence=False),
         Detector("metadata_jira_id", "metadata_leak", r"(?i)\b" + T.any_of("TICKET", "JIRA", "ISSUE") + r"[\s-]?\d{3,}", "Ticket number", sentence=False),
-        Detector("metadata_internal_url", "metadata_leak", _URL + r"(?:[\w-]+\.)?internal" + r"\.[\w.-]+[/\w.-]*", "Internal address", sentence=False),
+        Detector("metadata_internal_url", "metadata_leak", _URL + r"(?:[\w-]+\.)?internal\.[\w.-]+[/\w.-]*", "Internal address", sentence=False),
         Detector("metadata_admin_url", "metadata_leak", _URL + T.any_of("staging", "dev", "debug", "admin") + r"\.[\w.-]+[/\w.-]*", "Address for administrators", sentence=False),
         Detector("metadata_debug_url", "metadata_leak", _URL + r"[\w.-]+/[/\w]*\?.*" + T.any_of("mode=", "verbose", "debug") + r"\w*", "Address with debug parameters", sentence=False),
-        Detector("metadata_slack_channel", "metadata_leak", r"(?i)#[a-z][\w-]*" + r"(?:-\d{4}-\d{2}(?:-\d{2})?)?", "Channel", sentence=False),
-        Detector("metadata_build_number", "metadata_leak", r"(?i)(?:release|deploy|build)\s+[\w.-]+-" + r"(?:rc|alpha|beta)\d*", "Build", sentence=False),
+        Detector("metadata_slack_channel", "metadata_leak", r"(?i)#[a-z][\w-]*(?:-\d{4}-\d{2}(?:-\d{2})?)?", "Channel", sentence=False),
+        Detector("metadata_build_number", "metadata_leak", r"(?i)(?:release|deploy|build)\s+[\w.-]+-(?:rc|alpha|beta)\d*", "Build", sentence=False),
         Detector("metadata_sprint_ref", "metadata_leak", r"(?i)Sprint\s+\d+", "Sprint", sentence=False),
         Detector("metadata_vpn_resource", "metadata_leak", r"(?i)VPN\s+required", "Resource behind a VPN", sentence=False),
         Detector("vague_claim", "vague_claim", "(?i)" + T.any_of(
@@ -114,7 +114,7 @@ def detectors(pii_mode: str = "smart", mailboxes: list[str] = FUNCTIONAL_MAILBOX
         Detector("destructive", "destructive", "(?i)" + T.any_of(
             "wipe", "reset all", "remove permanently", "purge", "format disk", "factory reset", "erase all", "drop table", "destroy", "delete", "deactivate account"), "Destructive action"),
         Detector("broken_reference", "broken_reference", "(?i)" + T.any_of(
-            r"\[(?:image|figure|diagram) .+?- " + r"(?:image )?not available\]", r"refer to (?:our |the )?\w+", "link (?:unavailable|not found|broken)", "image not available",
+            r"\[(?:image|figure|diagram) .+?- (?:image )?not available\]", r"refer to (?:our |the )?\w+", "link (?:unavailable|not found|broken)", "image not available",
             "see (?:the |our )?" + T.any_of("wiki", "page", "handbook", "guide", "documentation", "FAQ") + r"\b"), "Broken reference",
             where="not m.match rlike '(?i)^refer to (?:Table|Figure)'"),
         Detector("escalation_no_details", "escalation", "(?i)" + T.any_of(
@@ -202,14 +202,14 @@ def behavior(chunks: DataFrame, overrides: dict[str, str] | None = None, *, tag_
 _WIPE = "upper(f.evidence) rlike 'NOT FOR PUBLICATION|INTERNAL NOTE|FOR INTERNAL USE ONLY|DO NOT SHARE|CONFIDENTIAL'"
 #: Detector and what is cut out where it found something.
 INLINE = (
-    ("editorial_tracked_change", r"\[TRACKED CHANGE[^\]]*" + r"\]\.?\s*"),
+    ("editorial_tracked_change", r"\[TRACKED CHANGE[^\]]*\]\.?\s*"),
     ("editorial_html_comment", r"(?s)<!--.*?-->\s*"),
-    ("editorial_draft_marker", r"(?i)DRAFT\s+v?\d[^.]*" + r"\.?\s*"),
-    ("editorial_revision_note", r"(?i)(?:Previous version|Last edited|Edited)\s+by\s+" + r"[^.]*\.?\s*"),
-    ("editorial_strikethrough", r"~~[^~]+~~" + r"\.?\s*"),
+    ("editorial_draft_marker", r"(?i)DRAFT\s+v?\d[^.]*\.?\s*"),
+    ("editorial_revision_note", r"(?i)(?:Previous version|Last edited|Edited)\s+by\s+[^.]*\.?\s*"),
+    ("editorial_strikethrough", r"~~[^~]+~~\.?\s*"),
     ("metadata_internal_url metadata_admin_url metadata_debug_url", _URL + r"(?:[\w-]+\.)?" + T.any_of("staging", "internal", "debug", "admin") + r"\.[\w./-]*\s*"),
-    ("metadata_slack_channel", r"(?i)#[a-z][\w-]*" + r"(?:-\d{4}-\d{2}(?:-\d{2})?)?\s*"),
-    ("metadata_vpn_resource", r"(?i)\(VPN\s+required\)" + r"\s*"),
+    ("metadata_slack_channel", r"(?i)#[a-z][\w-]*(?:-\d{4}-\d{2}(?:-\d{2})?)?\s*"),
+    ("metadata_vpn_resource", r"(?i)\(VPN\s+required\)\s*"),
 )
 LEAST_WORDS = 10
 

@@ -9,11 +9,11 @@ from grainsieve.functions import text as T
 from grainsieve.functions.vocabulary import MONTH_NAMES, MONTHS
 
 YEARS = (2015, 2030)
-MONTH_YEAR = r"(?i)\b(" + MONTH_NAMES + r")\.?\s+(\d{1,2},?\s+)?" + r"(\d{4})\b"
+MONTH_YEAR = r"(?i)\b(" + MONTH_NAMES + r")\.?\s+(\d{1,2},?\s+)?(\d{4})\b"
 QUARTER = r"\bQ([1-4])\s+(\d{4})\b"
-ISO = r"\b(\d{4})[-/](\d{2})" + r"[-/](\d{2})\b"
+ISO = r"\b(\d{4})[-/](\d{2})[-/](\d{2})\b"
 PHRASE = r"(?i)\b" + T.any_of("updated", "since", r"last (?:modified|edited)", "from", "effective", "dated", "as of") + r"\s+(" + MONTH_NAMES + r"\.?\s+(?:\d{1,2},?\s+)?\d{4})\b"
-VERSION = r"\b[Vv](?:ersion)?" + r"\s*(\d+(?:\.\d+)*)\b"
+VERSION = r"\b[Vv](?:ersion)?\s*(\d+(?:\.\d+)*)\b"
 STALE_DAYS = 180
 
 

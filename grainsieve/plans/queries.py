@@ -339,20 +339,47 @@ _WORDS_OF = lambda c: f"list_filter({D.words(c, 3)}, lambda x: NOT list_contains
 _FITS = lambda x: f"({x} <> '' AND (len(w) = 0 OR list_has_any({D.words(x, 3)}, w)))"
 
 
-@query(f"""{D.WITH_HTML}, f AS (SELECT doc_id, ord, regexp_extract(m, {D.q(tables._NUMBERED)}, 1) AS figure_no, {D.cell(f"regexp_extract(m, {D.q(tables._NUMBERED)}, 2)")} AS caption,
+_FIGURES = f"""{D.WITH_HTML}, f AS (SELECT doc_id, ord, regexp_extract(m, {D.q(tables._NUMBERED)}, 1) AS figure_no, {D.cell(f"regexp_extract(m, {D.q(tables._NUMBERED)}, 2)")} AS caption,
   coalesce({D.cell(f"regexp_extract_all(before, '(?is)<h[1-6](?:{chr(92)}s[^>]*)?>(.*?)</h[1-6]>', 1)[-1]")}, '') AS heading, {D.cell('left(after, 600)')} AS after FROM {D.matches('page', 'doc_id', 'html', tables.FIGURE)}),
 g AS (SELECT *, list_distinct({_WORDS_OF('caption')}) AS w, trim(regexp_extract(after, {D.q(tables.SHOWN)}, 0)) AS a, trim(regexp_extract(after, {D.q(tables.STAGES)}, 0)) AS b FROM f),
 h AS (SELECT *, array_to_string(list_transform(list_filter({D.sentences('after')}[1:4], lambda s: list_has_any({D.words('s', 3)}, w)), lambda s: trim(s)), ' ') AS c FROM g),
-d AS (SELECT *, CASE WHEN {_FITS('a')} THEN a WHEN {_FITS('b')} THEN b WHEN c <> '' THEN c END AS description, {_FITS('a')} OR {_FITS('b')} AS sure FROM h)
-SELECT doc_id, CAST(ord AS INTEGER) AS ord, figure_no, caption, heading, CASE WHEN regexp_matches(lower(caption), 'flow|process|pipeline|sequence') THEN 'process' WHEN regexp_matches(lower(caption), 'chart|graph|trend|revenue|volume|metric') THEN 'chart' WHEN regexp_matches(lower(caption), 'diagram|structure|architecture|comparison|tier|overview') THEN 'structure' ELSE 'unknown' END AS type,
+d AS (SELECT *, CASE WHEN {_FITS('a')} THEN a WHEN {_FITS('b')} THEN b WHEN c <> '' THEN c END AS description, {_FITS('a')} OR {_FITS('b')} AS sure FROM h)"""
+_FIGURE_ROWS = f"""SELECT doc_id, CAST(ord AS INTEGER) AS ord, figure_no, caption, heading, CASE WHEN regexp_matches(lower(caption), 'flow|process|pipeline|sequence') THEN 'process' WHEN regexp_matches(lower(caption), 'chart|graph|trend|revenue|volume|metric') THEN 'chart' WHEN regexp_matches(lower(caption), 'diagram|structure|architecture|comparison|tier|overview') THEN 'structure' ELSE 'unknown' END AS type,
   description, CASE WHEN sure THEN 'high' ELSE 'low' END AS confidence, description IS NULL AS is_gap, 'Figure ' || figure_no || ': ' || caption || CASE WHEN description IS NULL THEN ' (no description)' ELSE '' END AS summary,
-  coalesce(description, 'No description available for ' || caption || '.') || CASE WHEN contains(lower(caption), 'image not available') THEN ' (Note: original image not available.)' ELSE '' END AS content FROM d""")
+  coalesce(description, 'No description available for ' || caption || '.') || CASE WHEN contains(lower(caption), 'image not available') THEN ' (Note: original image not available.)' ELSE '' END AS content FROM d"""
+
+
+@query(f"{_FIGURES} {_FIGURE_ROWS}")
 def structure_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and what the text says of them."""
     return tables.figures(kb_html(spark, sf_dir)).drop("original")
 
 
-@query()
+_HEADING_BEFORE = "coalesce(" + D.cell(f"regexp_extract_all(before, '(?is)<h[1-6](?:{chr(92)}s[^>]*)?>(.*?)</h[1-6]>', 1)[-1]") + ", '')"
+_CELLS = lambda c, tag: f"list_transform(regexp_extract_all({c}, '(?is)<{tag}(?:{chr(92)}s[^>]*)?>(.*?)</{tag}>', 1), lambda x: {D.cell('x')})"
+_TOLD = "list_filter(list_transform(range(1, len(r) + 1), lambda k: CASE WHEN lower(r[k]) IN ('', '-', 'n/a', 'none') THEN NULL WHEN coalesce(h[k], '') = '' THEN r[k] ELSE h[k] || ': ' || r[k] END), lambda x: x IS NOT NULL)"
+_FEW = "lower(array_to_string(h[1:4], ', '))"
+
+
+def _put(html: str, pattern: str, news: str) -> str:
+    """``html`` with the matches of a pattern replaced by a map from their numbers; those without stay."""
+    cut = f"string_split(regexp_replace({html}, {D.q(pattern)}, chr(1) || '{chr(92)}0' || chr(2), 'g'), chr(1))"
+    return f"array_to_string(list_transform({cut}, lambda x, i: CASE WHEN i = 1 THEN x ELSE coalesce({news}[i - 1], string_split(x, chr(2))[1]) || string_split(x, chr(2))[2] END), '')"
+
+
+@query(f"""{_FIGURES}, figure AS ({_FIGURE_ROWS}),
+tb AS (SELECT doc_id, ord, {_HEADING_BEFORE} AS heading, {_CELLS('m', 'th')} AS h, regexp_extract_all(m, '(?is)<tr(?:{chr(92)}s[^>]*)?>(.*?)</tr>', 1) AS rs FROM {D.matches('page', 'doc_id', 'html', tables.TABLE)}),
+tr AS (SELECT *, {_TOLD} AS p FROM (SELECT doc_id, ord, heading, h, i, {_CELLS('tr', 'td')} AS r FROM (SELECT doc_id, ord, heading, h, unnest(range(len(rs))) AS i, unnest(rs) AS tr FROM tb)) WHERE len(r) > 0),
+tx AS (SELECT doc_id, ord, i, CASE WHEN len(h) > 0 THEN CASE WHEN len(p) = 0 THEN NULL WHEN heading <> '' AND r[1] <> '' THEN heading || ' — ' || r[1] || ': ' || array_to_string(p[2:], '. ') || '.' WHEN heading <> '' THEN heading || ': ' || array_to_string(p, '. ') || '.' ELSE array_to_string(p, '. ') || '.' END
+    ELSE CASE WHEN heading = '' THEN '' ELSE heading || ': ' END || nullif(array_to_string(list_filter(r, lambda x: x <> ''), ', '), '') || '.' END AS x FROM tr),
+tt AS (SELECT tb.doc_id, tb.ord, '<p>' || CASE WHEN len(any_value(h)) = 0 THEN CASE WHEN any_value(heading) = '' THEN 'Table' ELSE any_value(heading) END WHEN any_value(heading) = '' THEN 'Table showing ' || any_value({_FEW}) ELSE any_value(heading) || ': ' || any_value({_FEW}) END || '.</p>'
+    || coalesce(string_agg('<p>' || x || '</p>', '' ORDER BY i), '') AS new FROM tb LEFT JOIN tx ON tx.doc_id = tb.doc_id AND tx.ord = tb.ord GROUP BY tb.doc_id, tb.ord HAVING len(any_value(h)) > 0 OR count(i) > 0),
+pl AS (SELECT doc_id, ord, {_HEADING_BEFORE} AS heading, {_CELLS('m', 'li')} AS steps, {D.cell('right(before, 300)')} AS b FROM {D.matches('page', 'doc_id', 'html', tables.LIST)}),
+pp AS (SELECT doc_id, ord, '<p>' || len(steps) || '-step procedure' || CASE WHEN heading <> '' THEN ' for ' || lower(heading) WHEN b <> '' THEN ': ' || left(b, 80) ELSE '' END || '. ' || array_to_string(list_transform(steps, lambda x, i: 'Step ' || i || ': ' || x || '.'), ' ') || '</p>' AS new FROM pl WHERE len(steps) > 0),
+mt AS (SELECT doc_id, map_from_entries(list((ord, new))) AS mt FROM tt GROUP BY doc_id), mf AS (SELECT doc_id, map_from_entries(list((ord::BIGINT, '<p>' || summary || '. ' || content || '</p>'))) AS mf FROM figure GROUP BY doc_id), mp AS (SELECT doc_id, map_from_entries(list((ord, new))) AS mp FROM pp GROUP BY doc_id),
+x1 AS (SELECT doc_id, heading, mf, mp, {_put('html', tables.TABLE, 'mt')} AS html FROM page LEFT JOIN mt USING (doc_id) LEFT JOIN mf USING (doc_id) LEFT JOIN mp USING (doc_id)),
+x2 AS (SELECT doc_id, heading, mp, {_put('html', tables.FIGURE, 'mf')} AS html FROM x1)
+SELECT doc_id, heading, {_put('html', tables.LIST, 'mp')} AS html FROM x2""")
 def structure_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with tables, figures and lists as paragraphs."""
     return tables.normalized(kb_html(spark, sf_dir))
