@@ -116,6 +116,10 @@ def _once(c: str, pattern: str, by: str, group: int = 0) -> str:
     return f"IF({c} rlike {pattern}, overlay({c} PLACING {by} FROM {start} FOR length({found})), {c})"
 
 
+_ASK = T.any_of("reach out to", "notify", "escalate to", "contact")
+_DO = T.any_of("will", "review", "process", "manage", "handle", "can", "also")
+
+
 def fix(chunks: DataFrame, ctx: Context, *, content_col: str = "content", heading_col: str = "heading", found: str = "clarity") -> DataFrame:
     """Content with sure findings repaired: acronyms expanded at their first place, pronouns and vague words replaced, references rewritten.
 
@@ -129,9 +133,9 @@ def fix(chunks: DataFrame, ctx: Context, *, content_col: str = "content", headin
     team = f"the {ctx.company_name} support team" if ctx.domain_type == "support" else f"the {ctx.company_name} team"
     named = f"coalesce('the ' || get(filter({T.array_of(ctx.actors)}, a -> contains(lower({heading_col}), a)), 0) || ' team', {T.quote(team if ctx.company_name else '')})" if ctx.actors else T.quote(team if ctx.company_name else "")
     out = out.withColumn("_who", F.expr(named))
-    ask = T.quote(r"(?i)\b" + T.any_of("reach out to", "notify", "escalate to", "contact") + r"\s+(them)\b")
+    ask = T.quote(rf"(?i)\b{_ASK}\s+(them)\b")
     begin = T.quote(r"(?m)(?:^|(?<=[.!?]\s))(They)\s")
-    mid = T.quote(r"(?i)\b(they)\s+" + T.any_of("will", "review", "process", "manage", "handle", "can", "also") + r"\b")
+    mid = T.quote(rf"(?i)\b(they)\s+{_DO}\b")
     for pattern, by in ((ask, "_who"), (begin, f"IF(_c rlike '^They', {T.first_upper('_who')}, _who)"), (mid, "_who")):
         out = out.withColumn("_c", F.expr(f"IF(_who = '', _c, {_once('_c', pattern, by, 1)})"))
     out = out.withColumn("_c", fold("vague_entity", "IF(locate(lower(f.term), lower(acc)) > 0, overlay(acc PLACING f.proposal FROM locate(lower(f.term), lower(acc)) FOR length(f.term)), acc)"))

@@ -166,7 +166,21 @@ def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(chunking.with_blocks(kb_html(spark, sf_dir), "html"), ("doc_id",), "blocks", "block", "block_no")
 
 
-@query()
+_W = lambda c: D.word_count(c)
+_MOST, _LEAST = chunking.MAX_WORDS, chunking.MIN_WORDS
+_LAST_END = f"list_filter(range(1, {_MOST}), lambda j: regexp_matches(rest[j], '[.!?]$') AND regexp_matches(rest[j + 1], '^[A-Z]'))[-1]"
+
+
+@query(f"""WITH RECURSIVE {D.WITH_HTML.removeprefix('WITH ')}, bl AS (SELECT doc_id, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS x FROM (SELECT doc_id, {_BLOCKS} AS b FROM page)), bn AS (SELECT *, {_W('x')} AS n FROM bl),
+fl(doc_id, i, g, size) AS (SELECT doc_id, i, 1::BIGINT, n FROM bn WHERE i = 1 UNION ALL SELECT bn.doc_id, bn.i, CASE WHEN size > 0 AND size + n > {_MOST} THEN g + 1 ELSE g END, CASE WHEN size > 0 AND size + n > {_MOST} THEN n ELSE size + n END FROM fl JOIN bn ON bn.doc_id = fl.doc_id AND bn.i = fl.i + 1),
+fd AS (SELECT doc_id, g, trim(string_agg(x, ' ' ORDER BY i)) AS x FROM fl JOIN bn USING (doc_id, i) GROUP BY ALL),
+cut(doc_id, g, k, piece, rest) AS (SELECT doc_id, g, 0::BIGINT, NULL::VARCHAR, {D.parts('x', T.SPACE + '+')} FROM fd
+  UNION ALL SELECT doc_id, g, k + 1, array_to_string(rest[1:n], ' '), rest[n + 1:] FROM (SELECT *, CASE WHEN len(rest) <= {_MOST} THEN len(rest) WHEN coalesce(length(array_to_string(rest[1:j], ' ')) > 0.3 * length(array_to_string(rest[1:{_MOST}], ' ')), false) THEN j ELSE {_MOST} END AS n
+    FROM (SELECT *, CASE WHEN len(rest) > {_MOST} THEN {_LAST_END} END AS j FROM cut WHERE len(rest) > 0))),
+pc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, k) AS i, piece AS x, {_W('piece')} AS n FROM cut WHERE k > 0),
+mg(doc_id, i, m, size) AS (SELECT doc_id, i, 1::BIGINT, n FROM pc WHERE i = 1 UNION ALL SELECT pc.doc_id, pc.i, CASE WHEN size < {_LEAST} AND size + n <= 1.2 * {_MOST} THEN m ELSE m + 1 END, CASE WHEN size < {_LEAST} AND size + n <= 1.2 * {_MOST} THEN size + n ELSE n END FROM mg JOIN pc ON pc.doc_id = mg.doc_id AND pc.i = mg.i + 1),
+ck AS (SELECT doc_id, m, string_agg(x, ' ' ORDER BY i) AS content FROM mg JOIN pc USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, m::INTEGER AS chunk_no, '' AS heading, content, {_W('content')}::INTEGER AS words FROM ck WHERE {_W('content')} >= 3""")
 def chunk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive chunks."""
     return chunking.raw_chunks(kb_html(spark, sf_dir), text_col="html")
@@ -468,7 +482,22 @@ def clarity_long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("term").alias("sentence"))
 
 
-@query()
+_LIST_OF = lambda issue: f"coalesce(list(term || chr(1) || proposal ORDER BY ord) FILTER (WHERE issue = '{issue}'), [])"
+_FOLD = lambda c, fs, step: f"list_reduce(list_concat([{c}], {fs}), lambda acc, f: {step})"
+_TERM, _PROPOSAL = "string_split(f, chr(1))[1]", "string_split(f, chr(1))[2]"
+_OVERLAY = lambda at: f"CASE WHEN {at} > 0 THEN left(acc, {at} - 1) || {_PROPOSAL} || substr(acc, {at} + length({_TERM})) ELSE acc END"
+
+
+@query(f"""{_CLARITY}, fx AS (SELECT doc_id, {_LIST_OF('acronym')} AS fa, {_LIST_OF('vague_entity')} AS fv, {_LIST_OF('reference')} AS fr FROM every WHERE confident AND proposal <> '' GROUP BY doc_id),
+c0 AS (SELECT doc_id, content, coalesce(fa, []) AS fa, coalesce(fv, []) AS fv, coalesce(fr, []) AS fr, coalesce('the ' || list_filter({D.items(_CTX.actors)}, lambda a: contains(lower(heading), a))[1] || ' team', 'the Acme support team') AS who FROM kb LEFT JOIN fx USING (doc_id)),
+c1 AS (SELECT * REPLACE ({_FOLD('content', 'fa', f"regexp_replace(acc, '{chr(92)}b' || {_TERM} || '{chr(92)}b', {_PROPOSAL})")} AS fa), content AS old FROM (SELECT doc_id, content, fa::VARCHAR[] AS fa, fv::VARCHAR[] AS fv, fr::VARCHAR[] AS fr, who FROM c0)),
+c2 AS (SELECT doc_id, old, fv, fr, who, regexp_replace(fa, {D.q(f"(?i)({chr(92)}b{clarity._ASK}{chr(92)}s+)them{chr(92)}b")}, '{chr(92)}1' || who) AS c FROM c1),
+c3 AS (SELECT * REPLACE (regexp_replace(c, '(?m)(^|[.!?]{chr(92)}s)They({chr(92)}s)', '{chr(92)}1' || CASE WHEN starts_with(c, 'They') THEN upper(left(who, 1)) || substr(who, 2) ELSE who END || '{chr(92)}2') AS c) FROM c2),
+c4 AS (SELECT * REPLACE (regexp_replace(c, {D.q(f"(?i){chr(92)}bthey({chr(92)}s+{clarity._DO}{chr(92)}b)")}, who || '{chr(92)}1') AS c) FROM c3),
+c5 AS (SELECT * REPLACE ({_FOLD('c', 'fv', _OVERLAY(f"strpos(lower(acc), lower({_TERM}))"))} AS c) FROM c4),
+c6 AS (SELECT * REPLACE ({_FOLD('c', 'fr', _OVERLAY(f"strpos(acc, {_TERM})"))} AS c) FROM c5),
+c7 AS (SELECT doc_id, c <> old AS clarity_fixed, CASE WHEN c <> old THEN {D.sub('trim(' + D.sub('c', T.SPACE + '{2,}', ' ') + ')', chr(92) + '.' + chr(92) + 's*' + chr(92) + '.', '.')} ELSE old END AS content FROM c6)
+SELECT doc_id, content, {D.word_count('content')}::INTEGER AS words, clarity_fixed FROM c7""")
 def clarity_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after repair."""
     return clarity.fix(clarity.with_findings(kb(spark, sf_dir), _CTX), _CTX).select("doc_id", "content", "words", "clarity_fixed")
