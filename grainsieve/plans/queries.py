@@ -17,6 +17,7 @@ from grainsieve.functions.vocabulary import COMMON, COMMON_CONTENT, COMMON_CORPU
 from grainsieve.operators import chunking, clarity, consistency, domain, evaluation, governance, structure, tables, temporal
 from grainsieve.plans import duck as D
 from grainsieve.plans.corpus import kb, kb_html
+from grainsieve.plans.engine import kept
 
 TODAY = "2026-01-01"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -576,7 +577,7 @@ SELECT a, b, conflict, evidence_a, evidence_b, rationale, CASE WHEN fresh <> ''
   CASE WHEN fresh <> '' THEN 'newer' WHEN auth <> '' THEN 'priority author' WHEN head <> '' THEN 'more specific heading' ELSE '' END AS reason FROM s""")
 def consistency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contradictions with their score and winner."""
-    p = _prepared(spark, sf_dir)
+    p = kept(_prepared(spark, sf_dir), "prepared")  # both sides of each pair, evidence and scores read it
     return consistency.scored(consistency.conflicts(p, consistency.candidate_pairs(p)), p, priority_authors=["Ann"])
 
 
