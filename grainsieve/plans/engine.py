@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,10 @@ class Result:
     context: Context
     findings: dict[str, DataFrame]
     stats: DataFrame
+    #: (module_id, name, value): what else a module counted
+    measures: DataFrame
+    #: (module_id, change_type, reason, token_count): words that a module added to or removed from a chunk or document
+    changes: DataFrame
 
 
 def _folder(spark: SparkSession) -> str:
@@ -128,11 +133,24 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
     parts = {k: kept(v, k) for k, v in parts.items()}
     found["A12"] = tables.extracted(parts)
     count("A12", found["A12"], F.count("*"), F.count_if(~F.col("is_gap")))
+    measures: list[DataFrame] = []
+    changes: list[DataFrame] = []
+
+    def measure(module: str, row: DataFrame) -> None:
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("value")) for n in row.columns])).alias("m")
+        measures.append(row.select(pairs).select(F.lit(module).alias("module_id"), "m.name", "m.value"))
+
+    def changed(module: str, rows: DataFrame, kind: str, reason: str, tokens: str) -> None:
+        changes.append(rows.select(F.lit(module).alias("module_id"), F.lit(kind).alias("change_type"), F.expr(reason).alias("reason"), F.expr(f"CAST({tokens} AS bigint)").alias("token_count")).where("token_count > 0"))
+
+    changed("A12", found["A12"], "added", "kind", "words_added")
     html = tables.normalized(pages, id_col="doc_no", parts=parts)
     named = structure.named_sections(html, id_col="doc_no")
     named = kept(models.headings(named, c.model) if c.model else named, "sections")
     found["A13"] = named.where("heading_source <> 'original'")
     count("A13", named, F.count_if(F.expr(f"words >= {structure.LEAST_WORDS} AND (is_orphan OR is_generic)")), F.count_if(F.col("heading_source") != "original"))
+    measure("A13", structure.summary(named).select("words_in", "words_out"))
+    changed("A13", found["A13"], "added", "'heading'", T.word_count("new_heading"))
     whole = named.groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct("section_no", F.col("new_heading").alias("heading"), "content"))).alias("sections"))
     chunks = chunking.smart_chunks(whole, id_col="doc_no", least=c.least_words, most=c.most_words, threshold=c.topic_shift)
     meta = docs.select("doc_no", "doc_id", "title", F.expr("metadata['last_modified']").alias("last_modified"), F.expr("metadata['author']").alias("author"))
@@ -140,13 +158,17 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
     if 2 in c.phases:
         chunks = kept(temporal.flag_stale(temporal.enrich(chunks, c.today, stale_days=c.freshness_days)), "dated")
         count("A22", chunks, F.count_if("is_stale"), F.lit(0))
+        measure("A22", temporal.summary(chunks))
     if 3 in c.phases:
         chunks = clarity.with_findings(chunks, ctx)
         if c.model:
             chunks = models.rewritten_sentences(kept(models.resolved_terms(chunks, ctx, c.model), "resolved"), c.model)
         chunks = kept(chunks, "clarity")
         found["A30"] = chunks.select("doc_id", "chunk_no", "chunk", F.explode("clarity").alias("f")).select("doc_id", "chunk_no", "chunk", "f.*")
-        chunks = kept(clarity.fix(chunks, ctx), "clear").drop("clarity")
+        chunks = kept(clarity.fix(chunks.withColumn("_before", F.expr(T.word_count("content"))), ctx), "clear").drop("clarity")
+        changed("A30", chunks.where("clarity_fixed"), "added", "'clarity'", "words - _before")
+        changed("A30", chunks.where("clarity_fixed"), "removed", "'clarity'", "_before - words")
+        chunks = chunks.drop("_before")
         count("A30", found["A30"], F.count("*"), F.count_if(F.expr("confident AND proposal <> ''")))
         chunks = kept(governance.with_findings(chunks, governance.detectors(c.pii_mode, off=c.detectors_off)), "found")
         if "destructive" not in c.detectors_off:
@@ -160,21 +182,25 @@ def analyze(spark: SparkSession, data, config: Config | None = None) -> Result:
         if c.model:
             chunks = models.remediated(chunks, c.model, domain=ctx.domain_type)
         chunks = kept(governance.custom_rules(governance.clean(chunks), c.custom_rules), "clean").drop("findings")
+        changed("A31", chunks.where("changed"), "removed", "IF(content = '', 'whole chunk', 'sentences')", "words_before - words")
+        measure("A31", chunks.agg(F.count_if("changed").alias("chunks_cleaned"), F.count_if(F.expr("changed AND content = ''")).alias("chunks_removed")))
         fixed = "changed OR remediated" if "remediated" in chunks.columns else "changed"
         stats.append(found["A31"].agg(F.lit("A31").alias("module_id"), F.count("*").alias("detected")).crossJoin(F.broadcast(chunks.agg(F.count_if(F.expr(f"coalesce({fixed}, false)")).alias("resolved")))))  # one row each
         ready = kept(consistency.prepared(chunks, ctx.actors, ctx.scopes), "prepared")
-        conflicts = consistency.conflicts(ready, consistency.candidate_pairs(ready))
+        compared = kept(consistency.candidate_pairs(ready), "compared")
+        measure("A32", compared.agg(F.count("*").alias("pairs_evaluated")).crossJoin(F.broadcast(ready.agg(F.count("*").alias("total_chunks")))))  # one row each
+        conflicts = consistency.conflicts(ready, compared)
         scored = consistency.scored(conflicts, ready, priority_authors=list(c.priority_authors))
         found["A32"] = kept(models.judged_conflicts(scored, c.model, domain=ctx.domain_type) if c.model else scored, "conflicts")
         chunks = kept(consistency.resolve(ready, found["A32"], threshold=c.resolve_from), "resolved")
         count("A32", found["A32"], F.count("*"), F.count_if(F.expr(f"score >= {c.resolve_from} AND winner <> ''")))
+        both = chunks.select("chunk", "auto_resolved", F.expr(T.word_count("content")).alias("_now")).join(ready.select("chunk", F.expr(T.word_count("content")).alias("_before")), "chunk")
+        changed("A32", both.where("auto_resolved"), "removed", "'contradiction'", "_before - _now")
         resolved, chunks = chunks, rechunked(chunks, c)
         found["A32"] = kept(carried(found["A32"], resolved, chunks), "carried")
     out = governance.behavior(chunks, c.tag_behavior)
-    total = stats[0]
-    for s in stats[1:]:
-        total = total.unionByName(s)
-    return Result(kept(out, "final"), raw, ctx, found, total)
+    joined = lambda parts: reduce(DataFrame.unionByName, parts)
+    return Result(kept(out, "final"), raw, ctx, found, joined(stats), joined(measures), joined(changes))
 
 
 def rechunked(chunks: DataFrame, c: Config) -> DataFrame:

@@ -108,6 +108,10 @@ def test_run_with_a_model(spark, docs):
     out = engine.evaluate(r, engine.Config(embedder=lambda ts: [[float(len(t)), 1.0] for t in ts]))
     assert "embedding" not in out["pairs"].columns and out["pairs"].count() > 0
     assert {x.source for x in out["by_source"].collect()} >= {"topic", "governance"}
+    measured = {(m.module_id, m.name): m.value for m in r.measures.collect()}
+    assert measured["A32", "total_chunks"] > 0 and measured["A32", "pairs_evaluated"] > 0 and measured["A13", "words_out"] > measured["A13", "words_in"] > 0 and ("A22", "total_dates") in measured
+    tokens = {(t.change_type, t.reason): t.tokens for t in evaluation.token_accounting(r.changes).collect()}
+    assert tokens["added", "table"] > 0 and tokens["added", "heading"] > 0 and tokens[None, None] == sum(t.token_count for t in r.changes.collect())
     left = {x.module_id: x.pending for x in engine.issues(r, {"A31": 10_000}).collect()}
     assert left["A31"] == 0 and left["A12"] == 0
 

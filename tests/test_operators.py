@@ -202,3 +202,29 @@ def test_matches_of_long_texts(spark):
     text = "".join(rng.choice(parts, 400))
     got, want = (one(spark, f"transform({T.matches('t', 'TODO', whole=w)}, m -> struct({T.evidence('m')} AS e, right(m.before, 100) AS b, left(m.after, 100) AS a))", t=text) for w in (False, True))
     assert len(want) > 50 and got == want
+
+
+def test_reports(spark, tmp_path):
+    scores = spark.createDataFrame([("a", "baseline", 0.2), ("a", "processed", 0.5), ("a", "processed", 0.7), ("b", "baseline", 0.4)], "category string, pool string, score double")
+    got = {r.category: (r.baseline, r.processed, r.delta) for r in evaluation.compared(scores).collect()}
+    assert [round(x, 9) for x in got["a"]] == [0.2, 0.6, 0.4] and got["b"] == (0.4, None, None)
+    stats = spark.createDataFrame([("A30", 9, 4, 2), ("A31", 3, 3, None), ("A32", 1, 0, 5)], "module_id string, detected long, resolved long, confirmed long")
+    assert {r.module_id: (r.auto, r.user, r.pending) for r in evaluation.module_issues(stats).collect()} == {"A30": (4, 2, 3), "A31": (3, 0, 0), "A32": (0, 5, 0)}
+    changes = spark.createDataFrame([("added", "table", 3), ("added", "table", 4), ("removed", "pii", 5)], "change_type string, reason string, token_count long")
+    assert {(r.change_type, r.reason): (r.tokens, r.changes) for r in evaluation.token_accounting(changes).collect()} == {("added", "table"): (7, 2), ("removed", "pii"): (5, 1), ("added", None): (7, 2), ("removed", None): (5, 1), (None, None): (12, 3)}
+    for name in ("figure1_x.png", "figure_2_y.jpg", "fig3_z.gif", "other4_q.png", "fig_5.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    from grainsieve.sources import files
+
+    assert {(r.figure_no, bytes(r.content)) for r in files.figure_images(spark, str(tmp_path)).collect()} == {("1", b"figure1_x.png"), ("2", b"figure_2_y.jpg"), ("3", b"fig3_z.gif")}
+
+
+def test_previews_and_remediation(spark):
+    df = chunks(spark, "short", "x" * 900, None)
+    assert {r.doc_id: r.part for r in domain.sampled(df, most=2000).collect()} == {1: "short", 2: "x" * 900, 3: None}
+    small = {r.doc_id: r.part for r in domain.sampled(df, most=300).collect()}
+    assert small[1] == "short" and 200 < len(small[2]) <= 500
+    tail = " These ten words stay here because nothing is wrong with them."
+    tagged = governance.with_findings(chunks(spark, "TODO fill in." + tail, "TODO x.", "Delete it." + tail)).withColumn("tag", F.expr("IF(doc_id = 3, 'destructive', 'placeholder')"))
+    got = {r.doc_id: (r.remediated, r.content) for r in governance.remediate(tagged).collect()}
+    assert got == {1: (True, tail.strip()), 2: (False, "TODO x."), 3: (False, "Delete it." + tail)}
