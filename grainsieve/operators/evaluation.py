@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +102,113 @@ def bm25(asked: DataFrame, chunks: DataFrame, *, question_id: str = "question_id
     return _best(scores, question_id, key, k)
 
 
+#: Values and rows that a block of vectors has at most.
+BLOCK_VALUES, BLOCK_ROWS = 1 << 18, 4096
+_VOID, _NAN = -(1 << 62), 1 << 62  # levels of null and NaN, which come last and first
+
+
+def _blocks(df: DataFrame, key: str, vector_col: str) -> DataFrame:
+    """Rows with a vector, many to a row and each partition in the order of ``key``: keys, lengths (-1 - length where an element is null), values, norms."""
+    rows = df.where(F.col(vector_col).isNotNull()).select(F.col(key).alias("key"), F.expr(f"transform({vector_col}, x -> CAST(x AS double))").alias("v")).sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, v = batch.column(0), batch.column(1)
+            sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends = v.flatten(), np.cumsum(sizes)
+            void = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+            values = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(sizes):
+                start = int(ends[at] - sizes[at])
+                stop = min(max(at + 1, int(np.searchsorted(ends, start + BLOCK_VALUES, "right"))), at + BLOCK_ROWS)
+                size, x = sizes[at:stop], values[start : int(ends[stop - 1])]
+                has_null = void[ends[at:stop]] > void[ends[at:stop] - size]
+                norms = np.ones(len(size))
+                for d in np.unique(size):
+                    own = np.flatnonzero((size == d) & ~has_null)
+                    norms[own] = np.sqrt(_in_order(m := _matrix(x, size, own), m))
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                yield pa.RecordBatch.from_arrays([one(keys.slice(at, stop - at)), one(pa.array(np.where(has_null, -1 - size, size))), pa.array([x.tobytes()], pa.binary()), one(pa.array(norms))], names=["keys", "sizes", "v", "norms"])
+                at = stop
+
+    return rows.mapInArrow(run, f"keys array<{rows.schema[0].dataType.simpleString()}>, sizes array<bigint>, v binary, norms array<double>")
+
+
+def _matrix(values: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Vectors of one size among those that lie one behind the other."""
+    d = int(sizes[rows[0]]) if len(rows) else 0
+    if len(rows) == len(sizes):
+        return values.reshape(len(rows), d)
+    return values[(np.cumsum(sizes) - sizes)[rows][:, None] + np.arange(d)]
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first element on, so that the last bit is always the same."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _nearest(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each question of a block the k best of a block of chunks: question, chunk, score in millionths."""
+    (qs, qv, qn), (cs, cv, cn) = q, c
+    s = np.full((len(qs), len(cs)), -np.inf)
+    held = {}
+    with np.errstate(all="ignore"):
+        for d in np.intersect1d(qs[qs >= 0], cs[cs >= 0]):
+            i, j = np.flatnonzero(qs == d), np.flatnonzero(cs == d)
+            x, y = _matrix(qv, np.where(qs < 0, -1 - qs, qs), i), _matrix(cv, np.where(cs < 0, -1 - cs, cs), j)
+            near = (x / qn[i, None]) @ (y / cn[j, None]).T
+            held[int(d)] = (i, j, x, y)
+            if near.shape == s.shape:
+                s = near
+            else:
+                s[np.ix_(i, j)] = near
+    s[qn == 0] = 0
+    s[:, cn == 0] = 0
+    if np.isnan(s.sum()):
+        s[np.isnan(s)] = np.inf
+    least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+    r, j = np.nonzero(s >= least[:, None] - 2e-6)  # all that may round to the k best
+    v = s[r, j]
+    far = np.where(np.isfinite(v), np.abs(v) * 1e6, 0)
+    level = np.where(np.isfinite(v), np.sign(v) * np.floor(far + 0.5), 0).astype(np.int64)
+    level[v == np.inf], level[v == -np.inf] = _NAN, _VOID
+    # next to a border between two roundings the sum is made again, in order
+    for at in np.flatnonzero(np.abs(far - np.floor(far) - 0.5) < 1e-3):
+        gi, gj, x, y = held[int(qs[r[at]])]
+        dot = _in_order(x[np.searchsorted(gi, r[at])][None], y[np.searchsorted(gj, j[at])][None])[0]
+        level[at] = int(Decimal(repr(float(dot / (qn[r[at]] * cn[j[at]])))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    order = np.lexsort((j, -level, r))
+    r, j, level = r[order], j[order], level[order]
+    kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[kept], j[kept], level[kept]
+
+
 def cosine(asked: DataFrame, chunks: DataFrame, *, question_id: str = "question_id", key: str = "chunk", vector_col: str = "embedding", k: int = 3) -> DataFrame:
-    """(question_id, chunk, score, rank): the k best chunks by cosine of all with a vector; exact, every question against every chunk."""
-    norm = lambda v: f"sqrt(aggregate({v}, 0D, (s, x) -> s + CAST(x AS double) * x))"
-    q = asked.where(f"{vector_col} IS NOT NULL").select(question_id, F.col(vector_col).alias("q"), F.expr(norm(vector_col)).alias("nq"))
-    c = chunks.where(f"{vector_col} IS NOT NULL").select(key, F.col(vector_col).alias("c"), F.expr(norm(vector_col)).alias("nc"))
-    dot = "aggregate(zip_with(q, c, (x, y) -> CAST(x AS double) * y), 0D, (s, x) -> s + x)"
-    scores = q.crossJoin(c).select(question_id, key, F.expr(f"round(IF(nq = 0 OR nc = 0, 0D, {dot} / (nq * nc)), 6)").alias("score"))
-    return _best(scores, question_id, key, k)
+    """(question_id, chunk, score, rank): the k best chunks by cosine of all with a vector; exact, every question against every chunk.
+
+    Blocks of questions meet blocks of chunks as products of matrices; a task holds one of each and passes on the k best. Vectors
+    of different lengths, or with a null in them, have no score and come last; a vector of zeros has 0.
+    """
+    q, c = _blocks(asked, question_id, vector_col), _blocks(chunks, key, vector_col)
+    kinds = [x.schema["keys"].dataType.elementType for x in (q, c)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                sides = [(batch.column(o + 1)[n].values.to_numpy(), np.frombuffer(batch.column(o + 2)[n].as_buffer()), batch.column(o + 3)[n].values.to_numpy()) for o in (0, 4)]
+                i, j, level = _nearest(*sides, k)
+                score = np.where(level == _NAN, np.nan, level / 1e6)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[n].values.take(pa.array(i)), batch.column(4)[n].values.take(pa.array(j)), pa.array(score, mask=level == _VOID)], names=["q", "c", "score"])
+
+    # every task reads all questions and its share of chunks; the blocks are shuffled, so that they are made once
+    tasks = 2 * chunks.sparkSession.sparkContext.defaultParallelism
+    pairs = q.repartition(1).toDF("qk", "qs", "qv", "qn").crossJoin(c.repartition(tasks).toDF("ck", "cs", "cv", "cn"))
+    out = pairs.mapInArrow(run, f"q {kinds[0].simpleString()}, c {kinds[1].simpleString()}, score double")
+    return _best(out.select(F.col("q").alias(question_id), F.col("c").alias(key), "score"), question_id, key, k)
 
 
 def _best(scores: DataFrame, question_id: str, key: str, k: int) -> DataFrame:

@@ -228,3 +228,18 @@ def test_previews_and_remediation(spark):
     tagged = governance.with_findings(chunks(spark, "TODO fill in." + tail, "TODO x.", "Delete it." + tail)).withColumn("tag", F.expr("IF(doc_id = 3, 'destructive', 'placeholder')"))
     got = {r.doc_id: (r.remediated, r.content) for r in governance.remediate(tagged).collect()}
     assert got == {1: (True, tail.strip()), 2: (False, "TODO x."), 3: (False, "Delete it." + tail)}
+
+
+def test_cosine_by_blocks_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "BLOCK_ROWS", 7)
+    odd = [(None, [1.0, 2.0]), (90, None), (91, [0.0, 0.0]), (92, [1.0, None]), (93, [1.0]), (94, []), (95, [float("nan"), 1.0])]
+    v = spark.createDataFrame([(i, [float(i % 5 - 2), float(i % 3 - 1)]) for i in range(60)] + odd, "chunk long, embedding array<double>")
+    got = evaluation.cosine(v.withColumnRenamed("chunk", "question_id"), v, k=20)
+    # blocks meet, not pairs of rows
+    assert "zip_with" not in got._jdf.queryExecution().toString()
+    v.createOrReplaceTempView("odd_vectors")
+    norm = "sqrt(aggregate({0}.embedding, 0D, (s, x) -> s + x * x))"
+    dot = "aggregate(zip_with(q.embedding, c.embedding, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    want = spark.sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk) AS rank FROM (SELECT q.chunk AS question_id, c.chunk,
+        round(IF({norm.format('q')} = 0 OR {norm.format('c')} = 0, 0D, {dot} / ({norm.format('q')} * {norm.format('c')})), 6) AS score FROM odd_vectors q CROSS JOIN odd_vectors c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL)) WHERE rank <= 20""")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
