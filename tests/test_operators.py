@@ -243,3 +243,14 @@ def test_cosine_by_blocks_of_odd_vectors(spark, monkeypatch):
     want = spark.sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk) AS rank FROM (SELECT q.chunk AS question_id, c.chunk,
         round(IF({norm.format('q')} = 0 OR {norm.format('c')} = 0, 0D, {dot} / ({norm.format('q')} * {norm.format('c')})), 6) AS score FROM odd_vectors q CROSS JOIN odd_vectors c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL)) WHERE rank <= 20""")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_content_words_are_counted_within_rows(spark):
+    texts = [(1, "beta alpha beta Über word𝒜 gamma gamma delta delta delta epsi zeta"), (2, None), (3, ""), (4, "with with lone"), (5, "alpha beta"), (5, "beta gamma beta"), (None, "none none"), (None, "none")]
+    df = spark.createDataFrame(texts, "chunk long, content string")
+    got = consistency.content_words(df)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # in the row, not by a shuffle of all words
+    assert sorted(map(repr, ((r.chunk, r["rank"], r.word) for r in got.collect()))) == sorted(map(repr, [
+        (1, 1, "delta"), (1, 2, "beta"), (1, 3, "gamma"), (1, 4, "alpha"), (1, 5, "epsi"), (4, 1, "lone"), (5, 1, "beta"), (5, 2, "alpha"), (5, 3, "gamma"), (None, 1, "none")]))
+    assert one(spark, T.squeeze("t"), t=" a  b  c \t d\n") == "a b c d" and one(spark, T.word_count("t"), t="  x\n\ny ") == 2
+    assert one(spark, T.words("t", 4), t="𝒜word word𝒜 word😀word wordé x-word\nword") == ["word", "word", "word", "word"]
