@@ -254,3 +254,11 @@ def test_content_words_are_counted_within_rows(spark):
         (1, 1, "delta"), (1, 2, "beta"), (1, 3, "gamma"), (1, 4, "alpha"), (1, 5, "epsi"), (4, 1, "lone"), (5, 1, "beta"), (5, 2, "alpha"), (5, 3, "gamma"), (None, 1, "none")]))
     assert one(spark, T.squeeze("t"), t=" a  b  c \t d\n") == "a b c d" and one(spark, T.word_count("t"), t="  x\n\ny ") == 2
     assert one(spark, T.words("t", 4), t="𝒜word word𝒜 word😀word wordé x-word\nword") == ["word", "word", "word", "word"]
+
+
+def test_pairs_make_topic_keys_once(spark):
+    df = spark.createDataFrame([(10 * i, "", f"alpha topic{'abc'[i % 3] * 3} {'lone' + chr(97 + i)}") for i in range(24)] + [(None, "", "topicaaa")], "chunk long, heading string, content string")
+    got = consistency.candidate_pairs(df)
+    assert got._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    # alpha is in 24 chunks, which is too many
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((10 * i, 10 * j) for i in range(24) for j in range(i + 1, 24) if (j - i) % 3 == 0)
