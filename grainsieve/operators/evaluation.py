@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -87,19 +88,75 @@ def coverage(asked: DataFrame) -> DataFrame:
     return asked.rollup("source", "behavior").agg(F.count("*").alias("questions"), F.countDistinct("chunk").alias("chunks"))
 
 
+#: Characters that a block of texts has at most, and rows of it: questions, chunks.
+BLOCK_CHARS, BLOCK_QUESTIONS, BLOCK_CHUNKS = 1 << 20, 2048, 512
+
+
+def _word_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of a key and its words, divided by blanks, many to a row: keys in order, numbers of words, and (row, word, times) of each different word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(size):
+                stop = min(max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_CHARS, "right"))), at + most)
+                block = batch.slice(at, stop - at)
+                block = block.take(pc.sort_indices(block.column(0), null_placement="at_start"))
+                each = [Counter((t.as_py() or "").split()) for t in block.column(1)]
+                one = lambda x, kind: pa.array([x], pa.list_(kind))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), block.column(0)), one([n.total() for n in each], pa.int64()), one(np.repeat(np.arange(len(each)), [len(n) for n in each]), pa.int64()), one([w for n in each for w in n], pa.string()), one([f for n in each for f in n.values()], pa.int64())], names=["keys", "lengths", "at", "words", "times"])
+                at = stop
+
+    return rows.mapInArrow(run, f"keys array<{rows.schema[0].dataType.simpleString()}>, lengths array<bigint>, at array<bigint>, words array<string>, times array<bigint>")
+
+
 def bm25(asked: DataFrame, chunks: DataFrame, *, question_id: str = "question_id", question_col: str = "question", key: str = "chunk", content_col: str = "content", k: int = 3, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(question_id, chunk, score, rank): the k best chunks of each question by term saturation, without inverse document frequency.
 
-    Terms are joined as postings, so that a chunk is only scored for questions it shares a word with; a question
-    with fewer such chunks has fewer rows. Ties go to the smaller key.
+    A chunk is only scored for questions it shares a word with; a question with fewer such chunks has fewer rows. Ties go to
+    the smaller key. Blocks of questions meet blocks of chunks and the k best of each are passed on, so that neither words nor
+    scores are shuffled. Rows of one key are one chunk; where keys repeat, their words alone are joined as postings.
     """
-    terms = elements(asked, (question_id,), f"array_distinct({T.words(question_col, 2)})", "term")
-    counted = chunks.select(key, F.expr(T.words(content_col, 2)).alias("w")).select(key, "w", F.size("w").alias("dl"))
-    mean = counted.agg(F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    postings = elements(counted, (key, "dl"), "w", "term").join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("f"))
+    terms = elements(asked, (question_id,), f"array_distinct({T.words(question_col, 2)})", "term").distinct()
+    counted = chunks.select(key, F.expr(T.words(content_col, 2)).alias("w"))
+    mean = counted.agg(F.greatest(F.avg(F.size("w")), F.lit(1.0)).alias("avgdl"))  # one row
+    repeated = F.broadcast(chunks.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_k"))  # ids, as a rule none
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    q = _word_blocks(terms.groupBy(F.col(question_id).alias("key")).agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("w")).repartition(1), BLOCK_QUESTIONS)
+    c = _word_blocks(chunks.join(repeated, same, "left_anti").select(F.col(key).alias("key"), F.expr(f"array_join({T.words(content_col, 2)}, ' ')").alias("w")), BLOCK_CHUNKS)
+    kinds = [x.schema["keys"].dataType.elementType for x in (q, c)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                ck, cl, ca, cw, cf, qk, _, qa, qw, _ = (batch.column(o)[n].values for o in range(10))
+                number = {w: i for i, w in enumerate(sorted(set(qw.to_pylist())))}
+                term = np.fromiter((number.get(w, -1) for w in cw.to_pylist()), np.int64, len(cw))
+                hit = np.flatnonzero(term >= 0)
+                hit = hit[np.lexsort((term[hit], ca.to_numpy()[hit]))]  # terms are added in one order everywhere
+                at, f = ca.to_numpy()[hit], cf.to_numpy()[hit].astype(float)
+                part = f * (k1 + 1) / (f + k1 * ((1 - b) + b * cl.to_numpy()[at] / batch.column(10)[n].as_py()))
+                # the questions of each term, one behind the other
+                of = np.fromiter((number[w] for w in qw.to_pylist()), np.int64, len(qw))
+                order = np.argsort(of, kind="stable")
+                asks, first = qa.to_numpy()[order], np.searchsorted(of[order], np.arange(len(number) + 1))
+                many = (first[1:] - first[:-1])[term[hit]]
+                each = np.repeat(first[term[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                s = np.bincount(asks[each] * len(ck) + np.repeat(at, many), np.repeat(part, many), len(qk) * len(ck)).reshape(len(qk), len(ck))
+                s = np.where(s > 0, s, -np.inf)
+                i, j, level = _best_of_block(s, k, lambda x, y: float(s[x, y]))
+                some = level != _VOID
+                yield pa.RecordBatch.from_arrays([qk.take(pa.array(i[some])), ck.take(pa.array(j[some])), pa.array(level[some] / 1e6)], names=["q", "c", "score"])
+
+    names = ["keys", "lengths", "at", "words", "times"]
+    pairs = c.toDF(*(f"c{x}" for x in names)).crossJoin(q.toDF(*(f"q{x}" for x in names))).crossJoin(F.broadcast(mean))
+    out = pairs.mapInArrow(run, f"q {kinds[0].simpleString()}, c {kinds[1].simpleString()}, score double").select(F.col("q").alias(question_id), F.col("c").alias(key), "score")
+    again = chunks.join(repeated, same, "left_semi").select(key, F.expr(T.words(content_col, 2)).alias("w")).select(key, "w", F.size("w").alias("dl"))
+    postings = elements(again, (key, "dl"), "w", "term").groupBy(key, "dl", "term").agg(F.count("*").alias("f"))
     part = f"f * {k1 + 1}D / (f + {k1}D * ({1 - b}D + {b}D * dl / avgdl))"
-    scores = terms.join(postings, "term").crossJoin(F.broadcast(mean)).groupBy(question_id, key).agg(F.round(F.sum(F.expr(part)), 6).alias("score"))  # one row
-    return _best(scores, question_id, key, k)
+    scores = terms.join(postings, "term").crossJoin(F.broadcast(mean)).groupBy(question_id, key).agg(F.round(F.sum(F.expr(part)), 6).alias("score"))
+    return _best(out.unionByName(scores), question_id, key, k)
 
 
 #: Values and rows that a block of vectors has at most.
@@ -170,17 +227,24 @@ def _nearest(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int) -> tu
     s[:, cn == 0] = 0
     if np.isnan(s.sum()):
         s[np.isnan(s)] = np.inf
+
+    def again(r: int, j: int) -> float:
+        gi, gj, x, y = held[int(qs[r])]
+        return float(_in_order(x[np.searchsorted(gi, r)][None], y[np.searchsorted(gj, j)][None])[0] / (qn[r] * cn[j]))
+
+    return _best_of_block(s, k, again)
+
+
+def _best_of_block(s: np.ndarray, k: int, again: Callable[[int, int], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row of scores, by the rounded score and then the place: row, column, score in millionths; ``again`` is asked next to a border between two roundings."""
     least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
     r, j = np.nonzero(s >= least[:, None] - 2e-6)  # all that may round to the k best
     v = s[r, j]
     far = np.where(np.isfinite(v), np.abs(v) * 1e6, 0)
     level = np.where(np.isfinite(v), np.sign(v) * np.floor(far + 0.5), 0).astype(np.int64)
     level[v == np.inf], level[v == -np.inf] = _NAN, _VOID
-    # next to a border between two roundings the sum is made again, in order
     for at in np.flatnonzero(np.abs(far - np.floor(far) - 0.5) < 1e-3):
-        gi, gj, x, y = held[int(qs[r[at]])]
-        dot = _in_order(x[np.searchsorted(gi, r[at])][None], y[np.searchsorted(gj, j[at])][None])[0]
-        level[at] = int(Decimal(repr(float(dot / (qn[r[at]] * cn[j[at]])))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+        level[at] = int(Decimal(repr(again(r[at], j[at]))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
     order = np.lexsort((j, -level, r))
     r, j, level = r[order], j[order], level[order]
     kept = np.arange(len(r)) - np.searchsorted(r, r) < k

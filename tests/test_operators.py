@@ -262,3 +262,28 @@ def test_pairs_make_topic_keys_once(spark):
     assert got._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
     # alpha is in 24 chunks, which is too many
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((10 * i, 10 * j) for i in range(24) for j in range(i + 1, 24) if (j - i) % 3 == 0)
+
+
+def test_bm25_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "BLOCK_CHUNKS", 3)
+    monkeypatch.setattr(evaluation, "BLOCK_QUESTIONS", 2)
+    words = "alpha beta gamma delta epsi zeta".split()
+    pool = [(i, " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 7))) for i in range(40)] + [(41, None), (42, ""), (7, "alpha alpha beta"), (None, "gamma"), (None, "delta")]
+    asked = [(1, "alpha beta"), (2, "gamma gamma zeta"), (3, "nothing"), (4, None), (5, "delta alpha epsi"), (None, "beta")]
+    got = evaluation.bm25(spark.createDataFrame(asked, "question_id long, question string"), spark.createDataFrame(pool, "chunk long, content string"), k=7)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # blocks meet; neither words nor scores are shuffled
+    rows = [(c, t.split()) for c, t in pool if t is not None]
+    mean = sum(len(w) for _, w in rows) / len(rows)
+    want = []
+    for q, text in asked:
+        scores = {}
+        for term in set((text or "").split()):
+            held = {}
+            for c, w in rows:
+                if term in w:
+                    held[c, len(w)] = held.get((c, len(w)), 0) + w.count(term)
+            for (c, n), f in held.items():
+                scores[c] = scores.get(c, 0) + f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / mean))
+        best = sorted(scores, key=lambda c: (-round(scores[c], 6), c is not None, c or 0))[:7]
+        want += [(q, c, round(scores[c], 6), k) for k, c in enumerate(best, 1)]
+    assert sorted(map(repr, ((r.question_id, r.chunk, r.score, r["rank"]) for r in got.collect()))) == sorted(map(repr, want))
