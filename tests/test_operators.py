@@ -1,6 +1,7 @@
 """Operators on small literals with results worked out by hand."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from grainsieve.functions import text as T
@@ -287,3 +288,13 @@ def test_bm25_by_blocks(spark, monkeypatch):
         best = sorted(scores, key=lambda c: (-round(scores[c], 6), c is not None, c or 0))[:7]
         want += [(q, c, round(scores[c], 6), k) for k, c in enumerate(best, 1)]
     assert sorted(map(repr, ((r.question_id, r.chunk, r.score, r["rank"]) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_chunks_are_made_of_few_documents_at_a_time(spark):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "x": [None] * 1000})
+    parts = list(chunking._slices(iter([batch, batch.slice(0, 3)])))
+    assert max(p.num_rows for p in parts) <= 64 and sum(p.num_rows for p in parts) == 1003
+    df = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(3 * (i % 150)))) for i in range(300)] + [(None, "a b c d"), (301, None)], "doc_id long, text string").coalesce(1)
+    got = sorted(map(repr, ((r.doc_id, r.chunk_no, r.words) for r in chunking.raw_chunks(df).collect())))
+    want = [(i, k + 1, min(200, n - 200 * k)) for i in range(300) if (n := 3 * (i % 150)) for k in range(-(-n // 200)) if min(200, n - 200 * k) >= 3] + [(None, 1, 4)]
+    assert got == sorted(map(repr, want))
