@@ -298,3 +298,18 @@ def test_chunks_are_made_of_few_documents_at_a_time(spark):
     got = sorted(map(repr, ((r.doc_id, r.chunk_no, r.words) for r in chunking.raw_chunks(df).collect())))
     want = [(i, k + 1, min(200, n - 200 * k)) for i in range(300) if (n := 3 * (i % 150)) for k in range(-(-n // 200)) if min(200, n - 200 * k) >= 3] + [(None, 1, 4)]
     assert got == sorted(map(repr, want))
+
+
+def test_first_match_of_each_text(spark):
+    text = "The SLA and the CRM, SLA; USA CRM " * 3
+    got = one(spark, T.matches("t", r"\b[A-Z]{2,5}\b", first_of="d <> 'USA'"), t=text)
+    every = one(spark, T.matches("t", r"\b[A-Z]{2,5}\b"), t=text)
+    assert got == [every[0], every[1]] and [(m.ord, m.match) for m in got] == [(1, "SLA"), (2, "CRM")]
+
+
+def test_beginnings_fit_detectors(spark):
+    texts = ["INTERNAL NOTE", "for internal use only", "do not share", "confidential", "agents should", "not for public", "XXX", "TODO", "TBD", "HACK", "FIXME", "[insert x]", "to be defined", "placeholder", "coming soon", "add details here",
+             "works automatically", "will be handled accordingly", "takes care of everything", "seamlessly handles", "handles all cases", "automatically handles", "most cases covered", "take appropriate action",
+             "[image a - not available]", "refer to our x", "link broken", "image not available", "see the FAQ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, content string")
+    assert {r.doc_id for r in governance.findings(df, [d for d in governance.detectors() if d.name in governance._FIRST]).collect()} == set(range(len(texts)))
