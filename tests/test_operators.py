@@ -265,6 +265,28 @@ def test_pairs_make_topic_keys_once(spark):
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((10 * i, 10 * j) for i in range(24) for j in range(i + 1, 24) if (j - i) % 3 == 0)
 
 
+def test_pairs_read_texts_in_one_pass(spark):
+    ids = [-1030, -1027, -1024, -1, 0, 3, 4, 10, 1022, 1023, 1026, 1031, 1032, 1032, 2047, 2048, 5000, None]
+    df = spark.createDataFrame([(i, "", "") if i == 3 else (i, "", "a bit") for i in ids], "chunk long, heading string, content string")
+    got = consistency.candidate_pairs(df)
+    # topics and neighbours come from the pass that counts words; only ids are read besides, and texts of keys that repeat
+    assert got._jdf.queryExecution().analyzed().toString().count("LogicalRDD") + got._jdf.queryExecution().analyzed().toString().count("LocalRelation") <= 4
+    on = sorted({i for i in ids if i not in (3, None)})  # blank texts take no part
+    assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a, b in zip(on, on[1:]) if b - a <= 5]
+    small = df.selectExpr("CAST(chunk AS int) AS chunk", "heading", "content")
+    assert consistency.candidate_pairs(small).dtypes == [("a", "int"), ("b", "int")] and consistency.candidate_pairs(small).count() == got.count()
+
+
+def test_words_counted_in_python_are_those_of_the_expression(spark):
+    texts = ["Über über Haus_x word WORD words4", "\u0130STANbul \u212aelvin kelvin", "𝒜word word𝒜 word😀word wordé", "a\u00a0word\u2014word\u2003next…last", "co\u0301mbined e\u0301tude", "straße ΣΑΣ word\u00b2 ½word word\u0e01", "tab\tnew\nline\x1cform\x00null\x7fdele", "日本語word word日本語 ٣word", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in df.selectExpr("t", f"{T.words('t', 4)} AS w").collect():
+        assert consistency.top_words(r.t.encode(), 99, frozenset()) == sorted(dict.fromkeys(r.w), key=lambda x: -r.w.count(x))
+    # bytes that aren't UTF-8 cut, as they do there
+    odd = spark.sql("SELECT CAST(X'776F7264FF6E657874C3' AS string) AS t")
+    assert odd.selectExpr(f"{T.words('t', 4)} AS w").first().w == consistency.top_words(b"word\xffnext\xc3", 9, frozenset()) == ["word", "next"]
+
+
 def test_bm25_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "BLOCK_CHUNKS", 3)
     monkeypatch.setattr(evaluation, "BLOCK_QUESTIONS", 2)
