@@ -322,6 +322,28 @@ def test_chunks_are_made_of_few_documents_at_a_time(spark):
     assert got == sorted(map(repr, want))
 
 
+def test_raw_chunks_are_cut_from_bytes(spark):
+    odd = ["<P>One:</p><li>two.</LI> <b\n>3</b>", "a\u00a0b\u3000c\u2003d\u0085e \u1680f\u2028\u202f\u205fg\u200b h", "x. . .\n. y: . z :\t.", "x.\u00a0. \x1c . y", "a < b > c <d", "</D\u0130V></li>\u017f</\u017fp>", "\x1ca\x1fb\x85", "  ", "", "«é» …\U0001d49c  . ."]
+    for t in odd:
+        assert chunking.plain_bytes(t.encode()).decode() == one(spark, T.plain("t"), t=t), t
+    rng = np.random.default_rng(3)
+    pool = ["word", "Wort", "end.", "Éa", "straße!", "A", "ok?", "\U0001d49c.", "z" * 60, "B" * 70 + "."]
+    for least, most in ((50, 200), (3, 8), (1, 1), (9, 4)):
+        for _ in range(40):
+            blocks = [" ".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, most * 3 if rng.random() < 0.4 else 12))) for _ in range(rng.integers(0, 9))]
+            sized = [x for p in chunking.fill(blocks, most) for x in chunking.split_long(p, most)]
+            want = [(x, len(x.split())) for x in chunking.merge_short(sized, least, most)]
+            assert [(x.decode(), n) for x, n in chunking.raw_pieces([b.encode() for b in blocks], least, most)] == want
+    texts = [(1, "<div>one two three four</DIV>five six<table x>seven eight nine ten\n \n a b c d"), (2, "few words"), (3, None), (4, " "), (5, "a b\u0003c d e f")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {1: ["one two three four.", "seven eight nine ten", "a b c d"], 2: ["few words"], 3: [], 4: [], 5: ["c d e f"]}
+    assert {r.doc_id: r.blocks for r in chunking.with_blocks(df).collect()} == want
+    # texts go to Python as they are: no pass over them for each pattern
+    assert not any("regexp_replace" in x._jdf.queryExecution().toString() for x in (chunking.raw_chunks(df), chunking.with_blocks(df)))
+    bad = spark.sql("SELECT 1L AS doc_id, CAST(X'6120FF622063' AS string) AS text")
+    assert [r.content for r in chunking.raw_chunks(bad).collect()] == ["a \ufffdb c"]
+
+
 def test_first_match_of_each_text(spark):
     text = "The SLA and the CRM, SLA; USA CRM " * 3
     got = one(spark, T.matches("t", r"\b[A-Z]{2,5}\b", first_of="d <> 'USA'"), t=text)
